@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from checks.fixtures import Inputs, inputs
 from checks.sql import BLANKS, with_parts
 from murmurlens.functions import text
-from murmurlens.operators import filters, graph, ingest, search, series, stats, vectors
+from murmurlens.functions.text import STOP_WORDS
+from murmurlens.operators import clustering, filters, graph, ingest, labels, ordering, search, series, stats, vectors
+from murmurlens.plans import reports
 from murmurlens.schema import FIELD_CANDIDATES, POST_COLUMNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,3 +589,286 @@ def _(tables):
 STORY = """, story AS (SELECT post_id FROM people ORDER BY score DESC, post_id LIMIT 30),
   chosen AS (SELECT * FROM nodes WHERE id IN (SELECT author FROM posts WHERE post_id IN (SELECT post_id FROM story) AND author <> '[deleted]')),
   inner_edges AS (SELECT * FROM edges WHERE src IN (SELECT id FROM chosen) AND dst IN (SELECT id FROM chosen)) """
+TOPIC = "Cross-community amplification"
+
+
+def _stored_graph(tables: Inputs) -> reports.GraphResult:
+    nodes, edges = tables.nodes_by_component(), tables.edges()
+    components = graph.component_table(tables.components())
+    return reports.GraphResult(nodes, edges, graph.graph_totals(nodes, edges), components)
+
+
+def _case(tables: Inputs) -> reports.CaseStudy:
+    if "case" not in tables.done:
+        tables.done["case"] = reports.case_study(tables.posts(), _stored_graph(tables), TOPIC)
+    return tables.done["case"]
+
+
+@query("case_study_nodes", STORY + "SELECT id, pagerank, community FROM chosen", "nodes")
+def _(tables):
+    return _case(tables).network.nodes.select("id", "pagerank", "community")
+
+
+@query("case_study_edges", STORY + "SELECT * FROM inner_edges", "nodes")
+def _(tables):
+    return _case(tables).network.edges
+
+
+@query("case_study_totals", STORY + TOTALS.format(n="chosen", e="inner_edges"), "nodes")
+def _(tables):
+    return _case(tables).network.totals
+
+
+@query(
+    "case_study_key_posts",
+    "SELECT post_id, score, author, subreddit FROM people ORDER BY score DESC, post_id LIMIT 15",
+    "people",
+)
+def _(tables):
+    return _case(tables).key_posts.select("post_id", "score", "author", "subreddit")
+
+
+@query("case_study_timeline", STORY + _series_sql("day", where="WHERE post_id IN (SELECT post_id FROM story)"), "nodes")
+def _(tables):
+    return _case(tables).timeline.points
+
+
+@query(
+    "case_study_trend",
+    STORY + _trend_sql(TOPIC, _series_sql("day", where="WHERE post_id IN (SELECT post_id FROM story)")),
+    "nodes",
+)
+def _(tables):
+    return _case(tables).timeline.trend
+
+
+_STAMP = """CASE WHEN MICROSECOND(created_utc) % 1000000 = 0 THEN STRFTIME(created_utc, '%Y-%m-%d %H:%M:%S')
+   ELSE STRFTIME(created_utc, '%Y-%m-%d %H:%M:%S.%f') END || '+00:00'"""
+
+
+@query(
+    "case_study_narrative",
+    STORY
+    + f""", told AS (SELECT p.* FROM people p JOIN story USING (post_id)), totals AS ({TOTALS.format(n="chosen", e="inner_edges")})
+    SELECT '{TOPIC}' AS topic, 'Analysis of "{TOPIC}" reveals discussion across ' || (SELECT COUNT(DISTINCT subreddit) FROM told)
+      || ' subreddits involving ' || (SELECT COUNT(DISTINCT author) FROM told) || ' unique authors.' AS narrative,
+      (SELECT STRING_AGG('[' || {_STAMP} || '] r/' || subreddit || ' by u/' || author || ' (score: ' || score || ')' || CHR(10)
+         || '  Title: ' || SUBSTRING(title, 1, 120) || CHR(10) || '  Content: ' || SUBSTRING(content, 1, 200), CHR(10) || CHR(10) ORDER BY score DESC, post_id)
+       FROM (SELECT * FROM told ORDER BY score DESC, post_id LIMIT 15)) AS context,
+      (SELECT 'Network analysis reveals:' || CHR(10) || '- ' || total_nodes || ' accounts involved' || CHR(10) || '- ' || total_edges
+         || ' interactions' || CHR(10) || '- Top influencer: u/' || top_influencer || ' (PageRank: ' || PRINTF('%.4f', top_pagerank) || ')' || CHR(10)
+         || '- ' || num_communities || ' distinct communities detected' || CHR(10) FROM totals) AS network_facts""",
+    "nodes",
+)
+def _(tables):
+    return _case(tables).narrative
+
+
+# -- clusters ----------------------------------------------------------------------------------
+
+
+@query(
+    "cluster_summaries",
+    """SELECT s.cluster_id, CASE WHEN s.cluster_id >= 0 THEN 'Cluster ' || s.cluster_id ELSE 'Noise/Outliers' END AS label, s.size,
+       (SELECT STRING_AGG(post_id, ',' ORDER BY post_id) FROM placed p WHERE p.cluster_id = s.cluster_id AND place <= 20) AS post_ids
+       FROM sizes s""",
+    "sizes", "placed",
+)
+def _(tables):
+    return clustering.cluster_summaries(tables.labelled()).withColumn("post_ids", F.array_join("post_ids", ","))
+
+
+@query(
+    "cluster_counts",
+    """SELECT COUNT(*) AS total_points, COUNT(DISTINCT cluster) FILTER (cluster >= 0) AS n_clusters,
+       COUNT(*) FILTER (cluster < 0) AS noise_points, COUNT(*) FILTER (cluster < 0) / COUNT(*)::DOUBLE AS noise_ratio FROM labelled""",
+    "labelled",
+)
+def _(tables):
+    return clustering.cluster_counts(tables.labelled())
+
+
+@query(
+    "cluster_members",
+    """SELECT cluster_id AS cluster, CAST(place AS INT) AS place, post_id, title, SUBSTRING(selftext, 1, 300) AS selftext, author, created_utc,
+       subreddit, score, num_comments, permalink FROM cluster_posts WHERE cluster_id >= 0""",
+    "cluster_posts",
+)
+def _(tables):
+    return labels.member_posts(tables.labelled(), tables.posts())
+
+
+@query("cluster_keywords", "SELECT cluster_id AS cluster, label FROM keyword_labels", "keyword_labels")
+def _(tables):
+    return labels.keyword_labels(labels.member_posts(tables.labelled(), tables.posts()))
+
+
+@query(
+    "cluster_names",
+    """, largest AS (SELECT cluster_id FROM sizes ORDER BY size DESC, cluster_id LIMIT 3),
+    base AS (SELECT s.cluster_id, s.size, CASE WHEN s.cluster_id < 0 THEN 'Noise/Outliers'
+        WHEN s.cluster_id IN (SELECT cluster_id FROM largest) THEN k.label
+        ELSE 'r/' || f.subreddit || ' discussions' END AS base,
+        (SELECT STRING_AGG(post_id, ',' ORDER BY place) FROM cluster_posts c WHERE c.cluster_id = s.cluster_id AND place <= 5 AND s.cluster_id >= 0) AS top_posts
+      FROM sizes s LEFT JOIN keyword_labels k USING (cluster_id)
+      LEFT JOIN (SELECT cluster_id, ARG_MIN(subreddit, place) AS subreddit FROM cluster_posts GROUP BY cluster_id) f USING (cluster_id)),
+    numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY base ORDER BY size DESC, cluster_id) - 1 AS again FROM base)
+    SELECT cluster_id, CASE WHEN again > 0 THEN base || ' (' || again || ')' ELSE base END AS label, size, top_posts FROM numbered""",
+    "sizes", "keyword_labels", "cluster_posts",
+)
+def _(tables):
+    named = labels.name_clusters(tables.labelled(), tables.posts())
+    shown = F.array_join(F.transform("top_posts", lambda p: p["post_id"]), ",")
+    return named.select("cluster_id", "label", "size", shown.alias("top_posts"))
+
+
+@query(
+    "posts_of_cluster",
+    """SELECT p.post_id, p.title, SUBSTRING(p.selftext, 1, 300) AS selftext, p.author, p.created_utc, p.subreddit, p.score,
+       p.num_comments, p.permalink FROM placed c JOIN posts p USING (post_id) WHERE c.cluster_id = 3 AND c.place <= 20""",
+    "placed", "posts",
+)
+def _(tables):
+    return labels.posts_of_cluster(tables.labelled(), tables.posts(), 3)
+
+
+@query("posts_of_missing_cluster", "SELECT p.post_id FROM placed c JOIN posts p USING (post_id) WHERE c.cluster_id = 99", "placed", "posts")
+def _(tables):
+    return labels.posts_of_cluster(tables.labelled(), tables.posts(), 99).select("post_id")
+
+
+@query(
+    "nearest_centre",
+    """SELECT post_id, CAST(ARG_MIN(query_id, (d, query_id)) AS INT) AS cluster, MIN(d) AS distance
+       FROM (SELECT v.post_id, t.query_id, ROUND(LIST_DISTANCE(v.embedding, t.embedding), 6) AS d FROM vectors v, topics t) x GROUP BY post_id""",
+    "vectors", "topics",
+)
+def _(tables):
+    centres = tables.topic_queries().select(F.col("query_id").cast("int").alias("cluster"), "embedding")
+    return clustering.nearest_centre(tables.vectors(), centres)
+
+
+@query(
+    "core_distances",
+    """SELECT post_id, d AS core FROM (SELECT a.post_id, ROUND(LIST_DISTANCE(a.embedding, b.embedding), 6) AS d,
+         ROW_NUMBER() OVER (PARTITION BY a.post_id ORDER BY ROUND(LIST_DISTANCE(a.embedding, b.embedding), 6)) AS r
+       FROM vectors a JOIN vectors b ON a.post_id <> b.post_id) x WHERE r = 5""",
+    "vectors",
+)
+def _(tables):
+    return clustering.core_distances(tables.vectors())
+
+
+@query(
+    "density_clusters",
+    """WITH RECURSIVE vectors AS MATERIALIZED (SELECT CAST(vec_id AS VARCHAR) AS post_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings),
+    pairs AS MATERIALIZED (SELECT a.post_id AS a, b.post_id AS b, ROUND(LIST_DISTANCE(a.embedding, b.embedding), 6) AS d
+      FROM vectors a JOIN vectors b ON a.post_id <> b.post_id),
+    cores AS MATERIALIZED (SELECT a AS post_id, d AS core FROM (SELECT a, d, ROW_NUMBER() OVER (PARTITION BY a ORDER BY d) AS r FROM pairs) x WHERE r = 5),
+    eps AS MATERIALIZED (SELECT core AS e FROM (SELECT core, ROW_NUMBER() OVER (ORDER BY core, post_id) - 1 AS i FROM cores) x
+      WHERE i = (SELECT CAST(FLOOR(0.75 * (COUNT(*) - 1)) AS BIGINT) FROM cores)),
+    dense AS MATERIALIZED (SELECT post_id FROM cores, eps WHERE core <= e),
+    near AS MATERIALIZED (SELECT a, b FROM pairs, eps WHERE d <= e AND a IN (SELECT post_id FROM dense) AND b IN (SELECT post_id FROM dense)),
+    reach AS (SELECT post_id AS id, post_id AS other FROM dense UNION SELECT r.id, n.b FROM reach r JOIN near n ON n.a = r.other),
+    groups AS MATERIALIZED (SELECT id, MIN(other) AS component FROM reach GROUP BY id),
+    numbered AS (SELECT component, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, component) - 1 AS number FROM groups GROUP BY component HAVING COUNT(*) >= 15)
+    SELECT v.post_id, CAST(COALESCE(n.number, -1) AS INT) AS cluster FROM vectors v LEFT JOIN groups g ON g.id = v.post_id LEFT JOIN numbered n USING (component)""",
+)
+def _(tables):
+    return clustering.density_clusters(tables.vectors())
+
+
+@query("kmeans_clusters")
+def _(tables):
+    return clustering.kmeans(tables.vectors(), 10)
+
+
+@query("projection")
+def _(tables):
+    return clustering.project_2d(tables.vectors())
+
+
+@query("topic_clusters")
+def _(tables):
+    return reports.topic_clusters(tables.vectors(), tables.posts()).clusters.select("cluster_id", "label", "size")
+
+
+@query(
+    "systematic_sample",
+    """SELECT post_id, cluster FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY post_id) - 1 AS i FROM labelled) x
+       WHERE i % (SELECT CAST(CEIL(COUNT(*) / 100.0) AS BIGINT) FROM labelled) = 0""",
+    "labelled",
+)
+def _(tables):
+    return ordering.systematic_sample(tables.labelled(), wanted=100)
+
+
+@query(
+    "topic_words",
+    f"""SELECT post_id, word, COUNT(*) AS n FROM (SELECT post_id, UNNEST(REGEXP_SPLIT_TO_ARRAY(LOWER(selftext), '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM posts) t
+       WHERE REGEXP_FULL_MATCH(word, '[a-z]{{4,}}') AND word NOT IN ({", ".join(f"'{word}'" for word in STOP_WORDS)}) GROUP BY post_id, word""",
+    "posts",
+)
+def _(tables):
+    words = tables.posts().select("post_id", F.explode(text.topic_words(F.col("selftext"))).alias("word"))
+    return words.groupBy("post_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "suggestion_lines",
+    f"""SELECT doc_id, ARRAY_TO_STRING(LIST_SLICE(LIST_FILTER(LIST_TRANSFORM(STRING_SPLIT(text, CHR(10)), lambda x: TRIM(x, {BLANKS})),
+       lambda x: LEN(x) > 5), 1, 3), '|') AS lines FROM documents""",
+)
+def _(tables):
+    return tables.raw("documents").select("doc_id", F.array_join(text.parse_suggestions(F.col("text")), "|").alias("lines"))
+
+
+@query(
+    "tidy_labels",
+    f"""SELECT doc_id, CASE WHEN LEN(words) > 7 THEN ARRAY_TO_STRING(words[1:5], ' ') ELSE bare END AS label
+       FROM (SELECT doc_id, bare, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(bare, '\\s+'), lambda x: x <> '') AS words
+             FROM (SELECT doc_id, TRIM(TRIM(TRIM(TRIM(SUBSTRING(text, 1, 60), {BLANKS}), '"'), ''''), {BLANKS}) AS bare FROM documents) t) u""",
+)
+def _(tables):
+    return tables.raw("documents").select("doc_id", text.tidy_label(F.substring("text", 1, 60)).alias("label"))
+
+
+# -- encoding ----------------------------------------------------------------------------------
+
+
+@query("encoded_posts")
+def _(tables):
+    encoded = tables.encoded_posts()
+    return encoded.select("post_id", F.size("embedding").alias("dimensions"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared_length"))
+
+
+@query("search_by_text")
+def _(tables):
+    from murmurlens.operators import encode
+
+    asked = tables.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    encoded = encode.encode_hashed(tables.encoder(), asked, key="query_id", text="text")
+    queries = encode.encode_queries(encoded, asked)
+    return search.search(queries, tables.encoded_posts(), tables.posts(), 10).select("query_id", "rank", "post_id", "similarity_score")
+
+
+@query(
+    "text_to_encode",
+    f"SELECT post_id, CASE WHEN TRIM(content, {BLANKS}) = '' THEN '[empty]' ELSE content END AS text FROM posts",
+    "posts",
+)
+def _(tables):
+    return tables.posts().select("post_id", text.text_to_encode(F.col("content")).alias("text"))
+
+
+@query(
+    "vector_gaps",
+    """SELECT (SELECT COUNT(*) FROM posts WHERE post_id NOT IN (SELECT post_id FROM vectors)) AS missing,
+       (SELECT COUNT(*) FROM vectors WHERE post_id NOT IN (SELECT post_id FROM posts)) AS orphaned,
+       (SELECT COUNT(*) FROM vectors WHERE LEN(embedding) <> 64) AS wrong_length""",
+    "posts", "vectors",
+)
+def _(tables):
+    from murmurlens.sources.vectors import vector_gaps
+
+    return vector_gaps(tables.vectors(), tables.posts(), 64)

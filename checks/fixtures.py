@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlens.operators import graph
+from murmurlens.operators import encode, graph
 from murmurlens.operators.components import connected_components
 from murmurlens.operators.ingest import IngestResult, ingest_lines
 from murmurlens.operators.louvain import louvain
@@ -34,6 +34,7 @@ class Inputs:
         self.sf_dir = sf_dir.rstrip("/")
         self.stored = Workspace(spark)
         self._ingested: IngestResult | None = None
+        self.done: dict[str, object] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -166,6 +167,14 @@ class Inputs:
             l2_normalize(F.col("embedding")).alias("embedding"),
         )
 
+    def encoder(self):
+        if "encoder" not in self.done:
+            self.done["encoder"] = encode.fit_hashed_encoder(self.posts())
+        return self.done["encoder"]
+
+    def encoded_posts(self) -> DataFrame:
+        return self.stored.table("encoded", lambda: encode.encode_hashed(self.encoder(), self.posts()))
+
     def labelled(self) -> DataFrame:
         """``(post_id, cluster)`` from the given labels, the last label standing for noise."""
         return self.vectors().select(

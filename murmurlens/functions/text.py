@@ -19,6 +19,10 @@ NO_RESULTS = 'No results found for the query: "%s"'
 SEARCH_DIGEST = 'Found %d posts related to "%s" across %d subreddits.'
 NO_SERIES = 'No time series data available for "%s".'
 SERIES_DIGEST = 'The query "%s" returned %d posts. Peak activity was on %s with %d posts.'
+NETWORK_FACTS = (
+    "Network analysis reveals:\n- %d accounts involved\n- %d interactions\n"
+    "- Top influencer: u/%s (PageRank: %.4f)\n- %d distinct communities detected\n"
+)
 NO_CASE = "Insufficient data to generate a case study narrative."
 CASE_DIGEST = 'Analysis of "%s" reveals discussion across %d subreddits involving %d unique authors.'
 EMPTY_QUERY = "Query cannot be empty"
@@ -118,3 +122,26 @@ def query_warning(text: Column) -> Column:
 def text_to_encode(text: Column) -> Column:
     """Blank text is encoded as a fixed placeholder."""
     return F.when(F.length(F.coalesce(strip(text), F.lit(""))) == 0, F.lit("[empty]")).otherwise(text)
+
+
+def stamp(moment: Column) -> Column:
+    """UTC time as text; microseconds only where there are any."""
+    has_fraction = F.date_format(moment, "SSSSSS") != "000000"
+    whole = F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
+    return F.concat(
+        F.when(has_fraction, F.concat(whole, F.lit("."), F.date_format(moment, "SSSSSS"))).otherwise(whole),
+        F.lit("+00:00"),
+    )
+
+
+def story_block(post: Column) -> Column:
+    """Text block of one key post of a case study."""
+    return F.format_string(
+        "[%s] r/%s by u/%s (score: %d)\n  Title: %s\n  Content: %s",
+        F.coalesce(stamp(post["created_utc"]), F.lit("N/A")), post["subreddit"], post["author"], post["score"],
+        clip(post["title"], 120), clip(post["content"], 200),
+    )
+
+
+def network_facts(accounts: Column, links: Column, top: Column, rank: Column, communities: Column) -> Column:
+    return F.format_string(NETWORK_FACTS, accounts, links, F.coalesce(top, F.lit("N/A")), rank, communities)

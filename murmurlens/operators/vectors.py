@@ -27,12 +27,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalize(vector: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    length = F.sqrt(dot(vector, vector))
-    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length)).otherwise(
-        F.transform(vector, lambda x: x.cast("double"))
-    )
+
+    def scaled(v):
+        return _bind(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+    return _bind(vector, scaled)
 
 
 def mean_vectors(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
