@@ -810,8 +810,8 @@ def _(tables):
     "posts",
 )
 def _(tables):
-    words = tables.posts().select("post_id", F.explode(text.topic_words(F.col("selftext"))).alias("word"))
-    return words.groupBy("post_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = tables.posts().select("post_id", F.explode(text.word_pieces(F.col("selftext"))).alias("word"))
+    return words.filter(text.is_topic_word(F.col("word"))).groupBy("post_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -34,36 +34,36 @@ def raw_value(record: Column, key: str) -> Column:
     return F.try_variant_get(record, f"$.{key}", "variant")
 
 
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def value_text(value: Column) -> Column:
+    """The value as text, trimmed; null for missing keys and JSON nulls."""
+    return strip(F.try_variant_get(value, "$", "string"))
 
 
-def _number(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
+def value_kind(value: Column) -> Column:
+    """Type of the value as a DDL name; ``VOID`` for a JSON null, null for a missing key."""
+    return F.schema_of_variant(value)
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _number(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "double")
 
 
 def _is_numeric(kind: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
-def clean_text(value: Column, if_null: str = "") -> Column:
+def clean_text(value: Column, text: Column, if_null: str = "") -> Column:
     """Trimmed text; a missing key gives ``""``, a JSON null gives ``if_null``."""
-    text = _text(value)
-    is_boolean = text.isin("true", "false") & (_kind(value) == "BOOLEAN")
+    is_boolean = text.isin("true", "false") & (value_kind(value) == "BOOLEAN")
     return (
         F.when(text.isNull(), F.when(F.is_variant_null(value), F.lit(if_null)).otherwise(F.lit("")))
         .when(is_boolean, F.initcap(text))
-        .otherwise(strip(text))
+        .otherwise(text)
     )
 
 
-def clean_int(value: Column) -> Column:
+def clean_int(value: Column, kind: Column, text: Column) -> Column:
     """Numbers are cut toward zero, text must be a whole number, all else is 0."""
-    kind, text = _kind(value), strip(_text(value))
     parsed = (
         F.when(_is_numeric(kind), _number(value).try_cast("int"))
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int"))
@@ -72,45 +72,45 @@ def clean_int(value: Column) -> Column:
     return F.coalesce(parsed, F.lit(0))
 
 
-def _finite_number(value: Column) -> Column:
-    kind, text = _kind(value), strip(_text(value))
+def finite_number(value: Column, kind: Column, text: Column) -> Column:
+    """Numbers, booleans and numeric text as a double; null for anything else or infinite."""
     parsed = (
         F.when(_is_numeric(kind), _number(value))
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast("double"))
         .when((kind == "STRING") & text.rlike(_NUMBER), text.try_cast("double"))
     )
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
+    return F.nullif(F.nullif(parsed, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
-def clean_double(value: Column) -> Column:
-    return F.coalesce(_finite_number(value), F.lit(0.0))
+def clean_double(number: Column) -> Column:
+    return F.coalesce(number, F.lit(0.0))
 
 
-def clean_bool(value: Column) -> Column:
+def clean_bool(value: Column, kind: Column) -> Column:
     """Truthiness: non-zero numbers and any non-empty text, list or object are true."""
-    kind = _kind(value)
+    written = F.try_variant_get(value, "$", "string")
     truth = (
         F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
         .when(_is_numeric(kind), _number(value) != 0)
-        .when(kind != "VOID", ~_text(value).isin("", "[]", "{}") | ((kind == "STRING") & (_text(value) != "")))
+        .when(kind == "STRING", written != "")
+        .when(kind != "VOID", ~written.isin("[]", "{}"))
     )
     return F.coalesce(truth, F.lit(False))
 
 
-def clean_timestamp(value: Column, as_of: Column) -> Column:
+def clean_timestamp(number: Column, kind: Column, text: Column, as_of: Column) -> Column:
     """Epoch seconds (number or numeric text), else ISO-8601 text, else ``as_of``.
 
     Text without a zone is read as UTC, provided the session time zone is UTC.
     """
-    seconds = _finite_number(value)
     from_epoch = F.when(
-        seconds.between(_FIRST_SECOND, _LAST_SECOND),
-        F.timestamp_micros(F.round(seconds * 1e6).cast("bigint")),
+        number.between(_FIRST_SECOND, _LAST_SECOND),
+        F.timestamp_micros(F.round(number * 1e6).cast("bigint")),
     )
-    text = strip(_text(value))
-    from_iso = F.when((_kind(value) == "STRING") & text.rlike(_ISO_TIME), F.try_to_timestamp(text))
+    from_iso = F.when((kind == "STRING") & text.rlike(_ISO_TIME), F.try_to_timestamp(text))
     return F.coalesce(from_epoch, from_iso, as_of.cast("timestamp"))
 
 
 def join_content(title: Column, body: Column) -> Column:
-    return strip(F.concat_ws(" ", title, body))
+    """Title and body, both trimmed already, with a blank between them where both have text."""
+    return F.when(title == "", body).when(body == "", title).otherwise(F.concat(title, F.lit(" "), body))

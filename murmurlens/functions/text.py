@@ -44,15 +44,15 @@ def clip(text: Column, width: int) -> Column:
     return F.substring(F.coalesce(text, F.lit("")), 1, width)
 
 
-def topic_words(text: Column) -> Column:
-    """Lower-case words of four or more plain letters, stop-words removed, in text order.
-
-    A word is bounded by anything but letters, digits and underscore of any script, so letters
-    with accents never split a word in two.
-    """
-    pieces = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    stop = F.array(*[F.lit(word) for word in STOP_WORDS])
-    return F.filter(pieces, lambda w: w.rlike("^[a-z]{4,}$") & ~F.array_contains(stop, w))
+def word_pieces(text: Column) -> Column:
+    """Lower-case pieces of a text in order. A piece is bounded by anything but letters, digits and
+    underscore of any script, so letters with accents never split a word in two."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+
+
+def is_topic_word(piece: Column) -> Column:
+    """Four or more plain letters and not a stop-word."""
+    return piece.rlike("^[a-z]{4,}$") & ~piece.isin(*STOP_WORDS)
 
 
 def keyword_label(words: Column, community: Column) -> Column:

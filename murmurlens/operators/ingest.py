@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from murmurlens.functions import clean
 from murmurlens.operators.skew import first_wins
-from murmurlens.runtime import stage
+from murmurlens.runtime import cut, stage
 from murmurlens.schema import FIELD_CANDIDATES, POST_COLUMNS
 from murmurlens.sources.lines import chunk_of, first_lines, read_lines
 
@@ -55,8 +55,18 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return unwrapped.select("line_pos", status.alias("status"), "record")
 
 
-def valid_records(lines: DataFrame) -> DataFrame:
-    return parse_lines(lines).filter("status = 'valid'").select("line_pos", "record")
+def head_records(lines: DataFrame, wanted: int) -> DataFrame:
+    """``(line_pos, record)`` of the first ``wanted`` valid records.
+
+    Only the first lines are parsed; more are taken while too few of them are valid.
+    """
+    taken = 50 * wanted
+    while True:
+        head = cut(lines.orderBy("line_pos").limit(taken))
+        records = cut(parse_lines(head)).filter("status = 'valid'")
+        if records.count() >= wanted or head.count() < taken:
+            return records.select("line_pos", "record").orderBy("line_pos").limit(wanted)
+        taken *= 20
 
 
 def record_keys(record: Column) -> Column:
@@ -65,8 +75,7 @@ def record_keys(record: Column) -> Column:
 
 def sample_keys(lines: DataFrame, sample: int = SAMPLE_RECORDS) -> DataFrame:
     """Distinct keys of the first ``sample`` valid records."""
-    head = valid_records(lines).orderBy("line_pos").limit(sample)
-    return head.select(F.explode(record_keys(F.col("record"))).alias("source_key")).distinct()
+    return head_records(lines, sample).select(F.explode(record_keys(F.col("record"))).alias("source_key")).distinct()
 
 
 def resolve_fields(keys: DataFrame) -> DataFrame:
@@ -96,7 +105,8 @@ def as_field_map(resolved: DataFrame) -> dict[str, str]:
 def detect_fields_in_files(spark: SparkSession, path: str | list[str], sample: int = SAMPLE_RECORDS) -> dict[str, str]:
     """Field map of a file set, reading only the head of the first files."""
     def keep(lines):
-        return valid_records(lines).select("line_pos", record_keys(F.col("record")).alias("source_keys"))
+        valid = parse_lines(lines).filter("status = 'valid'")
+        return valid.select("line_pos", record_keys(F.col("record")).alias("source_keys"))
 
     head = first_lines(spark, path, sample, keep)
     if not head:
@@ -107,8 +117,7 @@ def detect_fields_in_files(spark: SparkSession, path: str | list[str], sample: i
 
 def preview_records(lines: DataFrame, records: int = PREVIEW_RECORDS, width: int = 80) -> DataFrame:
     """Keys and clipped values of the first records: ``(record_no, source_key, preview)``."""
-    head = valid_records(lines).orderBy("line_pos").limit(records)
-    numbered = head.select(
+    numbered = head_records(lines, records).select(
         F.row_number().over(W.orderBy("line_pos")).alias("record_no"), "record"
     )
     fields = numbered.select(
@@ -123,47 +132,63 @@ def preview_records(lines: DataFrame, records: int = PREVIEW_RECORDS, width: int
 
 
 def profile_keys(lines: DataFrame) -> DataFrame:
-    """How many valid records carry each key, over the whole input."""
+    """How many valid records carry each key, over the whole input. Invalid lines have no keys."""
+    keys = parse_lines(lines).select(F.when(F.col("status") == "valid", record_keys(F.col("record"))).alias("source_keys"))
     return (
-        valid_records(lines)
-        .select(F.explode(record_keys(F.col("record"))).alias("source_key"))
+        keys.select(F.explode("source_keys").alias("source_key"))
         .groupBy("source_key")
         .agg(F.count(F.lit(1)).alias("records"))
     )
 
 
-def clean_fields(record: Column, field_map: dict[str, str], as_of: Column) -> dict[str, Column]:
-    """Cleaned expressions per posts column. Title and body come before ``content`` uses them."""
-    def raw(field: str) -> Column:
-        return clean.raw_value(record, field_map.get(field, FIELD_CANDIDATES[field][0]))
-
-    text_if_null = {"author": "[deleted]", "subreddit": "unknown"}
-    cleaned: dict[str, Column] = {
-        "author_fullname": clean.clean_text(clean.raw_value(record, "author_fullname")),
-        "created_utc": clean.clean_timestamp(raw("created_utc"), as_of),
-        "platform": F.lit("reddit"),
-        "upvote_ratio": clean.clean_double(raw("upvote_ratio")),
-    }
-    for field in ("score", "ups", "downs", "num_comments", "num_crossposts"):
-        cleaned[field] = clean.clean_int(raw(field))
-    for field in ("is_self", "over_18"):
-        cleaned[field] = clean.clean_bool(raw(field))
-    for field in POST_COLUMNS:
-        if field not in cleaned and field != "content":
-            cleaned[field] = clean.clean_text(raw(field), text_if_null.get(field, ""))
-    return cleaned
+INT_FIELDS = ("score", "ups", "downs", "num_comments", "num_crossposts")
+BOOL_FIELDS = ("is_self", "over_18")
+NUMBER_FIELDS = ("upvote_ratio", "created_utc")
+TEXT_IF_NULL = {"author": "[deleted]", "subreddit": "unknown"}
 
 
 def clean_lines(lines: DataFrame, field_map: dict[str, str], as_of: dt.datetime | Column) -> DataFrame:
-    """``(line_pos, status, posts columns…)`` for every line; the columns are null unless valid."""
+    """``(line_pos, status, posts columns…)`` for every line; the columns are null unless valid.
+
+    Each raw value, its type and its text are computed once, in projections of their own, and the
+    cleaning rules refer to them. All of it is one stage without a shuffle.
+    """
     moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    cleaned = clean_fields(F.col("record"), field_map, moment)
+    derived = {"content", "platform"}
+    fields = [name for name in POST_COLUMNS if name not in derived]
+    typed = [name for name in fields if name in INT_FIELDS + BOOL_FIELDS + NUMBER_FIELDS]
+    keys = {name: field_map.get(name, FIELD_CANDIDATES.get(name, [name])[0]) for name in fields}
+    keys["author_fullname"] = "author_fullname"
+
+    raw = parse_lines(lines).select(
+        "line_pos", "status", *[clean.raw_value(F.col("record"), key).alias(f"raw_{name}") for name, key in keys.items()]
+    )
+    read = raw.select(
+        "*",
+        *[clean.value_text(F.col(f"raw_{name}")).alias(f"text_{name}") for name in fields if name not in BOOL_FIELDS],
+        *[clean.value_kind(F.col(f"raw_{name}")).alias(f"kind_{name}") for name in typed],
+    )
+    parts = lambda name, *kinds: [F.col(f"{kind}_{name}") for kind in kinds]
+    numbered = read.select(
+        "*", *[clean.finite_number(*parts(name, "raw", "kind", "text")).alias(f"number_{name}") for name in NUMBER_FIELDS]
+    )
+    cleaned = {
+        "created_utc": clean.clean_timestamp(*parts("created_utc", "number", "kind", "text"), moment),
+        "upvote_ratio": clean.clean_double(F.col("number_upvote_ratio")),
+        "platform": F.lit("reddit"),
+    }
+    cleaned |= {name: clean.clean_int(*parts(name, "raw", "kind", "text")) for name in INT_FIELDS}
+    cleaned |= {name: clean.clean_bool(*parts(name, "raw", "kind")) for name in BOOL_FIELDS}
+    cleaned |= {
+        name: clean.clean_text(*parts(name, "raw", "text"), TEXT_IF_NULL.get(name, ""))
+        for name in fields
+        if name not in cleaned
+    }
     valid = F.col("status") == "valid"
-    narrow = parse_lines(lines).select(
-        "line_pos", "status", *[F.when(valid, value).alias(name) for name, value in cleaned.items()]
+    flat = numbered.select("line_pos", "status", *[F.when(valid, value).alias(name) for name, value in cleaned.items()])
+    return flat.withColumn("content", clean.join_content(F.col("title"), F.col("selftext"))).select(
+        "line_pos", "status", *POST_COLUMNS
     )
-    content = F.when(valid, clean.join_content(F.col("title"), F.col("selftext")))
-    return narrow.withColumn("content", content).select("line_pos", "status", *POST_COLUMNS)
 
 
 def number_missing_ids(staged: DataFrame) -> DataFrame:

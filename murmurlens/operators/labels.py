@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from murmurlens.functions.text import GENERIC_LABELS, clip, keyword_label, tidy_label, topic_words
+from murmurlens.functions.text import GENERIC_LABELS, clip, is_topic_word, keyword_label, tidy_label, word_pieces
 from murmurlens.operators.clustering import MEMBERS_SHOWN, first_members
 
 # Posts looked at per cluster, posts shown, clusters named by keywords.
@@ -32,8 +32,8 @@ def keyword_labels(members: DataFrame) -> DataFrame:
     """``(cluster, label)`` from the two most frequent title words of each cluster; the word seen
     first among equals. ``members`` holds a few posts per cluster."""
     words = members.select(
-        "cluster", "place", F.posexplode(topic_words(F.col("title"))).alias("pos", "word")
-    )
+        "cluster", "place", F.posexplode(word_pieces(F.col("title"))).alias("pos", "word")
+    ).filter(is_topic_word(F.col("word")))
     counted = words.groupBy("cluster", "word").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "pos")).alias("seen")
     )
