@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -42,6 +44,7 @@ UNAVAILABLE = "HDBSCAN unavailable. Used KMeans with 10 clusters."
 
 DENSITY_QUANTILE = 0.75
 ROWS_PER_CELL = 2_000
+PARALLEL_FITS = 5
 DECIMALS = 6
 
 
@@ -64,15 +67,22 @@ def relabel_by_size(points: DataFrame) -> DataFrame:
 def kmeans(
     vectors: DataFrame, k: int, restarts: int = RESTARTS, max_iterations: int = MAX_ITERATIONS, seed: int = SEED
 ) -> DataFrame:
-    """``(post_id, cluster)``: the cheapest of ``restarts`` KMeans runs; k is kept within 2..50."""
+    """``(post_id, cluster)``: the cheapest of ``restarts`` KMeans runs; k is kept within 2..50.
+
+    The runs share one persisted input and are submitted side by side, so that small inputs do not
+    leave the cluster idle between the short jobs of a single run.
+    """
     rows = vectors.select("post_id", array_to_vector("embedding").alias("features")).persist()
     try:
         k = max(MIN_CLUSTERS, min(k, MAX_CLUSTERS, rows.count()))
-        best = None
-        for turn in range(restarts):
-            model = KMeans(k=k, maxIter=max_iterations, seed=seed + turn).fit(rows)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
+
+        @inheritable_thread_target(vectors.sparkSession)
+        def fit(turn: int):
+            return KMeans(k=k, maxIter=max_iterations, seed=seed + turn).fit(rows)
+
+        with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:
+            models = pool.map(fit, range(restarts))
+        best = min(models, key=lambda model: model.summary.trainingCost)
         labelled = best.transform(rows).select("post_id", F.col("prediction").alias("cluster"))
         return relabel_by_size(stage(labelled, "kmeans"))
     finally:

@@ -1,8 +1,10 @@
 """Community detection by modularity: distributed Louvain.
 
-Nodes move at the same time, each to the neighbouring community with the largest gain. Only half
-of the nodes, picked by hash, may move in a round, which stops pairs from swapping for ever; the
-best partition seen is kept. Communities are then contracted to nodes and the rounds repeat until
+Nodes move at the same time, each to the neighbouring community with the largest gain. On the first
+level half of the nodes, picked by hash, may move in a round. Once communities are contracted to
+nodes, a single move changes much, so there every community is, by hash, either open or closed and
+only members of closed ones move, to open ones: no community both loses and wins members. The best
+partition seen is kept, and a round that lowers modularity is taken back. Levels repeat until
 modularity gains less than the threshold.
 """
 
@@ -13,13 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmurlens.operators.graph import symmetric
-from murmurlens.operators.skew import MIN_HEAVY_ROWS, heavy_keys, with_fan, with_salt
+from murmurlens.operators.skew import MIN_HEAVY_ROWS, heavy_keys, spread_join, with_fan, with_salt
 from murmurlens.runtime import cut
 
 # Resolution and the modularity gain below which a level ends.
 RESOLUTION = 1.0
 MIN_GAIN = 1e-7
-MAX_ROUNDS = 24
+
+ROUND_GAIN = 2e-3
+PATIENCE = {"nodes": 1, "contracted": 4}
+MAX_ROUNDS = 20
 MAX_LEVELS = 12
 
 
@@ -57,7 +62,7 @@ def _options(links: DataFrame, heavy: DataFrame | None, assigned: DataFrame, gra
     return per_community.withColumn("gain", gain)
 
 
-def _level(links: DataFrame, vertices: DataFrame, graph_weight: float, resolution: float) -> tuple[DataFrame, float]:
+def _level(links: DataFrame, vertices: DataFrame, graph_weight: float, resolution: float, kind: str) -> tuple[DataFrame, float]:
     """Best partition of one level: ``(id, community)`` and its modularity.
 
     ``links(src, dst, weight)`` holds both directions without loops; ``vertices(id, strength,
@@ -75,54 +80,57 @@ def _level(links: DataFrame, vertices: DataFrame, graph_weight: float, resolutio
     links = links.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK)
     loops = vertices.agg(F.sum("loop")).first()[0] or 0.0
     assigned = vertices.select("id", F.col("id").alias("community"), "strength")
-    best, best_quality, last_quality, stalled = None, float("-inf"), float("-inf"), 0
+    best, best_quality, stalled = None, float("-inf"), 0
     try:
         for turn in range(MAX_ROUNDS):
             assigned = _with_totals(assigned, rows)
             options = _options(links, heavy, assigned, graph_weight, resolution)
             mine = F.col("own") == 1
+            # The round enters the hash as text: a number would change the generated code each time.
+            heads = lambda column: F.pmod(F.xxhash64(column, F.lit(str(turn))), F.lit(2)) == 0  # noqa: B023, E731
+            is_target = F.lit(True) if kind == "nodes" else heads("community")
             chosen = cut(
                 options.groupBy("id").agg(
-                    F.min(F.struct((-F.col("gain")).alias("loss"), "community")).alias("best"),
+                    F.min(F.when(is_target & ~mine, F.struct((-F.col("gain")).alias("loss"), "community"))).alias("best"),
                     F.max(F.when(mine, F.col("gain"))).alias("own_gain"),
+                    F.max(F.when(~mine, F.col("gain"))).alias("any_gain"),
                     F.max(F.when(mine, F.col("community"))).alias("community"),
                     F.max(F.when(mine, F.col("inside"))).alias("inside"),
                     F.max("strength").alias("strength"),
                 )
             )
+            wants_move = F.coalesce(F.col("any_gain") > F.col("own_gain") + 1e-12, F.lit(False))
             per_community = chosen.groupBy("community").agg(
-                F.sum("inside").alias("inside"), F.sum("strength").alias("total")
+                F.sum("inside").alias("inside"), F.sum("strength").alias("total"), F.max(wants_move).alias("unsettled")
             )
-            parts_of_quality = per_community.agg(
-                F.sum("inside"), F.sum((F.col("total") / graph_weight) ** 2)
+            sums = per_community.agg(
+                F.sum("inside"), F.sum((F.col("total") / graph_weight) ** 2), F.max("unsettled")
             ).first()
-            quality = (parts_of_quality[0] + loops) / graph_weight - resolution * parts_of_quality[1]
+            quality = (sums[0] + loops) / graph_weight - resolution * sums[1]
+            stalled = stalled + 1 if quality - best_quality < ROUND_GAIN else 0
             if quality > best_quality:
-                best, best_quality = chosen.select("id", "community"), quality
-            stalled = stalled + 1 if quality - last_quality < MIN_GAIN else 0
-            last_quality = quality
-            if stalled >= 2:
+                best, best_quality = chosen, quality
+            if stalled > PATIENCE[kind] or not sums[2]:
                 break
-            may_move = F.pmod(F.xxhash64("id") + F.lit(turn), F.lit(2)) == 0
-            better = -F.col("best.loss") > F.col("own_gain") + 1e-12
-            assigned = chosen.select(
-                "id",
-                F.when(may_move & better, F.col("best.community")).otherwise(F.col("community")).alias("community"),
-                "strength",
-            )
+            better = (-F.col("best.loss") > F.col("own_gain") + 1e-12) & ~heads("id" if kind == "nodes" else "community")
+            moved = F.when(better, F.col("best.community")).otherwise(F.col("community"))
+            if quality < best_quality:
+                chosen, moved = best, F.col("community")
+            assigned = chosen.select("id", moved.alias("community"), "strength")
     finally:
         links.unpersist()
-    return best, best_quality
+    return best.select("id", "community"), best_quality
 
 
 def _contract(links: DataFrame, vertices: DataFrame, partition: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Communities become nodes; links inside one become its loop."""
     named = partition.select(F.col("id"), F.col("community"))
+    ends = links.select("src", "dst", "weight")
+    rows = ends.count()
+    ends = spread_join(ends, named.select(F.col("id").alias("src"), F.col("community").alias("new_src")), "src", "dst", rows=rows)
+    ends = spread_join(ends, named.select(F.col("id").alias("dst"), F.col("community").alias("new_dst")), "dst", "src", rows=rows)
     lifted = (
-        links.select("src", "dst", "weight")
-        .join(named.select(F.col("id").alias("src"), F.col("community").alias("new_src")), "src")
-        .join(named.select(F.col("id").alias("dst"), F.col("community").alias("new_dst")), "dst")
-        .groupBy(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
+        ends.groupBy(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
         .agg(F.sum("weight").alias("weight"))
     )
     lifted = cut(lifted)
@@ -138,7 +146,7 @@ def _contract(links: DataFrame, vertices: DataFrame, partition: DataFrame) -> tu
         )
     )
     strengths = new_vertices.select(F.col("id").alias("src"), F.col("strength").alias("src_strength"))
-    return lifted.filter("src <> dst").join(strengths, "src"), new_vertices
+    return spread_join(lifted.filter("src <> dst"), strengths, "src", "dst"), new_vertices
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
@@ -149,12 +157,13 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = RESOLUTION)
     graph_weight = vertices.agg(F.sum("strength")).first()[0]
     if not graph_weight:
         return nodes.select("id", F.col("id").alias("community"))
-    links = both.join(
-        vertices.select(F.col("id").alias("src"), F.col("strength").alias("src_strength")), "src"
-    )
+    strengths = vertices.select(F.col("id").alias("src"), F.col("strength").alias("src_strength"))
+    links = spread_join(both, strengths, "src", "dst")
     membership, quality = None, float("-inf")
     for _ in range(MAX_LEVELS):
-        partition, level_quality = _level(links, vertices, graph_weight, resolution)
+        partition, level_quality = _level(
+            links, vertices, graph_weight, resolution, "nodes" if membership is None else "contracted"
+        )
         if membership is not None and level_quality - quality < MIN_GAIN:
             break
         quality = level_quality

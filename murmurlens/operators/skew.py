@@ -60,12 +60,16 @@ def spread_join(
     how: str = "inner",
     max_keys: int = MAX_HEAVY_KEYS,
     min_rows: int = MIN_HEAVY_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi-join where ``left`` may be skewed on ``key`` (inner, left, left_semi, left_anti).
 
     Rows of a heavy key are dealt over several tasks by ``spread``; only the few matching rows of
-    ``right`` are repeated. Without heavy keys this is the plain join.
+    ``right`` are repeated. Without heavy keys this is the plain join. ``rows`` is the size of
+    ``left`` where known; too few rows to make a heavy key save the count per key.
     """
+    if rows is not None and rows <= min_rows:
+        return left.join(right, key, how)
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows_per_key"))
     heavy = heavy_keys(counts, key, "rows_per_key", max_keys, min_rows)
     if heavy is None:

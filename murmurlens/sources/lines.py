@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +45,12 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     in_partition = F.col("row").bitwiseAND(F.lit(2**33 - 1))
     if len(names) == 1:
         return scanned.select(_packed(F.lit(0), F.col("offset"), in_partition).alias("line_pos"), "line")
-    numbers = spark.createDataFrame(list(enumerate(names)), "file_number int, file_path string")
+    # The file list writes local paths with more slashes than the scan does.
+    same_form = [re.sub("^file:/+", "file:/", name) for name in names]
+    numbers = spark.createDataFrame(list(enumerate(same_form)), "file_number int, file_path string")
+    number = F.coalesce("file_number", F.raise_error(F.concat(F.lit("unlisted file "), "file_path")).cast("int"))
     return scanned.join(F.broadcast(numbers), "file_path", "left").select(
-        _packed(F.col("file_number"), F.col("offset"), in_partition).alias("line_pos"), "line"
+        _packed(number, F.col("offset"), in_partition).alias("line_pos"), "line"
     )
 
 
