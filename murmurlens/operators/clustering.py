@@ -143,7 +143,11 @@ def _cell_pairs(vectors: DataFrame, rows_per_cell: int, ordered: bool) -> Callab
     first = F.col("cell") if ordered else F.lit(0)
     left = named.select("*", F.col("cell").alias("a"), F.explode(F.sequence(first, F.lit(cells - 1))).alias("b"))
     last = F.col("cell") if ordered else F.lit(cells - 1)
-    right = named.select("*", F.explode(F.sequence(F.lit(0), last)).alias("a"), F.col("cell").alias("b"))
+    # Own names on the right, so that the two sides of one table do not share columns.
+    right = named.select(
+        F.col("post_id").alias("their_id"), F.col("embedding").alias("their_embedding"),
+        F.explode(F.sequence(F.lit(0), last)).alias("a"), F.col("cell").alias("b"),
+    )
 
     def run(function, schema):
         return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(function, schema)
@@ -167,8 +171,8 @@ def core_distances(vectors: DataFrame, min_samples: int = MIN_SAMPLES, rows_per_
         ids = mine.column("post_id").to_pylist()
         near: list = []
         if ids:
-            others = {key: i for i, key in enumerate(theirs.column("post_id").to_pylist())}
-            distances = _distances(as_matrix(mine.column("embedding")), as_matrix(theirs.column("embedding")))
+            others = {key: i for i, key in enumerate(theirs.column("their_id").to_pylist())}
+            distances = _distances(as_matrix(mine.column("embedding")), as_matrix(theirs.column("their_embedding")))
             for row, key in enumerate(ids):
                 if key in others:
                     distances[row, others[key]] = np.inf
@@ -196,8 +200,8 @@ def density_links(core_points: DataFrame, eps: float, rows_per_cell: int = ROWS_
     def forest(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         links: list[tuple] = []
         if mine.num_rows and theirs.num_rows:
-            a, b = mine.column("post_id").to_pylist(), theirs.column("post_id").to_pylist()
-            near = _distances(as_matrix(mine.column("embedding")), as_matrix(theirs.column("embedding"))) <= eps
+            a, b = mine.column("post_id").to_pylist(), theirs.column("their_id").to_pylist()
+            near = _distances(as_matrix(mine.column("embedding")), as_matrix(theirs.column("their_embedding"))) <= eps
             seen_a, seen_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
             for root in range(len(a)):
                 if seen_a[root]:

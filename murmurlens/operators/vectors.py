@@ -155,15 +155,16 @@ def _scan_by_blocks(queries, vectors, k, query_id, item_id, schema, max_queries,
         )
 
     left = in_cells(vectors, item_id, "cell", "block", cells, blocks)
-    right = in_cells(queries, query_id, "block", "cell", blocks, cells)
+    # Own names on the right: the two sides may come from one table and must not share columns.
+    asked = queries.select(F.col(query_id).alias("asked_id"), F.col("embedding").alias("asked_embedding"))
+    right = in_cells(asked, "asked_id", "block", "cell", blocks, cells)
 
     def score(items: pa.Table, asked: pa.Table) -> pa.Table:
         best = _Best(asked.num_rows, k)
         if items.num_rows and asked.num_rows:
-            best.offer(
-                as_matrix(asked.column("embedding")), as_matrix(items.column("embedding")), _id_array(items.column(item_id))
-            )
-        return _batch(best, asked.column(query_id).to_pylist(), arrow_schema)
+            matrix = as_matrix(asked.column("asked_embedding"))
+            best.offer(matrix, as_matrix(items.column("embedding")), _id_array(items.column(item_id)))
+        return _batch(best, asked.column("asked_id").to_pylist(), arrow_schema)
 
     return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(score, schema)
 

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from murmurlens.operators import ingest
@@ -163,8 +164,8 @@ def test_store_replace_insert_and_load_once(spark, golden, tmp_path):
     first = golden.posts.filter("post_id IN ('a', 'b')")
     assert store.replace_posts(first, path).count() == 2
     incoming = golden.posts.unionByName(golden.posts.withColumn("title", F.lit("later")))
-    incoming = incoming.withColumn("position", F.when(F.col("title") == "later", 1).otherwise(0) * 1000 + F.length("post_id"))
-    incoming = incoming.withColumn("position", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("position", "post_id")))
+    order = W.orderBy(F.when(F.col("title") == "later", 1).otherwise(0), "post_id")
+    incoming = incoming.withColumn("position", F.row_number().over(order))
     stored = store.insert_posts(incoming, path, "position")
     assert stored.count() == golden.posts.count()
     assert stored.filter("title = 'later'").count() == 0
