@@ -460,10 +460,11 @@ def _(tables):
                  || COUNT(DISTINCT h.subreddit) || ' subreddits.' END AS summary,
        'How are communities responding to ' || q.text || '?|Key influencers discussing ' || q.text || '|Timeline of '
          || q.text || ' discussions' AS follow_up_queries,
-       STRING_AGG('[Post ' || h.rank || '] r/' || h.subreddit || ' by u/' || h.author || ' (score: ' || h.score || ')' || CHR(10)
+       STRING_AGG('[Post ' || h.place || '] r/' || h.subreddit || ' by u/' || h.author || ' (score: ' || h.score || ')' || CHR(10)
          || 'Title: ' || h.title || CHR(10) || 'Content: ' || SUBSTRING(h.content, 1, 300) || CHR(10), CHR(10) || '---' || CHR(10)
-         ORDER BY h.rank) FILTER (h.rank <= 10) AS context
-       FROM topics q LEFT JOIN hits h USING (query_id) GROUP BY q.query_id, q.text""",
+         ORDER BY h.place) FILTER (h.place <= 10) AS context
+       FROM topics q LEFT JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM hits) h USING (query_id)
+       GROUP BY q.query_id, q.text""",
     "topics", "hits",
 )
 def _(tables):

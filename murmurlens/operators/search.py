@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmurlens.functions import text
@@ -48,23 +48,12 @@ def search_report(queries: DataFrame, hits: DataFrame, context_posts: int = 10)
 
     ``hits`` comes from :func:`search`, so a query has at most a hundred rows.
     """
+    shown = F.struct("rank", "subreddit", "author", "score", "title", clip(F.col("content"), 300).alias("content"))
+    first = F.slice(F.array_sort(F.collect_list(shown)), 1, context_posts)
     per_query = hits.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("total_results"),
         F.count_distinct("subreddit").alias("communities"),
-        F.array_join(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(
-                        F.when(
-                            F.col("rank") <= context_posts,
-                            F.struct("rank", "subreddit", "author", "score", "title", clip(F.col("content"), 300).alias("content")),
-                        )
-                    )
-                ),
-                post_block,
-            ),
-            "\n---\n",
-        ).alias("context"),
+        F.array_join(F.transform(first, post_block), "\n---\n").alias("context"),
     )
     checked = validate_queries(queries)
     query, found = F.col("query"), F.coalesce("total_results", F.lit(0))
@@ -83,12 +72,11 @@ def search_report(queries: DataFrame, hits: DataFrame, context_posts: int = 10)
     )
 
 
-def post_block(post, index=None):
-    """Numbered text block of one post, for prompts and exports."""
-    number = post["rank"] if index is None else index + 1
+def post_block(post: Column, place: Column) -> Column:
+    """Numbered text block of one post, for prompts and exports. ``place`` counts from 0."""
     return F.format_string(
         "[Post %d] r/%s by u/%s (score: %d)\nTitle: %s\nContent: %s\n",
-        number, post["subreddit"], post["author"], post["score"], post["title"], post["content"],
+        place + 1, post["subreddit"], post["author"], post["score"], post["title"], post["content"],
     )
 
 
