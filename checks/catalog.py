@@ -828,16 +828,16 @@ def _(tables):
     "tidy_labels",
     f"""SELECT doc_id, CASE WHEN LEN(words) > 7 THEN ARRAY_TO_STRING(words[1:5], ' ') ELSE bare END AS label
        FROM (SELECT doc_id, bare, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(bare, '\\s+'), lambda x: x <> '') AS words
-             FROM (SELECT doc_id, TRIM(TRIM(TRIM(TRIM(SUBSTRING(text, 1, 60), {BLANKS}), '"'), ''''), {BLANKS}) AS bare FROM documents) t) u""",
+             FROM (SELECT doc_id, TRIM(TRIM(TRIM(TRIM(text, {BLANKS}), '"'), ''''), {BLANKS}) AS bare FROM documents) t) u""",
 )
 def _(tables):
-    return tables.raw("documents").select("doc_id", text.tidy_label(F.substring("text", 1, 60)).alias("label"))
+    return tables.raw("documents").select("doc_id", text.tidy_label(F.col("text")).alias("label"))
 
 
 # -- encoding ----------------------------------------------------------------------------------
 
 
-@query("encoded_posts")
+@query("encoded_posts", "SELECT post_id, 384 AS dimensions, CAST(1.0 AS DOUBLE) AS squared_length FROM posts", "posts")
 def _(tables):
     encoded = tables.encoded_posts()
     return encoded.select("post_id", F.size("embedding").alias("dimensions"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared_length"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from murmurlens.functions.text import GENERIC_LABELS, clip, is_topic_word, keyword_label, tidy_label, word_pieces
 from murmurlens.operators.clustering import MEMBERS_SHOWN, first_members
+from murmurlens.runtime import stage
 
 # Posts looked at per cluster, posts shown, clusters named by keywords.
 POSTS_READ = 10
@@ -17,8 +18,9 @@ UNCATEGORIZED = "Uncategorized"
 
 
 def member_posts(points: DataFrame, posts: DataFrame, members: int = POSTS_READ) -> DataFrame:
-    """Details of the first members of every cluster, noise left out."""
-    chosen = first_members(points.filter("cluster >= 0"), members)
+    """Details of the first members of every cluster, noise left out. The chosen ids are written
+    first, so that the planner joins by their true size."""
+    chosen = stage(first_members(points.filter("cluster >= 0"), members), "members")
     return chosen.join(
         posts.select(
             "post_id", "title", clip(F.col("selftext"), 300).alias("selftext"), "author", "created_utc",

@@ -10,6 +10,7 @@ from murmurlens.functions.text import clip
 from murmurlens.operators.filters import checked_top_k, validate_queries
 from murmurlens.operators.series import bucket_date
 from murmurlens.operators.vectors import top_k
+from murmurlens.runtime import stage
 
 # Post columns a search hit carries, with the widths of the clipped ones.
 HIT_COLUMNS = [
@@ -35,11 +36,12 @@ def with_posts(hits: DataFrame, posts: DataFrame) -> DataFrame:
 def search(queries: DataFrame, vectors: DataFrame, posts: DataFrame, k: int = 10) -> DataFrame:
     """Search for a batch of ``queries(query_id, text, embedding)``.
 
-    Blank queries find nothing. Ranking runs on ids and vectors alone; texts are fetched for the
-    hits only.
+    Blank queries find nothing. Ranking runs on ids and vectors alone. The ranked ids are written
+    before their posts are fetched, so the planner sees how few they are and need not shuffle the
+    posts; a large batch of queries gets a shuffle join by the same size check.
     """
     asked = validate_queries(queries).filter(F.col("error").isNull())
-    hits = top_k(asked, vectors, checked_top_k(k))
+    hits = stage(top_k(asked, vectors, checked_top_k(k)), "hits")
     return with_posts(hits, posts)
 
 

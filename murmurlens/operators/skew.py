@@ -19,8 +19,9 @@ def heavy_keys(
 ) -> DataFrame | None:
     """Keys that hold more than ``1/max_keys`` of all rows, with the number of salts each needs.
 
-    At most ``max_keys`` keys can pass that test whatever the data, so the result is always small
-    enough to broadcast. ``None`` when no key is that heavy. ``counts`` has one row per key.
+    At most ``max_keys`` keys can pass that test whatever the data, so the list is fetched once and
+    is always small enough to broadcast. ``None`` when no key is that heavy. ``counts`` has one row
+    per key.
     """
     seen = counts.agg(F.sum(count).alias("total"), F.max(count).alias("top")).first()
     if seen["total"] is None:
@@ -28,9 +29,10 @@ def heavy_keys(
     share = max(-(-seen["total"] // max_keys), min_rows)
     if seen["top"] <= share:
         return None
-    return counts.filter((F.col(count) > share) & F.col(key).isNotNull()).select(
+    found = counts.filter((F.col(count) > share) & F.col(key).isNotNull()).select(
         key, F.ceil(F.col(count) / share).cast("int").alias("fan")
     )
+    return counts.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def with_salt(df: DataFrame, key: str, heavy: DataFrame, spread: Column) -> DataFrame:

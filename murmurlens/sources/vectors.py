@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmurlens.runtime import stage
+
 VECTORS_SCHEMA = "post_id string, embedding array<float>"
 
 
@@ -27,7 +29,10 @@ def vector_gaps(vectors: DataFrame, posts: DataFrame, dimensions: int) -> DataFr
     All zero means that the store can be reused as it is."""
     sized = vectors.select("post_id", (F.size("embedding") == dimensions).alias("fits"))
     matched = posts.select("post_id", F.lit(1).alias("is_post")).join(sized, "post_id", "full")
-    count = lambda condition: F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
+
+    def count(condition: Column) -> Column:
+        return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
+
     return matched.agg(
         count(F.col("is_post").isNotNull() & ~F.coalesce("fits", F.lit(False))).alias("missing"),
         count(F.col("is_post").isNull()).alias("orphaned"),
@@ -36,11 +41,16 @@ def vector_gaps(vectors: DataFrame, posts: DataFrame, dimensions: int) -> DataFr
 
 
 def complete_vectors(
-    posts: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame], rebuild: bool = False
+    posts: DataFrame,
+    path: str,
+    encode: Callable[[DataFrame], DataFrame],
+    dimensions: int,
+    rebuild: bool = False,
 ) -> DataFrame:
-    """Vectors for all posts. Posts that have one keep it; the others are encoded and appended.
+    """Vectors for all posts. Valid ones are kept and only posts without one are encoded.
 
-    ``encode`` maps ``(post_id, content)`` to ``(post_id, embedding)``.
+    ``encode`` maps ``(post_id, content)`` to ``(post_id, embedding)``. Vectors without a post or
+    of another length make the store be written anew from the valid rest.
     """
     spark = posts.sparkSession
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -48,6 +58,15 @@ def complete_vectors(
     texts = posts.select("post_id", "content")
     if rebuild or not files.exists(location):
         return save_vectors(encode(texts), path)
-    missing = texts.join(read_vectors(spark, path).select("post_id"), "post_id", "left_anti")
-    encode(missing).select("post_id", "embedding").write.mode("append").parquet(path)
+    stored = read_vectors(spark, path)
+    gaps = vector_gaps(stored, posts, dimensions).first()
+    if not any(gaps):
+        return stored
+    valid = stored.filter(F.size("embedding") == dimensions)
+    missing = texts.join(valid.select("post_id"), "post_id", "left_anti")
+    fresh = encode(missing).select("post_id", "embedding")
+    if gaps["orphaned"] or gaps["wrong_length"]:
+        kept = valid.join(posts.select("post_id"), "post_id", "left_semi")
+        return save_vectors(stage(kept.unionByName(fresh), "vectors"), path)
+    fresh.write.mode("append").parquet(path)
     return read_vectors(spark, path)

@@ -136,10 +136,13 @@ def test_vector_store(spark, tmp_path, data):
         calls.append(texts.count())
         return texts.select("post_id", F.array_repeat(F.lit(0.25).cast("float"), 16).alias("embedding"))
 
-    done = store.complete_vectors(posts, path, encode_missing)
+    done = store.complete_vectors(posts, path, encode_missing, 16)
     assert calls == [2] and done.count() == 6
+    assert store.complete_vectors(posts, path, encode_missing, 16).count() == 6 and calls == [2]
     assert tuple(store.vector_gaps(done, posts, 16).first()) == (0, 0, 0)
     assert tuple(store.vector_gaps(done, posts.limit(0), 8).first()) == (0, 6, 6)
+    fewer = store.complete_vectors(posts.filter("post_id <> 'p001'"), path, encode_missing, 16)
+    assert sorted(r["post_id"] for r in fewer.collect()) == ["p000", "p002", "p003", "p004", "p005"]
     with pytest.raises(ValueError):
         store.save_vectors(vectors.limit(0), path)
-    assert search.with_posts(done.select("post_id"), posts).count() == 6
+    assert search.with_posts(vectors.filter("post_id < 'p006'").select("post_id"), posts).count() == 6
