@@ -873,3 +873,41 @@ def _(tables):
     from murmurlens.sources.vectors import vector_gaps
 
     return vector_gaps(tables.vectors(), tables.posts(), 64)
+
+
+@query(
+    "search_payload",
+    """SELECT q.query_id, COUNT(h.post_id) AS results, ARG_MIN(h.post_id, h.rank) AS first_id, ARG_MAX(h.post_id, h.rank) AS last_id,
+       MAX(h.similarity_score) AS best_score FROM topics q LEFT JOIN hits h USING (query_id) GROUP BY q.query_id""",
+    "topics", "hits",
+)
+def _(tables):
+    nested = reports.search_posts(tables.topic_queries(), tables.vectors(), tables.posts(), 50).payload()
+    results = F.col("results")
+    return nested.select(
+        "query_id",
+        F.coalesce(F.size(results), F.lit(0)).cast("bigint").alias("results"),
+        F.try_element_at(results, F.lit(1))["post_id"].alias("first_id"),
+        F.try_element_at(results, F.lit(-1))["post_id"].alias("last_id"),
+        F.try_element_at(results, F.lit(1))["similarity_score"].alias("best_score"),
+    )
+
+
+@query(
+    "clustering_choice",
+    """SELECT COUNT(*) AS points, CASE WHEN COUNT(*) = 0 THEN 'none' WHEN COUNT(*) > 1500 THEN 'kmeans' ELSE 'hdbscan' END AS method,
+       CASE WHEN COUNT(*) = 0 THEN 'No embeddings available for clustering.'
+            WHEN COUNT(*) > 1500 THEN 'Used KMeans (15 clusters) for performance on large dataset.' END AS warning,
+       CASE WHEN COUNT(*) < 50 THEN 'Requested 50 clusters, but dataset only has ' || COUNT(*) || ' points. Using ' || COUNT(*) || ' clusters instead.'
+            WHEN 50 >= COUNT(*) // 2 THEN 'Warning: 50 clusters for ' || COUNT(*)
+              || ' posts may produce very small or degenerate clusters. Results may not be meaningful.' END AS warning_for_50
+       FROM embeddings""",
+)
+def _(tables):
+    counted = tables.raw("embeddings").agg(F.count(F.lit(1)).alias("points"))
+    points = counted.first()["points"]
+    auto, fifty = clustering.choose_method(points), clustering.choose_method(points, 50)
+    return counted.select(
+        "points", F.lit(auto.method).alias("method"), F.lit(auto.warning).cast("string").alias("warning"),
+        F.lit(fifty.warning).cast("string").alias("warning_for_50"),
+    )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from murmurlens.operators.graph import symmetric
 from murmurlens.operators.skew import MIN_HEAVY_ROWS, heavy_keys, spread_join, with_fan, with_salt
-from murmurlens.runtime import cut
+from murmurlens.runtime import cut, even_tasks
 
 # Resolution and the modularity gain below which a level ends.
 RESOLUTION = 1.0
@@ -68,8 +68,6 @@ def _level(links: DataFrame, vertices: DataFrame, graph_weight: float, resolutio
     ``links(src, dst, weight)`` holds both directions without loops; ``vertices(id, strength,
     loop)`` has the total link weight of a node and the part of it that is internal.
     """
-    spark = links.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vertices.count()
     degrees = links.groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
     link_rows = links.count()
@@ -77,7 +75,7 @@ def _level(links: DataFrame, vertices: DataFrame, graph_weight: float, resolutio
     keys = ["dst"] if heavy is None else ["dst", "salt"]
     if heavy is not None:
         links = with_salt(links, "dst", heavy, F.col("src"))
-    links = links.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    links = links.repartition(even_tasks(links.sparkSession, link_rows), *keys).persist(StorageLevel.MEMORY_AND_DISK)
     loops = vertices.agg(F.sum("loop")).first()[0] or 0.0
     assigned = vertices.select("id", F.col("id").alias("community"), "strength")
     best, best_quality, stalled = None, float("-inf"), 0

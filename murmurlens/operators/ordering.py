@@ -17,9 +17,8 @@ def with_global_index(df: DataFrame, *order: str | Column) -> DataFrame:
     Rows are range-partitioned and sorted, and written with their partition and place, so that
     later jobs agree on both; one count per partition then gives the offsets.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id())
         .withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from murmurlens.operators.graph import symmetric
 from murmurlens.operators.skew import MAX_HEAVY_KEYS, MIN_HEAVY_ROWS, heavy_keys, with_fan, with_salt
-from murmurlens.runtime import cut, stage
+from murmurlens.runtime import cut, even_tasks, stage
 
 # Damping, iteration limit and tolerance per node.
 ALPHA = 0.85
@@ -44,7 +44,6 @@ def pagerank(
     total_nodes = nodes.count()
     if total_nodes == 0:
         return spark.createDataFrame([], "id string, pagerank double")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = symmetric(edges, "weight")
     vertices = stage(
         links.groupBy(F.col("src").alias("id")).agg(
@@ -52,7 +51,8 @@ def pagerank(
         ),
         "vertices",
     )
-    linked = vertices.count()
+    linked, ends = vertices.agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
+    parts = even_tasks(spark, ends)
     start = 1.0 / total_nodes
     heavy = heavy_keys(vertices.withColumnRenamed("id", "src"), "src", "degree", max_heavy, min_heavy_rows)
     keys = ["src"] if heavy is None else ["src", "salt"]

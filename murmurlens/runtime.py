@@ -79,6 +79,15 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def even_tasks(spark: SparkSession, rows: int) -> int:
+    """Partitions for a table that an iterative job keeps: few for small data, the session's
+    setting above a million rows, and more than that where partitions would exceed 500,000 rows."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows < 1_000_000:
+        return max(1, min(configured, -(-rows // 50_000)))
+    return max(configured, -(-rows // 500_000))
+
+
 class Workspace:
     """Named tables that are written on first use and read from then on.
 
