@@ -18,7 +18,7 @@ from murmurlens.operators.louvain import louvain
 from murmurlens.operators.pagerank import pagerank
 from murmurlens.operators.skew import heavy_keys, with_fan, with_salt
 from murmurlens.operators.vectors import l2_normalize, mean_vectors
-from murmurlens.runtime import Workspace, pin_settings
+from murmurlens.runtime import Workspace, pin_settings, spread_small
 from murmurlens.schema import POST_COLUMNS, POSTS_SCHEMA
 from murmurlens.sources.lines import number_lines
 
@@ -57,8 +57,9 @@ class Inputs:
         return salted.join(with_fan(groups, "digest", heavy), ["digest", "salt"]).drop("digest", "salt")
 
     def _build_posts(self) -> DataFrame:
-        documents = self.raw("documents").select(
-            "doc_id", "text", "lang", "source", (F.col("doc_id") * 5).alias("event_id")
+        documents = spread_small(
+            self.raw("documents").select("doc_id", "text", "lang", "source", (F.col("doc_id") * 5).alias("event_id")),
+            "doc_id",
         )
         events = self.raw("events").select("event_id", "ts", "user_id", "event_type", "value", "props")
         labels = self.raw("labels").select("doc_id", "toxic")

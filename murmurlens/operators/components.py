@@ -18,13 +18,15 @@ def _hook(pairs: DataFrame, rows: int, max_heavy: int, min_heavy_rows: int) -> D
     """``(u, v, least)``: each pair with the smallest neighbour of ``u``. The centre of a large
     star is a heavy key, so beyond ``min_heavy_rows`` pairs its rows are dealt over salts."""
     least = pairs.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("degree"))
-    if rows > min_heavy_rows:
-        least = cut(least)
-        heavy = heavy_keys(least, "u", "degree", max_heavy, min_heavy_rows)
-        if heavy is not None:
-            salted = with_salt(pairs, "u", heavy, F.col("v"))
-            return salted.join(with_fan(least.drop("degree"), "u", heavy), ["u", "salt"]).drop("salt")
-    return pairs.join(least.drop("degree"), "u")
+    if rows <= min_heavy_rows:
+        return pairs.join(least.drop("degree"), "u")
+    least = cut(least)
+    heavy = heavy_keys(least, "u", "degree", max_heavy, min_heavy_rows)
+    least, keys = least.drop("degree"), ["u"]
+    if heavy is not None:
+        pairs, least, keys = with_salt(pairs, "u", heavy, F.col("v")), with_fan(least, "u", heavy), ["u", "salt"]
+    # One row per key on the right: hashing it spares sorting all pairs.
+    return pairs.join(least.hint("shuffle_hash"), keys).drop("salt")
 
 
 def _large_star(stars: DataFrame, rows: int, max_heavy: int, min_heavy_rows: int) -> DataFrame:
@@ -47,9 +49,7 @@ def connected_components(
 ) -> DataFrame:
     """``(id, component)``; a component is named by its smallest id, isolated nodes included."""
     stars = cut(
-        edges.filter("src <> dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
+        edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     )
     # Order-free fingerprint of the edge set; the sum stays exact as a decimal.
     fingerprint = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]

@@ -79,6 +79,13 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Deal an input that comes in fewer pieces than there are cores over all cores. Inputs with
+    enough pieces, which is every large one, pass through without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def even_tasks(spark: SparkSession, rows: int) -> int:
     """Partitions for a table that an iterative job keeps: few for small data, the session's
     setting above a million rows, and more than that where partitions would exceed 500,000 rows."""
