@@ -57,9 +57,14 @@ class SeriesResult:
 
 
 def volume_over_time(posts: DataFrame, grain: str = "day", community: str | None = None) -> SeriesResult:
+    """Volume of all posts or of one community, in date order, with a sentence about it."""
     points = series.volume(posts, grain, community)
     label = f"r/{community} activity" if community else "All posts activity"
-    return SeriesResult(points, series.trend(points, label))
+    return SeriesResult(points.orderBy("date"), series.trend(points, label))
+
+
+def engagement_over_time(posts: DataFrame, grain: str = "day", metric: str = "score") -> DataFrame:
+    return series.engagement(posts, grain, metric).orderBy("date")
 
 
 def volume_of_search(
@@ -72,7 +77,7 @@ def volume_of_search(
     hits = search.search(asked, vectors, posts, checked_top_k(min(k, MOST_SERIES_HITS)))
     points = series.volume(hits, grain, community)
     label = F.coalesce(F.lit(query.select(F.trim("text")).first()[0]), F.lit(""))
-    return SeriesResult(points, series.trend(points, label))
+    return SeriesResult(points.orderBy("date"), series.trend(points, label))
 
 
 # -- network -----------------------------------------------------------------------------------
@@ -187,7 +192,7 @@ def case_study(posts: DataFrame, full: GraphResult, topic: str) -> CaseStudy:
         topic=topic,
         narrative=story_narrative(topic, key, network.totals),
         key_posts=key.orderBy(F.desc_nulls_last("score"), "post_id").limit(STORY_SHOWN),
-        timeline=SeriesResult(points, series.trend(points, topic)),
+        timeline=SeriesResult(points.orderBy("date"), series.trend(points, topic)),
         network=network,
         breakdown=stats.narrative_breakdown(posts),
     )

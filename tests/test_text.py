@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from murmurlens.functions import text
 from murmurlens.operators import filters, series
+from murmurlens.plans import reports
 
 
 def column(spark, values, build, kind="string"):
@@ -77,6 +78,10 @@ def test_series_and_trend(spark):
     assert engaged == {day(1): (2, 2.0, 2), day(7): (1, 4.0, 4), day(8): (2, 4.5, 9)}
     nothing = series.engagement(posts.withColumn("score", F.lit(None).cast("int"))).first()
     assert (nothing["avg_metric"], nothing["total_metric"]) == (0.0, 0)
+    told = reports.volume_over_time(posts, community="a")
+    assert [r["date"] for r in told.points.collect()] == [day(1), day(8)]
+    assert told.trend.first()["query"] == "r/a activity"
+    assert [r["date"] for r in reports.engagement_over_time(posts, "week").collect()] == [day(1), day(8)]
     trend = series.trend(series.volume(posts), "x").first()
     assert trend["summary"] == 'The query "x" returned 5 posts. Peak activity was on 2024-01-01 with 2 posts.'
     assert trend["data_text"] == "2024-01-01: 2, 2024-01-07: 1, 2024-01-08: 2"
