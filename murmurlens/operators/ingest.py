@@ -195,7 +195,9 @@ def number_missing_ids(staged: DataFrame) -> DataFrame:
     """Give posts with a blank id ``unknown_n``, n being the number of posts kept before them.
 
     The kept rows are counted per input split and summed over the splits in order; only splits
-    that hold a blank id are numbered row by row. One row per split passes through one task.
+    that hold a blank id are numbered row by row. One row per split passes through one task. The
+    names are written before they are joined, so that a short list is broadcast and the full rows
+    stay where they are.
     """
     narrow = staged.select("post_id", "line_pos")
     if narrow.filter("post_id = ''").isEmpty():
@@ -220,6 +222,7 @@ def number_missing_ids(staged: DataFrame) -> DataFrame:
         .filter("is_blank")
         .select("line_pos", F.concat(F.lit("unknown_"), F.col("n").cast("string")).alias("given_id"))
     )
+    names = stage(names, "given-ids")
     return (
         staged.join(names, "line_pos", "left")
         .withColumn("post_id", F.coalesce("given_id", "post_id"))
