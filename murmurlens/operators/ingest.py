@@ -58,11 +58,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def head_records(lines: DataFrame, wanted: int) -> DataFrame:
     """``(line_pos, record)`` of the first ``wanted`` valid records.
 
-    Only the first lines are parsed; more are taken while too few of them are valid.
+    The place of the last line to look at is found from the positions alone, so that only the first
+    lines are read and parsed; more are taken while too few of them are valid.
     """
     taken = 50 * wanted
     while True:
-        head = cut(lines.orderBy("line_pos").limit(taken))
+        last = lines.select("line_pos").orderBy("line_pos").limit(taken).agg(F.max("line_pos")).first()[0]
+        head = cut(lines.filter(F.col("line_pos") <= F.lit(last)))
         records = cut(parse_lines(head)).filter("status = 'valid'")
         if records.count() >= wanted or head.count() < taken:
             return records.select("line_pos", "record").orderBy("line_pos").limit(wanted)
