@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlens.llm import chats, packing, sentencepieces, token_files
+from murmurlens.llm import chats, language, packing, quality, sentencepieces, token_files
 from murmurlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,15 @@ FROM numbered SEMI JOIN maximal USING (conv_id) GROUP BY conv_id
 @query("op8_chat_format", CHATS_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.drop("text")
