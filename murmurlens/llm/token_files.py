@@ -150,7 +150,7 @@ def write_shards(
         row = [[shard], [name], [len(keys)], [out.tokens], [out.sequences]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["shard", "name", "documents", "tokens", "sequences"])
 
-    ordered = texts_of(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stage(ordered.mapInArrow(write, MANIFEST), "token-shards")
 
 
