@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlens.llm import chats, html, jaccard, language, packing, quality, sentencepieces, token_files
+from murmurlens.llm import chats, context_tree, html, jaccard, language, packing, quality, sentencepieces, token_files
 from murmurlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,8 +41,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_sentencepiece")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepieces.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
-    return sentencepieces.digests(coded)
+    return sentencepieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 @query("op4_packing")
@@ -91,3 +90,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_jaccard")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(table(spark, sf_dir, "documents"))
+
+
+@query("op2_context_tree")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
