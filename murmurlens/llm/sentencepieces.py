@@ -56,31 +56,26 @@ class ChunkTable:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the place where each text begins in them. Texts are cut at single spaces;
         runs of spaces and literal markers, which are rare, are cut by pattern instead."""
-        odd = pc.match_substring_regex(texts, f"  |^ | $|{MARK}")
-        single = pc.split_pattern(pc.if_else(odd, None, texts), " ")
+        strange = pc.match_substring_regex(texts, f"^$|  |^ | $|{MARK}").to_numpy(zero_copy_only=False)
+        single = pc.split_pattern(texts.filter(pa.array(~strange)) if strange.any() else texts, " ")
         coded = single.flatten().dictionary_encode()
-        flat, lengths = self._flat(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat, lengths = self._flat(coded.dictionary.to_pylist())
         starts = np.cumsum(lengths) - lengths
         at = coded.indices.to_numpy(zero_copy_only=False)
         per_chunk = lengths[at]
         ids, ends = gather(flat, starts[at], per_chunk), np.concatenate([[0], np.cumsum(per_chunk)])
-        sizes = np.diff(ends[single.offsets.to_numpy() - single.offsets[0].as_py()])
-        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        strange = odd.to_numpy(zero_copy_only=False)
-        if not (empty.any() or strange.any()):
-            return ids, np.concatenate([[0], np.cumsum(sizes)])
-        cuts, parts, sized = np.concatenate([[0], np.cumsum(sizes)]), [], []
-        for i, (no_text, by_pattern) in enumerate(zip(empty.tolist(), strange.tolist())):
-            if no_text:
-                part = ids[:0]
-            elif by_pattern:
-                chunks = [x[1:].replace(MARK, " ") for x in CHUNK.findall(" " + texts[i].as_py())]
-                part = self._flat_in_order(chunks)
+        cuts = ends[single.offsets.to_numpy() - single.offsets[0].as_py()] if len(single) else np.zeros(1, np.int64)
+        if not strange.any():
+            return ids, cuts
+        parts, plain = [], zip(cuts.tolist(), cuts[1:].tolist())
+        for i, by_pattern in enumerate(strange.tolist()):
+            if by_pattern:
+                text = texts[i].as_py()
+                parts.append(self._flat_in_order([x[1:].replace(MARK, " ") for x in CHUNK.findall(" " + text)] if text else []))
             else:
-                part = ids[cuts[i] : cuts[i + 1]]
-            parts.append(part)
-            sized.append(len(part))
-        return np.concatenate(parts) if parts else ids, np.concatenate([[0], np.cumsum(sized)]).astype(np.int64)
+                a, b = next(plain)
+                parts.append(ids[a:b])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
     def _flat_in_order(self, chunks: list[str]) -> np.ndarray:
         self._learn([*dict.fromkeys(chunks)])
@@ -94,7 +89,7 @@ def chunk_table(path: str) -> ChunkTable:
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = chunk_table(path)
-        for batch in slices(batches):
+        for batch in slices(batches, most=6 << 20):
             ids, cuts = known.encode(column(batch, "text"))
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), lists], ["doc_id", "ids"])
@@ -121,9 +116,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, ids, decoded)``: both directions in one pass over the texts."""
+ROUND_TRIP = "doc_id long, ids array<int>, decoded string"
+
 
+def _round_trip(path: str):
     def run(batches):
         model = chunk_table(path).model
         for batch in _encoded(path)(batches):
@@ -133,22 +129,27 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 texts = model.decode(some.to_pylist())
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(start, 200), some, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return run
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of what :func:`round_trip` returns."""
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``(doc_id, ids, decoded)``: both directions in one pass over the texts."""
+    return texts_of(docs).mapInArrow(_round_trip(path), ROUND_TRIP)
+
+
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of what :func:`round_trip` gives, taken
+    where the ids are made, so that they need not leave the task."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _round_trip(path)(batches):
             lists = column(batch, "ids")
             flat = lists.flatten().to_numpy()
             cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             names = np.unique(flat)
             joined = pc.cast(pa.array(names), pa.string()).to_numpy(zero_copy_only=False)
             words = joined[np.searchsorted(names, flat)].tolist()
-            cuts = cuts.tolist()
-            sums = [hashlib.sha256(",".join(words[a:b]).encode()).hexdigest() for a, b in zip(cuts, cuts[1:])]
+            sums = [hashlib.sha256(",".join(words[a:b]).encode()).hexdigest() for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
             texts = column(batch, "decoded").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -160,4 +161,4 @@ def digests(coded: DataFrame) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return coded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
