@@ -13,10 +13,10 @@ by very many documents doesn't bring these together unless it makes up most of t
 How it runs: (1) one pass gives sizes and set hashes, and classes by aggregation; (2) a second pass
 over the classes' texts packs sketch words by hash range, and each range finds the words that
 several sets have; words of more than one in ``HEAVY_SHARE`` documents are counted in the first
-pass and skip this exchange, so no range grows with one word; (3) what is left is joined. Within a
-word's list every set is first paired with one hub only; pairs are verified on the whole sets, and
-components formed; then all remaining pairs of sets in different components are verified too, so
-no link between different components is lost and a large group costs one pair per member.
+pass and skip this exchange, so no range grows with one word; (3) the words that are left are
+joined. Pairs from lists of up to ``BUSY`` sets are verified on the whole sets. Longer lists come
+from large groups of near copies: sets connected by them form a group, whose pairs are compared
+block by block in tasks that return a spanning forest, not pairs.
 
 Set elements and words are hashes of 48 to 64 bits; apart from collisions of those the result is
 exact. Defined results: null and empty texts and those without words have no shingles and link
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from murmurlens.llm.common import column, slices, total_bytes
 from murmurlens.llm.hashing import LOWER, bytes_of, mix, runs, word_hashes, word_spans
+from murmurlens.llm.wordbpe import gather
 from murmurlens.operators.components import connected_components
 from murmurlens.runtime import stage
 
@@ -42,7 +43,8 @@ WIDTH = 5
 HEAVY_SHARE = 512
 SMALL_SET = 32
 RANGE_BYTES = 24 << 20
-NO_ID = -(1 << 63)
+BUSY, BLOCK = 8, 512
+NO_ID = (1 << 63) - 1
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -131,12 +133,34 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(PROFILE, *nothing, pa.array(words[firsts[many]].astype(np.int64)), pa.array(seen[many]))
 
 
-def _words(heavy: tuple[np.ndarray, np.ndarray], buckets: int):
-    """Packed sketch words of the classes by hash range; heavy words as rows of range -1."""
+def _packed(keys: np.ndarray, units: np.ndarray, words: np.ndarray, counts: np.ndarray | None) -> list[tuple]:
+    """A row for each key: its units, how many words each has, and all these words (and counts)."""
+    order = np.lexsort((units, keys))
+    keys, units, words = keys[order], units[order], words[order]
+    counts = None if counts is None else counts[order]
+    names, firsts = np.unique(keys, return_index=True)
+    rows = []
+    for key, a, b in zip(names.tolist(), firsts.tolist(), np.append(firsts[1:], len(keys)).tolist()):
+        own, sizes = np.unique(units[a:b], return_counts=True)
+        many = None if counts is None else np.minimum(counts[a:b], (1 << 32) - 1).astype("<u4").tobytes()
+        rows.append((key, own.tobytes(), sizes.astype("<i4").tobytes(), pack48(words[a:b]), many))
+    return rows
+
+
+PACKED = "place long, units binary, sizes binary, words binary, counts binary"
+
+
+def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return _batch("place units sizes words counts", *(pa.array(x, k) for x, k in zip(zip(*rows), kinds)))
+
+
+def _words(heavy: tuple[np.ndarray, np.ndarray], ranges: int):
+    """Packed sketch words of the classes by hash range. Heavy words, whose counts are known, go
+    straight to the place of their unit, written as ``-1 - place``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = "bucket units sizes words counts"
-        for batch in slices(batches, most=16 << 20):
+        for batch in slices(batches, most=12 << 20):
             sets, units, spans = shingle_sets(column(batch, "text")), [], []
             for s, wanted in zip(sets, column(batch, "class").to_pylist()):
                 if not len(s) or set_hash(s) != wanted:
@@ -149,85 +173,81 @@ def _words(heavy: tuple[np.ndarray, np.ndarray], buckets: int):
                     spans.append(words)
             if not units:
                 continue
-            flat = np.concatenate(spans)
-            owner = np.repeat(np.arange(len(units)), [len(s) for s in spans])
-            units = np.array(units, np.int64)
+            flat, owner = np.concatenate(spans), np.repeat(np.array(units, np.int64), [len(s) for s in spans])
             if len(heavy[0]):
                 at = np.minimum(np.searchsorted(heavy[0], flat), len(heavy[0]) - 1)
                 hit = heavy[0][at] == flat
-                for u in np.unique(owner[hit]):
-                    mine = hit & (owner == u)
-                    yield _batch(names, *(pa.array([x]) for x in (-1, units[u : u + 1].tobytes(), np.array([mine.sum()], "<i4").tobytes(), pack48(flat[mine]), heavy[1][at[mine]].astype("<i8").tobytes())))
+                if hit.any():
+                    yield _packed_batch(_packed(-1 - np.mod(owner[hit], ranges), owner[hit], flat[hit], heavy[1][at[hit]]))
                 flat, owner = flat[~hit], owner[~hit]
-            bucket = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            flat, owner, bucket = flat[order], owner[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = []
-            for b, (lo, hi) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
-                if hi > lo:
-                    own, sizes = np.unique(owner[lo:hi], return_counts=True)
-                    rows.append((b, units[own].tobytes(), sizes.astype("<i4").tobytes(), pack48(flat[lo:hi]), None))
-            if rows:
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield _batch(names, *(pa.array(x, k) for x, k in zip(zip(*rows), kinds)))
+            if len(flat):
+                place = ((flat >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                yield _packed_batch(_packed(place, owner, flat, None))
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each unit, its words that other units have too, and how many units have them. Rows come
-    sorted by range; heavy ones pass through."""
-    names, kinds = "unit words counts", (pa.int64(), pa.binary(), pa.binary())
+def _unpacked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Units and words of packed rows, word by word."""
+    units = [np.repeat(np.frombuffer(u, np.int64), np.frombuffer(s, "<i4")) for u, s, _ in rows]
+    return np.concatenate(units), np.concatenate([unpack48(w) for _, _, w in rows])
+
+
+def _shared(ranges: int):
+    """Words that several units have, with their number of units, packed by the units' places."""
 
     def of(rows):
-        units = np.concatenate([np.repeat(np.frombuffer(u, np.int64), np.frombuffer(s, "<i4")) for u, s, _ in rows])
-        words = np.concatenate([unpack48(w) for _, _, w in rows])
+        units, words = _unpacked(rows)
         order = np.argsort(words, kind="stable")
         words, units = words[order], units[order]
         firsts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
         counts = np.diff(np.append(firsts, len(words)))
         counts = np.repeat(counts, counts)
         many = counts > 1
-        words, units, counts = words[many], units[many], counts[many]
-        order = np.argsort(units, kind="stable")
-        words, units, counts = words[order], units[order], counts[order]
-        cuts = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]])) if len(units) else np.zeros(0, int)
-        out = [(int(units[a]), pack48(words[a:b]), counts[a:b].astype("<i8").tobytes()) for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(units)).tolist())]
-        for i in range(0, len(out), 5000):
-            yield _batch(names, *(pa.array(x, k) for x, k in zip(zip(*out[i : i + 5000]), kinds)))
-
-    current, rows = None, []
-    for batch in batches:
-        for bucket, units, sizes, words, counts in zip(*(column(batch, x).to_pylist() for x in "bucket units sizes words counts".split())):
-            if bucket < 0:
-                yield _batch(names, *(pa.array([x], k) for x, k in zip((int(np.frombuffer(units, np.int64)[0]), words, counts), kinds)))
-                continue
-            if bucket != current and rows:
-                yield from of(rows)
-                rows = []
-            current = bucket
-            rows.append((units, sizes, words))
-    if rows:
-        yield from of(rows)
+        if many.any():
+            yield _packed_batch(_packed(np.mod(units[many], ranges), units[many], words[many], counts[many]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows = None, []
+        for batch in batches:
+            for row in zip(*(column(batch, x).to_pylist() for x in ("place", "units", "sizes", "words", "counts"))):
+                if row[0] < 0:
+                    yield _packed_batch([(-1 - row[0], *row[1:])])
+                    continue
+                if row[0] != current and rows:
+                    yield from of(rows)
+                    rows = []
+                current = row[0]
+                rows.append(row[1:4])
+        if rows:
+            yield from of(rows)
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words by which a unit is joined: its ``d + 1`` rarest without those it has alone."""
-    for batch in batches:
-        out = []
-        for unit, wanted, d, total, words, counts in zip(*(column(batch, x).to_pylist() for x in "unit class d total words counts".split())):
-            values, times = np.concatenate([unpack48(w) for w in words]), np.concatenate([np.frombuffer(c, "<i8") for c in counts])
-            values, firsts = np.unique(values, return_index=True)
-            need = d + 1 - (total - len(values))
-            if need > 0:
-                order = np.lexsort((values, times[firsts]))[:need]
-                out.append((wanted, unit ^ wanted, values[order]))
-        if out:
-            sizes = [len(v) for _, _, v in out]
-            flat = np.concatenate([v for _, _, v in out])
-            classes, bands = np.repeat([c for c, _, _ in out], sizes), np.repeat([b for _, b, _ in out], sizes)
-            yield _batch("word class", pa.array(mix(flat + bands.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)).astype(np.int64)), pa.array(classes.astype(np.int64)))
+    return run
+
+
+def _prefixes(shared: pa.Table, known: pa.Table) -> pa.Table:
+    """The words by which units are joined: the ``d + 1`` rarest of each, without those it has
+    alone, which come first."""
+    rows = [*zip(*(shared.column(x).to_pylist() for x in ("units", "sizes", "words")))]
+    out = [np.zeros(0, np.int64)] * 2
+    if rows and known.num_rows:
+        units, words = _unpacked(rows)
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in shared.column("counts").to_pylist()])
+        order = np.lexsort((words, counts, units))
+        units, words = units[order], words[order]
+        fresh = np.concatenate([[True], (units[1:] != units[:-1]) | (words[1:] != words[:-1])])
+        units, words = units[fresh], words[fresh]
+        firsts = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]]))
+        sizes = np.diff(np.append(firsts, len(units)))
+        names, order = known.column("unit").to_numpy(), np.argsort(known.column("unit").to_numpy())
+        at = order[np.searchsorted(names[order], units[firsts])]
+        alone = known.column("total").to_numpy()[at] - sizes
+        need = known.column("d").to_numpy()[at] + 1 - alone
+        kept = np.arange(len(units)) - np.repeat(firsts, sizes) < np.repeat(need, sizes)
+        classes = np.repeat(known.column("class").to_numpy()[at], sizes)[kept]
+        bands = (units[kept] ^ classes).astype(np.uint64)
+        out = [mix(words[kept] + bands * np.uint64(0xE7037ED1A0B428DB)).astype(np.int64), classes]
+    return pa.table([pa.array(x, pa.int64()) for x in out], ["word", "class"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,27 +277,57 @@ def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return stage(both.mapInArrow(_linked, "src long, dst long, linked boolean"), name)
 
 
-def _hubs(joined: DataFrame) -> DataFrame:
-    """One pair per class: with the hub of its words that it shares most words with."""
-    hubs = joined.groupBy("word").agg(F.min("class").alias("hub"), F.max("class").alias("last")).filter("hub <> last")
-    shared = joined.join(hubs.drop("last"), "word").filter("class <> hub").groupBy("class", "hub").agg(F.count(F.lit(1)).alias("words"))
-    best = shared.groupBy("class").agg(F.max(F.struct("words", "hub")).alias("best"))
-    return best.select(F.least("class", "best.hub").alias("src"), F.greatest("class", "best.hub").alias("dst")).distinct()
+def _links_of_block(key, group):
+    """Links within a block of a busy group, or between two: for every set, the smallest row that
+    it is linked with through rows of the task."""
+    _, first, second = (x.as_py() for x in key)
+    rows = np.argsort(group.column("block").to_numpy(), kind="stable")
+    names, block = group.column("class").to_numpy()[rows], group.column("block").to_numpy()[rows]
+    raw = group.column("shingles").to_pylist()
+    sets = [unpack48(raw[i]) for i in rows]
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    split = n if first == second else int((block == first).sum())
+    flat, owner = np.concatenate([np.zeros(0, np.uint64), *sets[:split]]), np.repeat(np.arange(split), sizes[:split])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    labels = np.arange(n)
+    for j in range(1, n) if first == second else range(split, n):
+        least = min(j, split)
+        if (labels[:least] == labels[j]).all():
+            continue
+        lo, hi = np.searchsorted(flat, sets[j], "left"), np.searchsorted(flat, sets[j], "right")
+        both = np.bincount(gather(owner, lo, hi - lo), minlength=split)[:least]
+        linked = np.flatnonzero(100 * both >= 75 * (sizes[:least] + sizes[j] - both))
+        if len(linked):
+            reached = np.unique(np.append(labels[linked], labels[j]))
+            labels[np.isin(labels, reached)] = reached[0]
+    moved = labels != np.arange(n)
+    return pa.table([pa.array(names[moved], pa.int64()), pa.array(names[labels[moved]], pa.int64())], ["src", "dst"])
+
+
+def _components(edges: DataFrame, name: str) -> DataFrame:
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return stage(connected_components(nodes, edges), name)
 
 
-def _across(joined: DataFrame, components: DataFrame, done: DataFrame) -> DataFrame:
-    """All pairs of classes with a common word and different components that weren't verified."""
-    labelled = joined.join(components, joined["class"] == components["id"], "left").select("word", "class", F.coalesce("component", "class").alias("component"))
-    mixed = labelled.groupBy("word").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("word")
-    left = labelled.join(mixed, "word")
-    right = left.select("word", F.col("class").alias("dst"), F.col("component").alias("other"))
-    pairs = left.withColumnRenamed("class", "src").join(right, "word").filter("src < dst AND component <> other")
-    return pairs.select("src", "dst").distinct().join(done, ["src", "dst"], "left_anti")
+def _link_small(joined: DataFrame, words: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified pairs of the lists of ``BUSY`` sets at most."""
+    small = joined.join(words.filter(F.col("sets") <= BUSY).select("word"), "word")
+    pairs = small.withColumnRenamed("class", "src").join(small.withColumnRenamed("class", "dst"), "word").filter("src < dst")
+    return _verify(pairs.select("src", "dst").distinct(), sets, "small-pairs").filter("linked").select("src", "dst")
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return stage(connected_components(nodes, edges), "linked-classes")
+def _link_busy(joined: DataFrame, words: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of longer lists. Sets reachable through such lists form a group, all of whose pairs
+    are compared, by blocks of about ``BLOCK`` sets and pairs of blocks."""
+    busy = joined.join(words.filter(F.col("sets") > BUSY).select("word", F.col("least").alias("dst")), "word")
+    stars = stage(busy.select(F.col("class").alias("src"), "dst").distinct(), "busy-stars")
+    groups = _components(stars, "busy-groups").select(F.col("id").alias("class"), F.col("component").alias("of"))
+    blocks = groups.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "of").withColumn("block", F.pmod(F.xxhash64("class", F.lit(3)), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("of", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return stage(paired.join(sets, "class").groupBy("of", "i", "j").applyInArrow(_links_of_block, "src long, dst long"), "busy-links")
 
 
 def link_classes(texts: DataFrame, profile: DataFrame, classes: DataFrame) -> DataFrame:
@@ -290,22 +340,23 @@ def link_classes(texts: DataFrame, profile: DataFrame, classes: DataFrame) -> Da
     heavy = np.array([h[0] for h in heavy], np.uint64), np.array([h[1] for h in heavy], np.int64)
     ranges = max(1, -(-total_bytes(texts) // RANGE_BYTES))
     of_class = texts.join(classes.select("id", "class").hint("shuffle_hash"), "id").select("class", "text")
-    packed = of_class.mapInArrow(_words(heavy, ranges), "bucket long, units binary, sizes binary, words binary, counts binary")
-    spread = F.when(F.col("bucket") < 0, F.xxhash64("units")).otherwise(F.col("bucket"))
-    shared = packed.repartition(spread).sortWithinPartitions("bucket").mapInArrow(_shared, "unit long, words binary, counts binary")
-    shared = shared.groupBy("unit").agg(F.collect_list("words").alias("words"), F.collect_list("counts").alias("counts"))
+    packed = of_class.mapInArrow(_words(heavy, ranges), PACKED)
+    # Rows of a unit's place may lie anywhere; they only pass through.
+    spread = F.when(F.col("place") < 0, F.xxhash64("units")).otherwise(F.col("place"))
+    shared = packed.repartition(spread).sortWithinPartitions("place").mapInArrow(_shared(ranges), PACKED)
     own = classes.select(F.expr("class ^ band").alias("unit"), "class", F.col("own_d").alias("d"), F.col("own_words").alias("total"))
     low = classes.filter("low_d IS NOT NULL").select(F.expr("class ^ (band - 1)").alias("unit"), "class", F.col("low_d").alias("d"), F.col("low_words").alias("total"))
-    joined = stage(shared.join(own.union(low), "unit").mapInArrow(_prefixes, "word long, class long"), "joined-words").distinct()
-    joined = stage(joined, "distinct-words")
-    involved = joined.groupBy("word").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("word")
-    involved = joined.join(involved, "word", "left_semi").select("class").distinct()
-    wanted = classes.join(involved, "class", "left_semi").select("id", "class")
-    sets = stage(texts.join(wanted.hint("shuffle_hash"), "id").select("class", "text").mapInArrow(_sets, "class long, shingles binary").dropDuplicates(["class"]), "joined-sets")
-    first = _verify(_hubs(joined), sets, "hub-pairs")
-    components = _components(first.filter("linked"))
-    second = _verify(_across(joined, components, first.select("src", "dst")), sets, "other-pairs")
-    return _components(first.union(second).filter("linked"))
+    known = own.union(low).withColumn("at", F.pmod("unit", F.lit(ranges)))
+    joined = shared.groupBy("place").cogroup(known.groupBy("at")).applyInArrow(_prefixes, "word long, class long")
+    joined = stage(joined, "joined-words").distinct()
+    words = joined.groupBy("word").agg(F.count(F.lit(1)).alias("sets"), F.min("class").alias("least")).filter("sets > 1")
+    joined = stage(joined.join(words, "word"), "common-words")
+    words, joined = joined.select("word", "sets", "least").distinct(), joined.select("word", "class")
+    wanted = classes.join(joined.select("class").distinct(), "class", "left_semi").select("id", "class")
+    sets = texts.join(wanted.hint("shuffle_hash"), "id").select("class", "text").mapInArrow(_sets, "class long, shingles binary")
+    sets = stage(sets.dropDuplicates(["class"]), "joined-sets")
+    links = _link_small(joined, words, sets).union(_link_busy(joined, words, sets))
+    return _components(stage(links, "class-links"), "linked-classes")
 
 
 def components_of(docs: DataFrame) -> DataFrame:
