@@ -60,3 +60,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def total_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of all texts, from the lengths alone."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+
+
+def thinned(df: DataFrame, by: str, wanted: int, total: int | Column) -> DataFrame:
+    """About four times ``wanted`` of ``total`` rows, or all where there are fewer: those with the
+    smallest hashes ``by``. Taking a bounded sample from these instead of from all rows keeps what
+    tasks send to the driver bounded however many tasks there are."""
+    share = F.lit(4.0 * wanted) / F.greatest(F.lit(1), total if isinstance(total, Column) else F.lit(total))
+    return df.filter(F.pmod(F.col(by), F.lit(1 << 40)) < share * F.lit(float(1 << 40)))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurlens.llm.common import column, slices
+from murmurlens.llm.common import column, slices, thinned
 
 # Names of HTML elements and words of their attributes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -404,8 +404,9 @@ def fit(pages: list[str], seed: int = 5) -> tuple:
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> tuple:
     """Fit on at most ``sample`` pages."""
-    usable = pages.filter(F.col("html").rlike("(?i)<article"))
-    rows = usable.select("html", F.xxhash64(F.col("page_id").cast("string")).alias("by")).orderBy("by", "html").limit(sample).collect()
+    known = pages.select("html", F.xxhash64(F.col("page_id").cast("string")).alias("by"))
+    some = thinned(known, "by", 2 * sample, pages.count()).filter(F.col("html").rlike("(?i)<article"))
+    rows = some.orderBy(F.pmod("by", F.lit(1 << 40)), "html").limit(sample).collect()
     return fit([row[0] for row in rows])
 
 

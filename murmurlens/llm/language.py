@@ -7,8 +7,8 @@ against -1 for the rest) is solved in closed form. A kernel row is a product of
 row with the landmarks' presence matrix, so landmarks and dual weights are multiplied once into a
 matrix of n-gram by language, and a batch is scored by one product of presence rows with it.
 
-Fitting reads at most ``sample`` texts, the same number per language in the order of a hash of
-their ids (``landmarks`` of them are landmarks); scoring reads every text whole.
+Fitting reads at most ``sample`` texts, the same number per language (``PER_LANGUAGE`` at most) in
+the order of a hash of their ids (``landmarks`` of them are landmarks); scoring reads every text whole.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and every text when
 there is nothing to learn from; ties go to the first language in name order; repeated rows give
@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from murmurlens.llm.common import column, in_fold, slices, texts_of
+from murmurlens.llm.common import column, in_fold, slices, thinned
 from murmurlens.llm.hashing import LOWER, byte_runs, bytes_of, mix, starts_of_runs
+from murmurlens.runtime import stage
 
 ORDERS = (1, 2, 3, 4)
 GRAM_BITS = 18
-SAMPLE, LANDMARKS, RIDGE = 1200, 240, 1e-3
+SAMPLE, PER_LANGUAGE, LANDMARKS, RIDGE = 1200, 600, 240, 1e-3
+MOST_LANGUAGES = 400
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
@@ -93,9 +95,13 @@ def training_sample(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> tu
     """At most ``sample`` texts with their language, alike many per language, sorted by a hash."""
     known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     known = known.select("text", F.col("lang").cast("string"), F.xxhash64(F.col("doc_id").cast("string")).alias("by"))
-    languages = known.select("lang").distinct().limit(sample).count()
-    order = W.partitionBy("lang").orderBy("by", "text")
-    ranked = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, sample // max(1, languages)))
+    # At most ``MOST_LANGUAGES`` rows; rarer values are not learnt.
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).orderBy(F.desc("texts"), "lang").limit(MOST_LANGUAGES)
+    counts = stage(counts, "languages")
+    wanted = min(PER_LANGUAGE, max(1, sample // max(1, counts.count())))
+    some = thinned(known.join(F.broadcast(counts), "lang"), "by", wanted, F.col("texts"))
+    order = W.partitionBy("lang").orderBy(F.pmod("by", F.lit(1 << 40)), "text")
+    ranked = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= wanted)
     rows = ranked.orderBy("place", "lang").limit(sample).select("text", "lang").collect()
     return [row[0] for row in rows], [row[1] for row in rows]
 

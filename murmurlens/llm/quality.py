@@ -19,10 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from murmurlens.llm.common import column, slices
+from murmurlens.llm.common import column, slices, thinned
 from murmurlens.llm.hashing import SPACE, byte_runs, bytes_of, mix, runs, starts_of_runs, word_hashes, word_spans
 
 FEATURE_BITS = 18
@@ -122,9 +121,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         .filter("least = most")
         .select("labelled_id", F.col("least").cast("int").alias("good"), F.xxhash64("labelled_id").alias("by"))
     )
-    order = W.partitionBy("good").orderBy("by", "labelled_id")
-    picked = agreed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample // 2)
     totals = {row[0]: row[1] for row in agreed.groupBy("good").count().collect()}
+    half = sample // 2
+    firsts = [
+        thinned(agreed.filter(F.col("good") == c), "by", half, totals.get(c, 0)).orderBy(F.pmod("by", F.lit(1 << 40)), "labelled_id").limit(half)
+        for c in (0, 1)
+    ]
+    picked = firsts[0].union(firsts[1])
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("labelled_id"), "text")
     # Bounded by ``sample`` rows of three numbers.
     found = texts.join(F.broadcast(picked), "labelled_id").orderBy("by", "labelled_id", "text").limit(sample).select("text", "good").collect()
