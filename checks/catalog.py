@@ -696,23 +696,21 @@ def _(tables):
     "cluster_posts",
 )
 def _(tables):
-    return labels.member_posts(tables.labelled(), tables.posts())
+    return labels.member_posts(tables.labelled(), tables.posts(), 10)
 
 
 @query("cluster_keywords", "SELECT cluster_id AS cluster, label FROM keyword_labels", "keyword_labels")
 def _(tables):
-    return labels.keyword_labels(labels.member_posts(tables.labelled(), tables.posts()))
+    return labels.keyword_labels(tables.labelled(), tables.posts())
 
 
 @query(
     "cluster_names",
-    """, largest AS (SELECT cluster_id FROM sizes ORDER BY size DESC, cluster_id LIMIT 3),
-    base AS (SELECT s.cluster_id, s.size, CASE WHEN s.cluster_id < 0 THEN 'Noise/Outliers'
-        WHEN s.cluster_id IN (SELECT cluster_id FROM largest) THEN k.label
-        ELSE 'r/' || f.subreddit || ' discussions' END AS base,
+    """, base AS (SELECT s.cluster_id, s.size, CASE WHEN s.cluster_id < 0 THEN 'Noise/Outliers'
+        ELSE k.label END AS base,
         (SELECT STRING_AGG(post_id, ',' ORDER BY place) FROM cluster_posts c WHERE c.cluster_id = s.cluster_id AND place <= 5 AND s.cluster_id >= 0) AS top_posts
       FROM sizes s LEFT JOIN keyword_labels k USING (cluster_id)
-      LEFT JOIN (SELECT cluster_id, ARG_MIN(subreddit, place) AS subreddit FROM cluster_posts GROUP BY cluster_id) f USING (cluster_id)),
+    ),
     numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY base ORDER BY size DESC, cluster_id) - 1 AS again FROM base)
     SELECT cluster_id, CASE WHEN again > 0 THEN base || ' (' || again || ')' ELSE base END AS label, size, top_posts FROM numbered""",
     "sizes", "keyword_labels", "cluster_posts",

@@ -107,7 +107,7 @@ SELECT c.cluster_id, c.place, p.* FROM placed c JOIN posts p USING (post_id) WHE
 SELECT cluster_id, word, place, pos FROM (
   SELECT cluster_id, place, UNNEST(parts) AS word, UNNEST(RANGE(LEN(parts))) AS pos
   FROM (SELECT cluster_id, place, REGEXP_SPLIT_TO_ARRAY(LOWER(title), '[^\\p{{L}}\\p{{N}}_]+') AS parts
-        FROM cluster_posts WHERE cluster_id >= 0) t) u
+        FROM placed JOIN posts USING (post_id) WHERE cluster_id >= 0) t) u
 WHERE REGEXP_FULL_MATCH(word, '[a-z]{{4,}}')
   AND word NOT IN ({", ".join(f"'{word}'" for word in STOP_WORDS)})""",
     "top_words": """
@@ -133,7 +133,7 @@ NEEDS = {
     "components": ["reach"], "nodes": ["authors", "ranks", "components"],
     "dimensions": ["vectors"], "topics": ["dimensions"], "scored": ["topics", "vectors"],
     "topic_hits": ["scored"], "hits": ["topic_hits", "posts"], "labelled": ["vectors"], "sizes": ["labelled"],
-    "placed": ["labelled"], "cluster_posts": ["placed", "posts"], "words": ["cluster_posts"],
+    "placed": ["labelled"], "cluster_posts": ["placed", "posts"], "words": ["placed", "posts"],
     "top_words": ["words"], "keyword_labels": ["top_words"], "lines": ["posts"], "kept": ["lines"],
 }
 RECURSIVE = {"walk", "reach"}

@@ -27,7 +27,6 @@ from murmurlens.runtime import stage
 MIN_CLUSTERS, MAX_CLUSTERS = 2, 50
 RESTARTS, MAX_ITERATIONS, SEED = 10, 300, 42
 MIN_CLUSTER_SIZE, MIN_SAMPLES = 15, 5
-DENSITY_LIMIT = 1_500
 LARGE_CLUSTERS, FALLBACK_CLUSTERS = 15, 10
 MAX_NOISE = 0.8
 MEMBERS_SHOWN = 20
@@ -40,7 +39,6 @@ MAY_DEGENERATE = (
 )
 LARGE_DATASET = "Used KMeans (15 clusters) for performance on large dataset."
 DEGENERATE = "HDBSCAN produced insufficient clusters. Used KMeans fallback with 10 clusters."
-UNAVAILABLE = "HDBSCAN unavailable. Used KMeans with 10 clusters."
 
 DENSITY_QUANTILE = 0.75
 ROWS_PER_CELL = 2_000
@@ -67,14 +65,16 @@ def relabel_by_size(points: DataFrame) -> DataFrame:
 def kmeans(
     vectors: DataFrame, k: int, restarts: int = RESTARTS, max_iterations: int = MAX_ITERATIONS, seed: int = SEED
 ) -> DataFrame:
-    """``(post_id, cluster)``: the cheapest of ``restarts`` KMeans runs; k is kept within 2..50.
+    """``(post_id, cluster)``: the cheapest of ``restarts`` KMeans runs.
 
     The runs share one persisted input and are submitted side by side, so that small inputs do not
     leave the cluster idle between the short jobs of a single run.
     """
     rows = vectors.select("post_id", array_to_vector("embedding").alias("features")).persist()
     try:
-        k = max(MIN_CLUSTERS, min(k, MAX_CLUSTERS, rows.count()))
+        points = rows.count()
+        if not MIN_CLUSTERS <= k <= max(MIN_CLUSTERS, points):
+            raise ValueError(f"{k} clusters for {points} points")
 
         @inheritable_thread_target(vectors.sparkSession)
         def fit(turn: int):
@@ -321,8 +321,9 @@ class Choice:
     warning: str | None
 
 
-def choose_method(points: int, n_clusters: int | None = None, density_limit: int = DENSITY_LIMIT) -> Choice:
-    """KMeans when a number is asked for or the data is large, else density clustering."""
+def choose_method(points: int, n_clusters: int | None = None, density_limit: int | None = None) -> Choice:
+    """KMeans when a number is asked for, else density clustering. With ``density_limit``, data of
+    more points than that is given to KMeans too."""
     if points == 0:
         return Choice("none", None, NO_VECTORS)
     if n_clusters is not None:
@@ -331,7 +332,7 @@ def choose_method(points: int, n_clusters: int | None = None, density_limit: int
             return Choice("kmeans", most, TOO_MANY.format(k=n_clusters, n=points, most=most))
         warning = MAY_DEGENERATE.format(k=n_clusters, n=points) if n_clusters >= points // 2 else None
         return Choice("kmeans", n_clusters, warning)
-    if points > density_limit:
+    if density_limit is not None and points > density_limit:
         return Choice("kmeans", LARGE_CLUSTERS, LARGE_DATASET)
     return Choice("hdbscan", None, None)
 
@@ -354,11 +355,11 @@ def run_clustering(
     n_clusters: int | None = None,
     project: bool = True,
     restarts: int = RESTARTS,
-    density_limit: int = DENSITY_LIMIT,
+    density_limit: int | None = None,
     density: Callable[[DataFrame], DataFrame] = density_clusters,
 ) -> Clustering:
     """Cluster ``vectors(post_id, embedding)`` by the method that :func:`choose_method` picks. Too
-    few density clusters, too much noise or a failure lead to KMeans with a warning."""
+    few density clusters or too much noise lead to KMeans with a warning; failures surface."""
     total = vectors.count()
     choice = choose_method(total, n_clusters, density_limit)
     if choice.method == "none":
@@ -368,13 +369,10 @@ def run_clustering(
         return Clustering(empty, cluster_summaries(empty), 0, "none", choice.warning, 0)
     labelled = None
     if choice.method == "hdbscan":
-        try:
-            labelled = stage(density(vectors), "density")
-            found = cluster_counts(labelled).first()
-            if found["n_clusters"] <= 1 or found["noise_ratio"] > MAX_NOISE:
-                labelled, choice = None, Choice("kmeans", FALLBACK_CLUSTERS, DEGENERATE)
-        except Exception:  # any failure of the density method has the same fallback
-            labelled, choice = None, Choice("kmeans", FALLBACK_CLUSTERS, UNAVAILABLE)
+        labelled = stage(density(vectors), "density")
+        found = cluster_counts(labelled).first()
+        if found["n_clusters"] <= 1 or found["noise_ratio"] > MAX_NOISE:
+            labelled, choice = None, Choice("kmeans", max(MIN_CLUSTERS, min(FALLBACK_CLUSTERS, total)), DEGENERATE)
     if labelled is None:
         labelled = stage(kmeans(vectors, choice.k, restarts=restarts), "clusters")
     found = cluster_counts(labelled).first()

@@ -41,8 +41,10 @@ def checked_grain(grain: str) -> str:
     return "week" if grain == "week" else "day"
 
 
-def checked_top_k(top_k: int, most: int = 100) -> int:
-    return max(1, min(top_k, most))
+def checked_top_k(top_k: int) -> int:
+    if top_k < 1:
+        raise ValueError("at least one hit must be asked for")
+    return top_k
 
 
 def validate_queries(queries: DataFrame, column: str = "text") -> DataFrame:

@@ -11,15 +11,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from murmurlens.operators.filters import people_only, with_ids
-from murmurlens.operators.skew import heavy_keys, spread_join
+from murmurlens.operators.ordering import with_global_index
+from murmurlens.operators.skew import spread_join
 from murmurlens.operators.stats import one_row
 from murmurlens.runtime import stage
 
 # Edge weights, size above which a community links nobody, neighbours per author.
 CROSSPOST_WEIGHT = 3
 SHARED_COMMUNITY_WEIGHT = 1
-MAX_COMMUNITY_AUTHORS = 2_000
 NEIGHBOURS = 24
+BUCKET_ROWS = 20_000
 MAX_NODES = 250
 
 
@@ -60,23 +61,26 @@ def crosspost_pairs(posts: DataFrame) -> DataFrame:
     )
 
 
-def coactivity_pairs(
-    posts: DataFrame, max_authors: int = MAX_COMMUNITY_AUTHORS, neighbours: int = NEIGHBOURS
-) -> DataFrame:
+def coactivity_pairs(posts: DataFrame, max_authors: int | None = None, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``(src, dst)`` per shared community: each author with the next authors of the sorted list.
 
-    Communities above ``max_authors`` distinct authors are left out before anything is ordered, so
-    a window never holds more than that many rows. The heaviest ones are dropped by a list of
-    bounded length, the rest by an even join.
+    All (community, author) pairs are sorted together and cut into buckets of a fixed number of
+    rows, so a community of any size is spread over as many tasks as it needs. The first rows of a
+    bucket are also given to the one before it, whose last authors they follow. ``max_authors``
+    leaves out larger communities where that is wanted.
     """
-    members = stage(people_only(posts).select("subreddit", "author").distinct(), "members")
-    sizes = members.groupBy("subreddit").agg(F.count(F.lit(1)).alias("authors"))
-    giants = heavy_keys(sizes, "subreddit", "authors", min_rows=max(max_authors, 200_000))
-    rest = members if giants is None else members.join(F.broadcast(giants.select("subreddit")), "subreddit", "left_anti")
-    eligible = rest.join(sizes.filter(F.col("authors") <= max_authors).select("subreddit"), "subreddit", "left_semi")
-    following = W.partitionBy("subreddit").orderBy("author").rowsBetween(1, neighbours)
-    listed = eligible.select(F.col("author").alias("src"), F.collect_list("author").over(following).alias("next"))
-    return listed.select("src", F.explode("next").alias("dst"))
+    members = people_only(posts).select("subreddit", "author").distinct()
+    if max_authors is not None:
+        members = stage(members, "members")
+        sizes = members.groupBy("subreddit").agg(F.count(F.lit(1)).alias("authors"))
+        members = members.join(sizes.filter(F.col("authors") <= max_authors).select("subreddit"), "subreddit", "left_semi")
+    rows = max(BUCKET_ROWS, neighbours)
+    placed = with_global_index(members, "subreddit", "author").withColumn("bucket", F.floor(F.col("index") / rows))
+    ahead = placed.filter((F.col("index") % rows < neighbours) & (F.col("bucket") > 0)).withColumn("bucket", F.col("bucket") - 1)
+    both = placed.withColumn("own", F.lit(True)).unionByName(ahead.withColumn("own", F.lit(False)))
+    following = W.partitionBy("bucket", "subreddit").orderBy("index").rowsBetween(1, neighbours)
+    listed = both.select("own", F.col("author").alias("src"), F.collect_list("author").over(following).alias("next"))
+    return listed.filter("own").select("src", F.explode("next").alias("dst"))
 
 
 def interaction_edges(crossposts: DataFrame, coactivity: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from murmurlens.runtime import cut, stage
 from murmurlens.schema import FIELD_CANDIDATES, POST_COLUMNS
 from murmurlens.sources.lines import chunk_of, first_lines, read_lines
 
-SAMPLE_RECORDS = 10
 PREVIEW_RECORDS = 3
 
 
@@ -75,8 +74,10 @@ def record_keys(record: Column) -> Column:
     return F.json_object_keys(F.to_json(record))
 
 
-def sample_keys(lines: DataFrame, sample: int = SAMPLE_RECORDS) -> DataFrame:
-    """Distinct keys of the first ``sample`` valid records."""
+def sample_keys(lines: DataFrame, sample: int | None = None) -> DataFrame:
+    """Distinct keys of all valid records, or of the first ``sample`` where that is given."""
+    if sample is None:
+        return profile_keys(lines).select("source_key")
     return head_records(lines, sample).select(F.explode(record_keys(F.col("record"))).alias("source_key")).distinct()
 
 
@@ -95,7 +96,7 @@ def resolve_fields(keys: DataFrame) -> DataFrame:
     )
 
 
-def detect_fields(lines: DataFrame, sample: int = SAMPLE_RECORDS) -> DataFrame:
+def detect_fields(lines: DataFrame, sample: int | None = None) -> DataFrame:
     return resolve_fields(sample_keys(lines, sample))
 
 
@@ -104,8 +105,14 @@ def as_field_map(resolved: DataFrame) -> dict[str, str]:
     return {row["field"]: row["source_key"] for row in resolved.collect()}
 
 
-def detect_fields_in_files(spark: SparkSession, path: str | list[str], sample: int = SAMPLE_RECORDS) -> dict[str, str]:
-    """Field map of a file set, reading only the head of the first files."""
+def detect_fields_in_files(spark: SparkSession, path: str | list[str], sample: int | None = None) -> dict[str, str]:
+    """Field map of a file set: of all records, or with ``sample`` of the head of the first files."""
+    if sample is None:
+        found = as_field_map(detect_fields(read_lines(spark, path)))
+        if not found and parse_lines(read_lines(spark, path)).filter("status = 'valid'").isEmpty():
+            raise ValueError("no valid records in the input")
+        return found
+
     def keep(lines):
         valid = parse_lines(lines).filter("status = 'valid'")
         return valid.select("line_pos", record_keys(F.col("record")).alias("source_keys"))

@@ -10,15 +10,13 @@ from murmurlens.functions.text import GENERIC_LABELS, clip, is_topic_word, keywo
 from murmurlens.operators.clustering import MEMBERS_SHOWN, first_members
 from murmurlens.runtime import stage
 
-# Posts looked at per cluster, posts shown, clusters named by keywords.
-POSTS_READ = 10
+# Posts shown per cluster.
 POSTS_SHOWN = 5
-KEYWORD_CLUSTERS = 3
 UNCATEGORIZED = "Uncategorized"
 
 
-def member_posts(points: DataFrame, posts: DataFrame, members: int = POSTS_READ) -> DataFrame:
-    """Details of the first members of every cluster, noise left out. The chosen ids are written
+def member_posts(points: DataFrame, posts: DataFrame, members: int = POSTS_SHOWN) -> DataFrame:
+    """Details of the first ``members`` of every cluster, noise left out. The chosen ids are written
     first, so that the planner joins by their true size."""
     chosen = stage(first_members(points.filter("cluster >= 0"), members), "members")
     return chosen.join(
@@ -30,14 +28,16 @@ def member_posts(points: DataFrame, posts: DataFrame, members: int = POSTS_READ)
     )
 
 
-def keyword_labels(members: DataFrame) -> DataFrame:
-    """``(cluster, label)`` from the two most frequent title words of each cluster; the word seen
-    first among equals. ``members`` holds a few posts per cluster."""
+def keyword_labels(points: DataFrame, posts: DataFrame) -> DataFrame:
+    """``(cluster, label)`` from the two most frequent title words over all members of each cluster;
+    the word of the smallest post id, then of the first place, among equals. Words are counted with
+    partial sums, so a large cluster is no large group."""
+    members = points.filter("cluster >= 0").join(posts.select("post_id", "title", "subreddit"), "post_id")
     words = members.select(
-        "cluster", "place", F.posexplode(word_pieces(F.col("title"))).alias("pos", "word")
+        "cluster", "post_id", F.posexplode(word_pieces(F.col("title"))).alias("pos", "word")
     ).filter(is_topic_word(F.col("word")))
     counted = words.groupBy("cluster", "word").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "pos")).alias("seen")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("post_id", "pos")).alias("seen")
     )
     best = W.partitionBy("cluster").orderBy(F.desc("n"), "seen")
     top = (
@@ -46,22 +46,24 @@ def keyword_labels(members: DataFrame) -> DataFrame:
         .groupBy("cluster")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda w: w["word"]).alias("words"))
     )
-    first = members.groupBy("cluster").agg(F.min_by("subreddit", "place").alias("community"))
+    first = members.groupBy("cluster").agg(F.min_by("subreddit", "post_id").alias("community"))
     words_or_none = F.coalesce("words", F.array().cast("array<string>"))
     return first.join(top, "cluster", "left").select(
         "cluster", tidy_label(keyword_label(words_or_none, F.col("community"))).alias("label")
     )
 
 
-def name_clusters(points: DataFrame, posts: DataFrame, keyword_clusters: int = KEYWORD_CLUSTERS) -> DataFrame:
+def name_clusters(points: DataFrame, posts: DataFrame, keyword_clusters: int | None = None) -> DataFrame:
     """``(cluster_id, label, size, post_ids, top_posts)``, largest first.
 
-    The largest clusters are named by keywords, the others by the community of their first post.
+    Clusters are named by keywords. With ``keyword_clusters`` only that many of the largest are, and
+    the others by the community of their first post.
     Equal names get a running number in order of size.
     """
     members = member_posts(points, posts)
     sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.orderBy(F.desc("size"), "cluster").limit(keyword_clusters).select("cluster", F.lit(True).alias("is_large"))
+    ordered = sizes if keyword_clusters is None else sizes.orderBy(F.desc("size"), "cluster").limit(keyword_clusters)
+    largest = ordered.select("cluster", F.lit(True).alias("is_large"))
     shown = F.array_sort(
         F.collect_list(
             F.when(
@@ -74,9 +76,9 @@ def name_clusters(points: DataFrame, posts: DataFrame, keyword_clusters: int = K
         F.min_by("subreddit", "place").alias("community"), shown.alias("top_posts")
     )
     ids = first_members(points, MEMBERS_SHOWN).groupBy("cluster").agg(F.array_sort(F.collect_list("post_id")).alias("post_ids"))
-    keywords = keyword_labels(members).withColumnRenamed("label", "keywords")
+    keywords = keyword_labels(points, posts).withColumnRenamed("label", "keywords")
     named = (
-        sizes.join(F.broadcast(largest), "cluster", "left")
+        sizes.join(largest, "cluster", "left")
         .join(ids, "cluster", "left")
         .join(details, "cluster", "left")
         .join(keywords, "cluster", "left")
@@ -99,7 +101,7 @@ def posts_of_cluster(points: DataFrame, posts: DataFrame, cluster_id: int, limit
     cluster does not exist."""
     chosen = points.filter(F.col("cluster") == cluster_id).orderBy("post_id").limit(limit).select("post_id")
     return (
-        posts.join(F.broadcast(chosen), "post_id")
+        posts.join(chosen, "post_id")
         .select(
             "post_id", "title", clip(F.col("selftext"), 300).alias("selftext"), "author", "created_utc",
             "subreddit", "score", "num_comments", "permalink",

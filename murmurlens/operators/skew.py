@@ -84,14 +84,15 @@ def spread_join(
 
 
 def first_wins(df: DataFrame, key: str, position: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Keep, for every ``key``, the row with the smallest ``position`` (unique over ``df``).
+    """Keep, for every ``key``, the row with the smallest ``position`` (unique over ``df``). Rows
+    without a key repeat nothing and are all kept.
 
     Only (key, position) is aggregated, with map-side combine, so a key repeated billions of times
     costs one row per task. Full rows are not shuffled when the list of repeated keys is short;
     otherwise they are matched on ``position``, which is unique and therefore even.
     Call it on a stored table: the narrow columns are read twice.
     """
-    firsts = df.groupBy(key).agg(
+    firsts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
         F.min(position).alias("first_position"), F.count(F.lit(1)).alias("copies")
     )
     repeated = firsts.filter("copies > 1").select(key, "first_position")
@@ -102,4 +103,4 @@ def first_wins(df: DataFrame, key: str, position: str, max_broadcast_rows: int =
             .drop("first_position")
         )
     keep = firsts.select(F.col("first_position").alias(position))
-    return df.join(keep, position, "left_semi")
+    return df.join(keep, position, "left_semi").unionByName(df.filter(F.col(key).isNull()))

@@ -113,7 +113,7 @@ def key_posts(posts: DataFrame, limit: int = 30) -> DataFrame:
         .limit(limit)
         .select("post_id")
     )
-    return posts.join(F.broadcast(ranked), "post_id").select(
+    return posts.join(ranked, "post_id").select(
         "post_id",
         "title",
         clip(F.col("selftext"), 300).alias("selftext"),

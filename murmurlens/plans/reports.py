@@ -23,7 +23,7 @@ from murmurlens.runtime import stage
 NO_INTERACTIONS = "No interactions found in the dataset."
 NO_POSTS = "No posts provided."
 NO_CLUSTER = "Cluster not found or empty."
-SERIES_HITS, MOST_SERIES_HITS = 50, 200
+SERIES_HITS = 50
 STORY_POSTS, STORY_SHOWN, STORY_CONTEXT = 30, 15, 15
 
 
@@ -74,7 +74,7 @@ def volume_of_search(
     """Volume over time of the posts that one query finds. ``query`` has a single row; its hits
     stay in the cluster."""
     asked = query.filter(F.col("text").isNotNull())
-    hits = search.search(asked, vectors, posts, checked_top_k(min(k, MOST_SERIES_HITS)))
+    hits = search.search(asked, vectors, posts, checked_top_k(k))
     points = series.volume(hits, grain, community)
     label = F.coalesce(F.lit(query.select(F.trim("text")).first()[0]), F.lit(""))
     return SeriesResult(points.orderBy("date"), series.trend(points, label))

@@ -71,7 +71,7 @@ def test_kmeans_and_nearest_centre(spark):
     centres = spark.createDataFrame([(0, [0.0, 0.0]), (1, [50.0, 0.0]), (2, [0.0, 50.0])], "cluster int, embedding array<double>")
     near = as_dict(clustering.nearest_centre(vectors, centres))
     assert all(near[f"p{i:03d}"] == i // 20 for i in range(60))
-    assert set(as_dict(clustering.kmeans(frame(spark, groups()[:4]), 50, restarts=1)).values()) <= {0, 1, 2, 3}
+    assert set(as_dict(clustering.kmeans(frame(spark, groups()[:4]), 4, restarts=1)).values()) <= {0, 1, 2, 3}
 
 
 def test_projection_keeps_most_variance(spark):
@@ -94,8 +94,9 @@ def test_choice_of_method():
     assert choose(60, 70) == clustering.Choice(
         "kmeans", 50, "Requested 70 clusters, but dataset only has 60 points. Using 50 clusters instead."
     )
-    assert choose(1501) == clustering.Choice("kmeans", 15, "Used KMeans (15 clusters) for performance on large dataset.")
-    assert choose(1500).method == "hdbscan"
+    large = clustering.Choice("kmeans", 15, "Used KMeans (15 clusters) for performance on large dataset.")
+    assert choose(1501, density_limit=1500) == large
+    assert choose(1500, density_limit=1500).method == choose(10**9).method == "hdbscan"
 
 
 def test_run_clustering_paths(spark):
@@ -112,7 +113,10 @@ def test_run_clustering_paths(spark):
     def broken(_):
         raise RuntimeError("no")
 
-    assert clustering.run_clustering(vectors, density=broken, **quick).warning == clustering.UNAVAILABLE
+    with pytest.raises(RuntimeError):
+        clustering.run_clustering(vectors, density=broken, **quick)
+    with pytest.raises(ValueError):
+        clustering.kmeans(vectors.limit(5), 6)
     large = clustering.run_clustering(vectors, density_limit=60, **quick)
     assert large.warning == clustering.LARGE_DATASET and large.n_clusters == 15
     empty = clustering.run_clustering(vectors.limit(0), project=True)
@@ -131,7 +135,9 @@ def test_names_and_posts(spark):
             rows.append({"post_id": key, "title": title, "subreddit": "news" if cluster >= 3 else f"s{cluster}", "author": "ann", "score": i, "selftext": "z" * 400})
     labelled = spark.createDataFrame(points, "post_id string, cluster int").repartition(4)
     posts = make_posts(spark, rows)
-    named = labels.name_clusters(labelled, posts).collect()
+    all_named = {r["cluster_id"]: r["label"] for r in labels.name_clusters(labelled, posts).collect()}
+    assert all_named[3] == "Whatever & Title Discussions" and all_named[4] == "Whatever & Title Discussions (1)"
+    named = labels.name_clusters(labelled, posts, 3).collect()
     assert [(r["cluster_id"], r["label"], r["size"]) for r in named] == [
         (0, "Storm & Coast Discussions", 30), (1, "r/s1 Topics", 20), (2, "Election & Votes Discussions", 10),
         (-1, "Noise/Outliers", 6), (3, "r/news discussions", 5), (4, "r/news discussions (1)", 4),
@@ -145,6 +151,12 @@ def test_names_and_posts(spark):
     assert (counts["n_clusters"], counts["noise_points"], counts["total_points"]) == (5, 6, 75)
 
 
+def test_keywords_count_all_members(spark):
+    rows = [{"post_id": f"p{i:03d}", "title": "storm" if i < 10 else "election votes", "subreddit": "s"} for i in range(40)]
+    labelled = spark.createDataFrame([(r["post_id"], 0) for r in rows], "post_id string, cluster int")
+    assert labels.keyword_labels(labelled, make_posts(spark, rows)).first()["label"] == "Election & Votes Discussions"
+
+
 def test_case_study(spark):
     rows = [{"post_id": str(i), "author": f"u{i % 3}", "subreddit": f"s{i % 2}", "score": i, "title": f"t{i}", "content": "c"} for i in range(40)]
     posts = make_posts(spark, rows).withColumn("created_utc", F.lit("2024-01-03 10:00:00").cast("timestamp"))

@@ -151,6 +151,13 @@ def test_coactivity_limits(spark):
     assert got == sorted((f"a{i:03d}", f"a{j:03d}") for i in range(30) for j in range(i + 1, min(30, i + 4)))
 
 
+def test_coactivity_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BUCKET_ROWS", 7)
+    rows = [{"post_id": f"{c}{i}", "author": f"a{i:04d}", "subreddit": c} for c, n in (("s", 5), ("t", 2600), ("u", 1)) for i in range(n)]
+    got = sorted(map(tuple, graph.coactivity_pairs(make_posts(spark, rows), neighbours=3).collect()))
+    assert got == sorted((f"a{i:04d}", f"a{j:04d}") for n in (5, 2600, 1) for i in range(n) for j in range(i + 1, min(n, i + 4)))
+
+
 def test_empty_graph_reports(spark):
     full = reports.build_graph(make_posts(spark, [{"post_id": "1", "author": "[deleted]", "subreddit": "s"}]))
     assert full.totals.first().asDict() == {

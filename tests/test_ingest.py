@@ -182,3 +182,12 @@ def test_preview_and_profile(spark):
     assert preview[(1, "selftext")] == "None" and preview[(2, "id")] == "b"
     profile = {r["source_key"]: r["records"] for r in ingest.profile_keys(lines).collect()}
     assert profile == {"id": 2, "title": 1, "score": 1, "over_18": 1, "selftext": 1}
+
+
+def test_fields_of_late_records_are_found(spark):
+    lines = [json.dumps({"id": f"a{i}", "title": "t"}) for i in range(10)]
+    lines += [json.dumps({"id": f"b{i}", "title": "t", "body": "late", "upvotes": 7}) for i in range(50)]
+    numbered = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "line_pos long, line string")
+    assert ingest.as_field_map(ingest.detect_fields(numbered, sample=10)).keys() == {"post_id", "title"}
+    found = ingest.ingest_lines(numbered, as_of=dt.datetime(2024, 1, 1))
+    assert found.posts.filter("selftext = 'late'").count() == 50 and found.posts.filter("ups = 7 OR score = 7").count() == 50

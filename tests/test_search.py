@@ -65,7 +65,7 @@ def test_search_report_and_payload(data, spark):
     report = {r["query_id"]: r for r in found.report.collect()}
     assert report[2]["error"] and report[4]["error"] and report[2]["total_results"] == 0 and report[2]["follow_up_queries"] == []
     assert report[3]["warning"].startswith("Very short query ('ab')")
-    assert report[1]["total_results"] == found.hits.filter("query_id = 1").count() <= 100
+    assert report[1]["total_results"] == found.hits.filter("query_id = 1").count() == 250
     assert report[1]["summary"].startswith(f'Found {report[1]["total_results"]} posts related to "topic" across 3 subreddits.')
     assert report[1]["context"].startswith("[Post 1] r/s1 by u/ann (score: 1)\nTitle: t1\nContent: " + "c" * 300 + "\n\n---\n[Post 2]")
     first = found.hits.filter("query_id = 1 AND rank = 1").first()

@@ -57,3 +57,9 @@ def test_global_index_sample_and_quantile(spark):
     assert sample == sorted(ids)[::7]
     assert value_at_quantile(df, "x", "post_id", 0.25) == sorted(map(float, map(int, ids)))[int(0.25 * 1999)]
     assert value_at_quantile(df.limit(0), "x", "post_id", 0.5) is None
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_rows_without_a_key_are_kept(spark, limit):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "k string, p int")
+    assert sorted(r["p"] for r in skew.first_wins(df, "k", "p", limit).collect()) == [1, 2, 3]

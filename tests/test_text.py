@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from murmurlens.functions import text
@@ -53,7 +54,9 @@ def test_query_validation(spark):
 
 
 def test_arguments():
-    assert [filters.checked_top_k(k) for k in (-1, 0, 7, 1000)] == [1, 1, 7, 100]
+    assert [filters.checked_top_k(k) for k in (1, 7, 1000)] == [1, 7, 1000]
+    with pytest.raises(ValueError):
+        filters.checked_top_k(0)
     assert [filters.checked_grain(g) for g in ("week", "day", "month", "Week")] == ["week", "day", "day", "day"]
     assert filters.checked_metric("ups") == "score" and filters.checked_metric("num_comments") == "num_comments"
 
