@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.fixtures import Inputs, inputs
@@ -13,6 +14,7 @@ from murmurlens.functions import text
 from murmurlens.functions.text import STOP_WORDS
 from murmurlens.operators import clustering, filters, graph, ingest, labels, ordering, search, series, stats, vectors
 from murmurlens.plans import reports
+from murmurlens.runtime import stage
 from murmurlens.schema import FIELD_CANDIDATES, POST_COLUMNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -909,3 +911,95 @@ def _(tables):
         "points", F.lit(auto.method).alias("method"), F.lit(auto.warning).cast("string").alias("warning"),
         F.lit(fifty.warning).cast("string").alias("warning_for_50"),
     )
+
+
+# -- methods that SQL can't run: what must hold for their results, recomputed ------------------
+
+
+@query("kmeans_check", "SELECT COUNT(*) AS points, 10 AS clusters, 0 AS misplaced FROM vectors", "vectors")
+def _(tables):
+    """After the last step every point is nearest to the mean of its own cluster."""
+    found = clustering.kmeans(tables.vectors(), 10).join(tables.vectors(), "post_id")
+    axes = found.select("cluster", F.posexplode("embedding").alias("axis", "x")).groupBy("cluster", "axis").agg(F.avg("x").alias("x"))
+    centres = axes.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "x"))), lambda p: p["x"]).alias("embedding"))
+    nearest = clustering.nearest_centre(tables.vectors(), centres).select("post_id", F.col("cluster").alias("nearest"))
+    return found.join(nearest, "post_id").agg(
+        F.count(F.lit(1)).alias("points"), F.count_distinct("cluster").cast("int").alias("clusters"),
+        F.count_if(F.col("cluster") != F.col("nearest")).cast("int").alias("misplaced"),
+    )
+
+
+@query(
+    "projection_check",
+    """SELECT (SELECT COUNT(*) FROM vectors) AS points, TRUE AS centred, TRUE AS uncorrelated, TRUE AS ordered, TRUE AS widest""",
+    "vectors",
+)
+def _(tables):
+    """The plane is centred, its axes don't correlate, and no raw axis varies more than the first."""
+    plane = clustering.project_2d(tables.vectors())
+    raw = tables.vectors().select(F.posexplode("embedding").alias("axis", "v")).groupBy("axis").agg(F.var_pop("v").alias("v"))
+    most = raw.agg(F.max("v").alias("most"))
+    facts = plane.agg(
+        F.count(F.lit(1)).alias("points"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.corr("x", "y").alias("r"),
+        F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"),
+    ).join(most)
+    return facts.select(
+        "points", ((F.abs("mx") < 1e-4) & (F.abs("my") < 1e-4)).alias("centred"), (F.abs("r") < 1e-3).alias("uncorrelated"),
+        (F.col("vx") >= F.col("vy")).alias("ordered"), (F.col("vx") >= F.col("most") * (1 - 1e-4)).alias("widest"),
+    )
+
+
+@query("topic_clusters_check", "SELECT 5 AS clusters, COUNT(*) AS points, 0 AS unnamed FROM vectors", "vectors")
+def _(tables):
+    """With a number asked for: as many clusters, every point in one, every cluster named."""
+    found = reports.topic_clusters(tables.vectors(), tables.posts(), 5).clusters
+    return found.agg(
+        F.count(F.lit(1)).cast("int").alias("clusters"), F.sum("size").alias("points"),
+        F.count_if(F.coalesce("label", F.lit("")) == "").cast("int").alias("unnamed"),
+    )
+
+
+@query(
+    "search_by_text_check",
+    "SELECT COUNT(*) * 10 AS hits, 0 AS wrong_scores, 0 AS gaps FROM benchmark",
+)
+def _(tables):
+    """Each hit's score is the product of the two vectors; ranks run from 1 to 10 in score order."""
+    from murmurlens.operators import encode
+
+    asked = tables.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    queries = encode.encode_queries(encode.encode_hashed(tables.encoder(), asked, key="query_id", text="text"), asked)
+    hits = search.search(queries, tables.encoded_posts(), tables.posts(), 10).select("query_id", "rank", "post_id", "similarity_score")
+    asked_vectors = queries.select("query_id", F.col("embedding").alias("q"))
+    post_vectors = tables.encoded_posts().select("post_id", F.col("embedding").alias("p"))
+    product = F.aggregate(F.zip_with("q", "p", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    scored = hits.join(asked_vectors, "query_id").join(post_vectors, "post_id").withColumn("product", product)
+    before = Window.partitionBy("query_id").orderBy("rank")
+    placed = scored.withColumn("n", F.row_number().over(before)).withColumn("last", F.lag("similarity_score").over(before))
+    return placed.agg(
+        F.count(F.lit(1)).alias("hits"),
+        F.count_if(F.abs(F.col("product") - F.col("similarity_score")) > 2e-6).cast("int").alias("wrong_scores"),
+        F.count_if((F.col("n") != F.col("rank")) | (F.col("last") < F.col("similarity_score"))).cast("int").alias("gaps"),
+    )
+
+
+@query(
+    "louvain_check",
+    """SELECT (SELECT COUNT(*) FROM authors) AS nodes, 0 AS across_components, 0 AS misnamed, TRUE AS better_than_one""",
+    "authors", "components",
+)
+def _(tables):
+    """A community stays within a component and is named by its smallest member, and the partition
+    is better than each component as one community."""
+    from murmurlens.operators.louvain import louvain, modularity
+
+    found = stage(louvain(tables.authors(), tables.edges()), "louvain-check")
+    whole = tables.components().select("id", F.col("component").alias("community"))
+    better = modularity(tables.edges(), found) >= modularity(tables.edges(), whole) - 1e-9
+    per = found.join(tables.components(), "id").groupBy("community").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("component").alias("parts"), F.min("id").alias("least")
+    )
+    return per.agg(
+        F.sum("n").alias("nodes"), F.count_if(F.col("parts") > 1).cast("int").alias("across_components"),
+        F.count_if(F.col("least") != F.col("community")).cast("int").alias("misnamed"), F.lit(better).alias("better_than_one"),
+    )

@@ -22,10 +22,12 @@ from murmurlens.runtime import cut, even_tasks
 RESOLUTION = 1.0
 MIN_GAIN = 1e-7
 
-ROUND_GAIN = 2e-3
-PATIENCE = {"nodes": 1, "contracted": 4}
-MAX_ROUNDS = 20
-MAX_LEVELS = 12
+# A level ends when nobody wants to move or this many rounds in a row gain less than ``ROUND_GAIN``.
+ROUND_GAIN = 1e-5
+PATIENCE = {"nodes": 3, "contracted": 5}
+# More than that is an error, not a result.
+MAX_ROUNDS = 200
+MAX_LEVELS = 50
 
 
 def _with_totals(assigned: DataFrame, rows: int) -> DataFrame:
@@ -115,6 +117,8 @@ def _level(links: DataFrame, vertices: DataFrame, graph_weight: float, resolutio
             if quality < best_quality:
                 chosen, moved = best, F.col("community")
             assigned = chosen.select("id", moved.alias("community"), "strength")
+        else:
+            raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
     finally:
         links.unpersist()
     return best.select("id", "community"), best_quality
@@ -173,6 +177,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = RESOLUTION)
                 membership.join(step, "community").select("id", F.col("next").alias("community"))
             )
         links, vertices = _contract(links, vertices, partition)
+    else:
+        raise RuntimeError(f"no end after {MAX_LEVELS} levels")
     names = membership.groupBy("community").agg(F.min("id").alias("name"))
     named = membership.join(names, "community").select("id", F.col("name").alias("community"))
     return nodes.select("id").join(named, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
