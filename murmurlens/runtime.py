@@ -7,9 +7,12 @@ executor only costs the recomputation of the tasks it ran.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +29,27 @@ def build_session(app_name: str = "murmurlens", master: str | None = None, **con
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.variant.allowDuplicateKeys", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the workers this package where it isn't installed on them, as a zip of its sources."""
+    package = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    folder = Path(tempfile.mkdtemp(prefix="murmurlens-ship-"))  # on the driver, which serves it to the workers
+    target = folder / "murmurlens.zip"
+    target.write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(str(target))
+    return spark
+
+
 def pin_settings(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings that results depend on to a session built elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -79,6 +97,13 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables that :func:`stage` wrote and forgot. For the end of a job, when nothing
+    that reads them is left; checkpoints go with their DataFrames."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/stage")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread_small(df: DataFrame, key: str) -> DataFrame:
     """Deal an input that comes in fewer pieces than there are cores over all cores. Inputs with
     enough pieces, which is every large one, pass through without a shuffle."""
