@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmurlens.functions.clean import strip
 from murmurlens.functions.text import text_to_encode
 
 # Vector length and batch size.
@@ -70,7 +71,7 @@ def encode_hashed(model: PipelineModel, texts: DataFrame, key: str = "post_id",
 def encode_queries(encoded: DataFrame, queries: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """Queries with vectors from ``encoded(query_id, embedding)``; blank ones get a zero vector."""
     zero = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
-    blank = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
+    blank = F.length(strip(F.coalesce("text", F.lit("")))) == 0
     return queries.join(encoded, "query_id", "left").withColumn(
         "embedding", F.when(blank, zero).otherwise(F.col("embedding"))
     )

@@ -71,7 +71,7 @@ def head_records(lines: DataFrame, wanted: int) -> DataFrame:
 
 
 def record_keys(record: Column) -> Column:
-    return F.json_object_keys(F.to_json(record))
+    return F.map_keys(F.try_variant_get(record, "$", "map<string,variant>"))
 
 
 def sample_keys(lines: DataFrame, sample: int | None = None) -> DataFrame:

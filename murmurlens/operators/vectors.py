@@ -62,7 +62,7 @@ def as_matrix(column) -> np.ndarray:
 
 def _rounded(scores: np.ndarray) -> np.ndarray:
     scale = 10.0**DECIMALS
-    return np.floor(scores * scale + 0.5) / scale
+    return np.sign(scores) * np.floor(np.abs(scores) * scale + 0.5) / scale
 
 
 class _Best:

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmurlens.operators import encode, search
+from murmurlens.operators import vectors as vectors_module
 from murmurlens.operators.vectors import l2_normalize, top_k
 from murmurlens.plans import reports
 from murmurlens.sources import vectors as store
@@ -146,3 +147,11 @@ def test_vector_store(spark, tmp_path, data):
     with pytest.raises(ValueError):
         store.save_vectors(vectors.limit(0), path)
     assert search.with_posts(vectors.filter("post_id < 'p006'").select("post_id"), posts).count() == 6
+
+
+def test_blank_queries_and_negative_scores(spark):
+    asked = spark.createDataFrame([(1, "\t\n"), (2, " "), (3, "word")], "query_id int, text string")
+    encoded = spark.createDataFrame([(i, [1.0, 0.0]) for i in (1, 2, 3)], "query_id int, embedding array<float>")
+    got = {r["query_id"]: list(r["embedding"]) for r in encode.encode_queries(encoded, asked, dimensions=2).collect()}
+    assert got == {1: [0.0, 0.0], 2: [0.0, 0.0], 3: [1.0, 0.0]}
+    assert vectors_module._rounded(np.array([-0.0000015, 0.0000015, -0.25])).tolist() == [-0.000002, 0.000002, -0.25]
