@@ -15,7 +15,7 @@ sends each distinct byte run (and each distinct word, for the unigram base) once
 count, to the shelf that its last context bytes (or its hash) name. Shelves add the counts up and
 weight the contexts they hold; only sums per last context byte, 256 rows at most, go on to the
 driver for the two shallowest levels. Then every shelf answers the requests of every part, and the
-parts score their documents from the answers. Nothing whole passes through one place: a shelf's
+parts score their documents from the answers. Answers come in the order of the keys, which a part knows. Nothing whole passes through one place: a shelf's
 requests are split by groups of ``PARTS_PER_GROUP`` parts, and counts are added up per group first.
 
 Defined results: a null text counts as empty: its only token is the end; without training documents
@@ -182,20 +182,33 @@ def _shelf(keys: np.ndarray, kind: int, shelves: int) -> np.ndarray:
     return ((names >> np.uint64(32)) * np.uint64(shelves) >> np.uint64(32)).astype(np.int64) * 2 + kind
 
 
+def _kinds_of(group: pa.Table, depth: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a part's texts in order, and their counts in training texts."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for batch in slices(group.to_batches(), most=2 << 20):
+        train = ~column(batch, "held_out").to_numpy(zero_copy_only=False).astype(bool)
+        values, at = grams_of(column(batch, "text"), depth) if kind == 0 else words_of(column(batch, "text"))
+        learnt = np.repeat(train, np.diff(at))
+        keys, counts = _distinct(values[learnt])
+        rest, _ = _distinct(values[~learnt])
+        found += [(keys, counts), (rest, np.zeros(len(rest), np.int64))]
+    return _counted([x for x, _ in found], [n for _, n in found])
+
+
+def _by_shelf(keys: np.ndarray, kind: int, shelves: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts keys on their shelves, each in key order, and the shelves."""
+    shelf = _shelf(keys, kind, shelves)
+    order = np.argsort(shelf, kind="stable")
+    return order, shelf[order]
+
+
 def _count(depth: int, shelves: int):
     def run(group: pa.Table) -> pa.Table:
         part, rows = group.column("part")[0].as_py(), []
         for kind in (0, 1):
-            found = []
-            for batch in slices(group.to_batches(), most=2 << 20):
-                train = column(batch, "held_out").to_numpy(zero_copy_only=False) == 0
-                values, at = grams_of(column(batch, "text"), depth) if kind == 0 else words_of(column(batch, "text"))
-                learnt = np.repeat(train, np.diff(at))
-                found += [(*_distinct(values[learnt]), 1), (*_distinct(values[~learnt]), 0)]
-            keys, counts = _counted([x for x, _, _ in found], [n * use for _, n, use in found])
-            shelf = _shelf(keys, kind, shelves)
-            order = np.argsort(shelf, kind="stable")
-            keys, counts, shelf = keys[order], counts[order], shelf[order]
+            keys, counts = _kinds_of(group, depth, kind)
+            order, shelf = _by_shelf(keys, kind, shelves)
+            keys, counts = keys[order], counts[order].astype("<u4")
             names, firsts = np.unique(shelf, return_index=True)
             for name, a, b in zip(names.tolist(), firsts.tolist(), np.append(firsts[1:], len(keys)).tolist()):
                 rows.append((part, part // PARTS_PER_GROUP, name, keys[a:b].tobytes(), counts[a:b].tobytes()))
@@ -205,15 +218,15 @@ def _count(depth: int, shelves: int):
     return run
 
 
-def _added(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _added(group: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return _counted(
         [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()],
-        [np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist()],
+        [np.frombuffer(x, kind) for x in group.column("counts").to_pylist()],
     )
 
 
 def _add(group: pa.Table) -> pa.Table:
-    keys, counts = _added(group)
+    keys, counts = _added(group, "<u4")
     return pa.table([group.column("shelf").slice(0, 1), pa.array([keys.tobytes()]), pa.array([counts.tobytes()])], ["shelf", "keys", "counts"])
 
 
@@ -221,7 +234,7 @@ def _weigh(depth: int):
     """Add up a shelf; byte runs also give the sums for the shallow levels, words their totals."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys, counts = _added(group)
+        keys, counts = _added(group, "<i8")
         keys, counts = keys[counts > 0], counts[counts > 0]
         shelf, top = group.column("shelf")[0].as_py(), None
         if shelf % 2 == 0 and len(keys):
@@ -246,18 +259,17 @@ def _top_rows(batches):
 
 def _respond(top: tuple, depth: int):
     def run(key, requests: pa.Table, model: pa.Table) -> pa.Table:
-        grams, counts = _added(model) if model.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        grams, counts = _added(model, "<i8") if model.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         wanted = [np.frombuffer(x, np.uint64) for x in requests.column("keys").to_pylist()]
         word = key[0].as_py() % 2
         names = _distinct(np.concatenate(wanted))[0] if wanted else grams[:0]
         if word:
             at = np.minimum(np.searchsorted(grams, names), max(0, len(grams) - 1))
-            values = np.where(grams[at] == names, counts[at], 0).astype(float) if len(grams) else np.zeros(len(names))
+            values = np.where(grams[at] == names, counts[at], 0) if len(grams) else np.zeros(len(names), np.int64)
         else:
             values = answer(names, grams, counts, top, depth)
         values = [values[np.searchsorted(names, x)].tobytes() for x in wanted]
-        columns = [requests.column("part"), pa.array([word] * len(wanted), pa.int64()), requests.column("keys"), pa.array(values, pa.binary())]
-        return pa.table(columns, ["part", "word", "keys", "value"])
+        return pa.table([requests.column("part"), requests.column("shelf"), pa.array(values, pa.binary())], ["part", "shelf", "value"])
 
     return run
 
@@ -265,19 +277,19 @@ def _respond(top: tuple, depth: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
-def _score(depth: int, train_tokens: int, kinds: int, ends: int):
+def _score(depth: int, shelves: int, train_tokens: int, kinds: int, ends: int):
     whole = train_tokens + 0.5 * (kinds + 1)
     log_of = lambda counts: np.log10((counts + 0.5) / whole)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         kept = []
-        for word in (0, 1):
-            rows = [i for i, x in enumerate(answers.column("word").to_pylist()) if x == word]
-            some = answers.take(rows)
-            keys = np.concatenate([np.zeros(0, np.uint64)] + [np.frombuffer(x, np.uint64) for x in some.column("keys").to_pylist()])
-            values = np.concatenate([np.zeros(0)] + [np.frombuffer(x) for x in some.column("value").to_pylist()])
-            order = np.argsort(keys)
-            kept.append((keys[order], values[order]))
+        rows = sorted(zip(answers.column("shelf").to_pylist(), answers.column("value").to_pylist()))
+        for kind, number in ((0, "<f8"), (1, "<i8")):
+            keys, _ = _kinds_of(docs, depth, kind)
+            order, _ = _by_shelf(keys, kind, shelves)
+            values = np.empty(len(keys), number)
+            values[order] = np.frombuffer(b"".join(value for shelf, value in rows if shelf % 2 == kind), number)
+            kept.append((keys, values))
         (grams, chances), (words, counts) = kept
         logs = log_of(counts)
         out = []
@@ -324,7 +336,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, depth: i
     groups = counts.select(F.col("shelf").alias("of_shelf"), F.col("group").alias("of_group")).distinct()
     models = shelves.join(groups, F.col("shelf") == F.col("of_shelf")).select("of_shelf", "of_group", "keys", "counts")
     answers = counts.groupBy("shelf", "group").cogroup(models.groupBy("of_shelf", "of_group")).applyInArrow(
-        lambda key, requests, model: _respond(shared.value, depth)(key, requests, model), "part long, word long, keys binary, value binary"
+        lambda key, requests, model: _respond(shared.value, depth)(key, requests, model), "part long, shelf long, value binary"
     )
-    scoring = _score(depth, words[0] + ends, words[1] + (ends > 0), ends)
+    scoring = _score(depth, parts, words[0] + ends, words[1] + (ends > 0), ends)
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(scoring, SCORES)
