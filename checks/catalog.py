@@ -938,14 +938,14 @@ def _(tables):
     """The plane is centred, its axes don't correlate, and no raw axis varies more than the first."""
     plane = clustering.project_2d(tables.vectors())
     raw = tables.vectors().select(F.posexplode("embedding").alias("axis", "v")).groupBy("axis").agg(F.var_pop("v").alias("v"))
-    most = raw.agg(F.max("v").alias("most"))
+    most = raw.agg(F.max("v")).first()[0]
     facts = plane.agg(
         F.count(F.lit(1)).alias("points"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.corr("x", "y").alias("r"),
         F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"),
-    ).join(most)
+    )
     return facts.select(
         "points", ((F.abs("mx") < 1e-4) & (F.abs("my") < 1e-4)).alias("centred"), (F.abs("r") < 1e-3).alias("uncorrelated"),
-        (F.col("vx") >= F.col("vy")).alias("ordered"), (F.col("vx") >= F.col("most") * (1 - 1e-4)).alias("widest"),
+        (F.col("vx") >= F.col("vy")).alias("ordered"), (F.col("vx") >= F.lit(most * (1 - 1e-4))).alias("widest"),
     )
 
 
