@@ -51,6 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
                 start, held = i, 0
             held += size + 64
         yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -42,7 +42,8 @@ from murmurlens.runtime import stage
 WIDTH = 5
 HEAVY_SHARE = 512
 SMALL_SET = 32
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 16 << 20
+HELD_WORDS = 1_200_000
 BUSY, BLOCK = 8, 512
 NO_ID = (1 << 63) - 1
 LOW48 = np.uint64((1 << 48) - 1)
@@ -114,7 +115,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [*zip(*values)] if values else [()] * width
         return [pa.array(x, pa.int64()) for x in columns]
 
-    for batch in slices(batches, most=4 << 20):
+    for batch in slices(batches, most=2 << 20):
         sets = shingle_sets(column(batch, "text"))
         n, found, sketches = len(sets), [], []
         for s in sets:
@@ -160,19 +161,9 @@ def _words(heavy: tuple[np.ndarray, np.ndarray], ranges: int):
     straight to the place of their unit, written as ``-1 - place``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=12 << 20):
-            sets, units, spans = shingle_sets(column(batch, "text")), [], []
-            for s, wanted in zip(sets, column(batch, "class").to_pylist()):
-                if not len(s) or set_hash(s) != wanted:
-                    continue
-                for band, d in bands_of(len(s)):
-                    words = sketch_words(s, band)
-                    if len(words) <= d:
-                        raise ValueError("a sketch has too few words for its band")
-                    units.append(wanted ^ band)
-                    spans.append(words)
-            if not units:
-                continue
+        units, spans = [], []
+
+        def sorted_rows() -> Iterator[pa.RecordBatch]:
             flat, owner = np.concatenate(spans), np.repeat(np.array(units, np.int64), [len(s) for s in spans])
             if len(heavy[0]):
                 at = np.minimum(np.searchsorted(heavy[0], flat), len(heavy[0]) - 1)
@@ -184,6 +175,23 @@ def _words(heavy: tuple[np.ndarray, np.ndarray], ranges: int):
                 place = ((flat >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 yield _packed_batch(_packed(place, owner, flat, None))
 
+        for batch in slices(batches, most=2 << 20):
+            sets = shingle_sets(column(batch, "text"))
+            for s, wanted in zip(sets, column(batch, "class").to_pylist()):
+                if not len(s) or set_hash(s) != wanted:
+                    continue
+                for band, d in bands_of(len(s)):
+                    words = sketch_words(s, band)
+                    if len(words) <= d:
+                        raise ValueError("a sketch has too few words for its band")
+                    units.append(wanted ^ band)
+                    spans.append(words)
+            if sum(map(len, spans)) > HELD_WORDS:
+                yield from sorted_rows()
+                units, spans = [], []
+        if units:
+            yield from sorted_rows()
+
     return run
 
 
@@ -252,7 +260,7 @@ def _prefixes(shared: pa.Table, known: pa.Table) -> pa.Table:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles of the texts of joined classes, as packed 48-bit hashes in order of the hash."""
-    for batch in slices(batches, most=4 << 20):
+    for batch in slices(batches, most=2 << 20):
         sets = shingle_sets(column(batch, "text"))
         keep = [i for i, (s, wanted) in enumerate(zip(sets, column(batch, "class").to_pylist())) if set_hash(s) == wanted]
         if keep:

@@ -114,7 +114,7 @@ def predict(docs: DataFrame, model: LanguageModel, *more: Column | str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = shared.value
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=2 << 20):
             texts = column(batch, "text")
             langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             lettered = [i for i, text in enumerate(texts.to_pylist()) if names and LETTER.search(text)]

@@ -80,7 +80,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = word_table(tokenizer), np.array([end_id], np.uint32)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in slices(batches):
+        for batch in slices(batches, most=8 << 20):
             ids, cuts = known.encode(column(batch, "text"))
             rows = []
             for doc_id, a, b in zip(column(batch, "doc_id").to_pylist(), cuts.tolist(), cuts[1:].tolist()):

@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: QualityModel, *more: Column | str, min_quality
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        for batch in slices(batches, most=3 << 20):
+        for batch in slices(batches, most=2 << 20):
             texts = column(batch, "text")
             flat, cuts = bytes_of(texts)
             starts, ends, word_cuts = word_spans(flat, cuts)

@@ -132,7 +132,7 @@ def write_shards(
         shard, end, out = TaskContext.get().partitionId(), np.array([end_id], np.uint32), None
         files, path = open_folder(folder)
         name = f"shard-{shard:07d}-{uuid.uuid4().hex[:12]}"
-        for batch in slices(batches):
+        for batch in slices(batches, most=8 << 20):
             ids, cuts = known.encode(column(batch, "text"))
             for doc_id, a, b in zip(column(batch, "doc_id").to_pylist(), cuts.tolist(), cuts[1:].tolist()):
                 if out is None:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from murmurlens.llm.common import worker_cache
 
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 # Letters whose lower case is one letter of the same block and that no normal form changes.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&#*|]*)")
 
@@ -71,7 +71,7 @@ class WordTable:
         self.ends = np.array(
             [bool(suffix) and (self.whole.id_to_token(i) or "").endswith(suffix) for i in range(self.vocabulary)]
         )
-        self.words, self.cores, self.tails = Kept(most), Kept(most), Kept(10_000)
+        self.words, self.cores, self.tails = Kept(most), Kept(most // 2), Kept(10_000)
 
     def _encode_cores(self, cores: list[str]) -> None:
         """Ids of plain lower-case words: many words per call, cut again at the word-end pieces."""
