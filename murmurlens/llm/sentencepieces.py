@@ -25,7 +25,7 @@ from murmurlens.llm.common import column, slices, texts_of, worker_cache
 from murmurlens.llm.wordbpe import Kept, gather
 
 MARK = "▁"
-MOST_CHUNKS = 200_000
+MOST_CHUNKS = 120_000
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
 

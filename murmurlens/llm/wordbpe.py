@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from murmurlens.llm.common import worker_cache
 
-MOST_WORDS = 200_000
+MOST_WORDS = 80_000
 # Letters whose lower case is one letter of the same block and that no normal form changes.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&#*|]*)")
 
