@@ -3,7 +3,9 @@
 A vector is described by its nearest reference points (pivots) in order. Close vectors have close
 descriptions, so each pivot keeps an inverted list of the vectors that name it, and two vectors of
 a list are candidates when they share ``MIN_SHARED`` pivots at least. A pair is looked at in the
-list of the smallest pivot it shares only, then verified by its cosine in double precision.
+list of the smallest pivot it shares only, then verified by its cosine in double precision. Where
+there are fewer pivots than that, as for vectors in one narrow cone, sharing all of them is enough,
+which compares all pairs: near copies as further pivots would be named at random and lose links.
 
 Pivots are fitted on a bounded sample, the first ``4 m`` vectors in the order of a hash of their
 values, from which ``m`` are taken that are no near copies of each other; ``m`` grows with the root
@@ -37,8 +39,8 @@ BLOCK, TILE = 16_384, 1024
 
 
 def choose_pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
-    """At most ``wanted`` unit vectors of the sample, in order, none within ``TOO_CLOSE`` of another
-    unless too few would be left."""
+    """At most ``wanted`` unit vectors of the sample, in order, none within ``TOO_CLOSE`` of another.
+    In a narrow cone that is one."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     chosen: list[int] = []
     for i in range(len(unit)):
@@ -115,6 +117,7 @@ def _verify(min_cosine: float, min_shared: int, single: bool):
         rows = np.argsort(block, kind="stable")
         unit, orders, copies, names = unit[rows], orders[rows], copies[rows], names[rows]
         split = n if first == second else int((block == first).sum())
+        needed = min(min_shared, orders.shape[1])
         links, labels = np.zeros(n, np.int64), np.arange(n)
         for a in range(0, split, TILE):
             for b in range(a if first == second else split, n, TILE):
@@ -127,7 +130,7 @@ def _verify(min_cosine: float, min_shared: int, single: bool):
                 for s in range(0, len(i), 100_000):
                     some = slice(s, s + 100_000)
                     count, least = _shared(orders[i[some]], orders[j[some]])
-                    good[some] = (count >= min_shared) & (least == pivot)
+                    good[some] = (count >= needed) & (least == pivot)
                 i, j = i[good], j[good]
                 links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
                 _merge(labels, i, j)

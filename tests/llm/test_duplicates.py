@@ -147,3 +147,26 @@ def test_recall_on_all_vectors_of_the_table(spark):
     assert links > 1000
     seen = sum(r.n_links for r in pivots.near_duplicates(vectors).collect())
     assert 0.9 * links <= seen <= links
+
+
+def narrow(case):
+    random_ = np.random.default_rng(6)
+    if case == "two vectors":
+        return [[1.0, 0.0, 0.0], [0.95, 0.3125, 0.0]]
+    centre = random_.normal(size=32)
+    width = {"near copies": 0.02, "cone": 0.3}[case]
+    return [list(centre + width * random_.normal(size=32)) for _ in range(60)]
+
+
+@pytest.mark.parametrize("case", ["two vectors", "near copies", "cone"])
+def test_vectors_in_one_narrow_cone(spark, monkeypatch, case):
+    """The sample leaves one pivot, so that no two vectors share two."""
+    monkeypatch.setattr(pivots, "BLOCK", 40)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(narrow(case))]
+    unit = np.array([np.array(v) / np.linalg.norm(v) for _, v in rows])
+    assert (unit @ unit.T).min() > pivots.TOO_CLOSE
+    rows.append((5000, [0.5, -0.5]))
+    links, names = brute(rows)
+    assert sum(links) > 0
+    found = {r.vec_id: r for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [(found[key].n_links, found[key].component_id) for key, _ in rows] == [*zip(links, names)]
