@@ -5,8 +5,9 @@ again by the next one. All but the last keep the columns of ``documents`` and dr
 
 1. ``language_id``: documents without a recognisable language go (no text, no letters);
 2. ``quality_rules``: documents that fail the fixed rules or the calibrated classifier go;
-3. ``ngram_jaccard``: of each group of near-duplicates the document with the smallest id stays;
-   repeated rows of one id count as one document, rows without an id can't be named and stay;
+3. ``ngram_jaccard``: of each group of near-duplicates one row stays, that with the smallest id, of
+   several texts with that id the one with the smallest hash; null ids come last; rows without words
+   link with nothing and stay;
 4. ``packing``: the pieces of all documents left, with their sequence and offset.
 """
 
@@ -42,10 +43,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.components_of(docs.select("doc_id", "text"))
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stays")).distinct()
-    named = docs.join(stay.hint("shuffle_hash"), F.col("doc_id") == F.col("stays"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    rest = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("rest")
+    rows = jaccard.rows_of(docs, rest).select("id", "key", "rest")
+    stay = jaccard.once(rows, jaccard.first_rows(docs.select("doc_id", "text"))).select("rest.*")
+    return stay.unionByName(docs.filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmurlens.llm.common import column, slices, total_bytes
@@ -105,7 +105,7 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names.split())
 
 
-PROFILE = "id n class band own_words own_d low_words low_d word seen"
+PROFILE = "id key n class band own_words own_d low_words low_d word seen"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +124,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches += words
             sizes = [x for w, (_, d) in zip(words, bands) for x in (len(w), d)] + [None] * (4 - 2 * len(bands))
             found.append((len(s), set_hash(s), bands[0][0] if bands else None, *sizes))
-        yield _batch(PROFILE, column(batch, "id"), *rows(found, 7), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()))
+        yield _batch(PROFILE, column(batch, "id"), column(batch, "key"), *rows(found, 7), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()))
         if sketches:
             words = np.sort(np.concatenate(sketches))
             firsts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
             seen = np.diff(np.append(firsts, len(words)))
             many = seen >= max(4, n // HEAVY_SHARE)
-            nothing = [pa.nulls(int(many.sum()), pa.int64())] * 8
+            nothing = [pa.nulls(int(many.sum()), pa.int64())] * 9
             yield _batch(PROFILE, *nothing, pa.array(words[firsts[many]].astype(np.int64)), pa.array(seen[many]))
 
 
@@ -338,8 +338,20 @@ def _link_busy(joined: DataFrame, words: DataFrame, sets: DataFrame) -> DataFram
     return stage(paired.join(sets, "class").groupBy("of", "i", "j").applyInArrow(_links_of_block, "src long, dst long"), "busy-links")
 
 
+def rows_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """``(id, key, text, …)`` of ``docs(doc_id, text)``: equal ids and keys are repeats of one row."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *more)
+
+
+def once(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id and key are in ``wanted``, without repeats and with its columns. Repeats go
+    before the exchange, so that no number of them comes to one task."""
+    return rows.dropDuplicates(["id", "key"]).join(wanted.hint("shuffle_hash"), ["id", "key"])
+
+
 def link_classes(texts: DataFrame, profile: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(id, component)`` of those classes that link, for ``texts(id, text)``."""
+    """``(id, component)`` of those classes that link, for ``texts(id, key, text)``."""
     docs = profile.filter("word IS NULL").count()
     found = profile.filter("word IS NOT NULL").groupBy("word").agg(F.sum("seen").alias("seen"))
     # Words in one of HEAVY_SHARE documents: at most HEAVY_SHARE times the mean number of words.
@@ -367,19 +379,33 @@ def link_classes(texts: DataFrame, profile: DataFrame, classes: DataFrame) -> Da
     return _components(stage(links, "class-links"), "linked-classes")
 
 
-def components_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(id, key, n, class, …)`` of every row, ``(class, component)`` of every class, and
+    ``(component, id, key)`` of the first row of every component."""
+    texts = rows_of(docs)
     kinds = ", ".join(f"{name} long" for name in PROFILE.split())
     profile = stage(texts.mapInArrow(_profile, kinds), "shingle-profile")
     rows = profile.filter("word IS NULL")
-    most = [F.max(name).alias(name) for name in ("n", "band", "own_words", "own_d", "low_words", "low_d")]
-    classes = stage(rows.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), *most), "shingle-classes")
+    sizes = ["n", "band", "own_words", "own_d", "low_words", "low_d"]
+    firsts = F.min(F.struct("id", "key")).alias("first")
+    classes = rows.filter("n > 0").groupBy("class").agg(firsts, *[F.max(name).alias(name) for name in sizes])
+    classes = stage(classes.select("class", "first.id", "first.key", *sizes), "shingle-classes")
     linked = link_classes(texts, profile, classes)
-    named = classes.select("class", F.col("id").alias("first")).join(linked.withColumnRenamed("id", "class"), "class", "left")
+    named = classes.select("class", "id", "key").join(linked.withColumnRenamed("id", "class"), "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    names = named.join(least, "component").select("class", "component_id")
+    least = named.groupBy("component").agg(firsts).select("component", "first.id", "first.key")
+    return rows, named.select("class", "component"), least
+
+
+def first_rows(docs: DataFrame) -> DataFrame:
+    """``(id, key)``, as in ``rows_of``, of the first row of every component that has shingles."""
+    return classed(docs)[2].select("id", "key")
+
+
+def components_of(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``."""
+    rows, named, least = classed(docs)
+    names = named.join(least, "component").select("class", F.col("id").alias("component_id"))
     placed = rows.select("id", "n", "class").join(names, "class", "left")
     no_id = lambda name: F.when(F.col(name) != NO_ID, F.col(name))
     return placed.select(

@@ -99,6 +99,21 @@ def test_pipeline_against_its_parts(spark, awkward):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_pipeline_keeps_one_row_of_every_group(spark):
+    import corpus_pipeline
+
+    one, two, three, four = (" ".join(f"{name}{i}" for i in range(30)) for name in "abcd")
+    rows = [(3, one), (7, one), (7, two), (9, two + " end"), (None, one), (None, three), (None, three), (None, three + " end"), (8, four), (8, four)]
+    rows += [(10, None), (10, " \t"), (None, ""), (11, "short"), (None, "short")]
+    docs = spark.createDataFrame([(*row, "x") for row in rows], "doc_id long, text string, key string")
+    found = corpus_pipeline.ngram_jaccard(spark, docs, TABLES)
+    assert found.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in found.collect())
+    third = [x for x in kept if x[0] is None and x[1] in (three, three + " end")]
+    assert len(third) == 1
+    assert kept == Counter([(3, one), (7, two), *third, (8, four), (10, None), (10, " \t"), (None, ""), (11, "short")])
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
