@@ -12,7 +12,8 @@ an article element. Each sampled page is used as it is and in variants to which
 kinds in ``BOILERPLATE`` is added and whose article may be renamed, so that no single tag or class
 is relied on. Extraction reads every page whole.
 
-Text rules: scripts, styles, comments and the document head give none; character references are
+Text rules: scripts, styles, comments, the document head and elements of ``NO_TEXT`` give none (of
+these the inner elements don't count either, and they end with their parent); character references are
 decoded; white space inside a block becomes one space; blocks are joined in page order by an empty
 line. A line break element counts as white space.
 
@@ -36,7 +37,8 @@ from murmurlens.llm.common import column, slices, thinned
 
 # Names of HTML elements and words of their attributes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object select".split())
+RAW = frozenset("script style textarea title".split())
+NO_TEXT = frozenset("noscript template svg iframe object select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY = {
     "p": frozenset("p address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()),
@@ -119,9 +121,16 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack, place = [0], 0
+        silent = depth = 0  # the outermost open element of NO_TEXT, and its place in the stack
         while True:
             found = TOKEN.search(html, place)
-            self._text(stack[-1], html[place : found.start() if found else len(html)])
+            if silent and (not found or len(stack) <= depth or stack[depth] != silent):
+                for values in (self.tags, self.parents, self.words, self.hidden, self.marks):
+                    del values[silent + 1 :]
+            if silent and (len(stack) <= depth or stack[depth] != silent):
+                silent = 0
+            if not silent:
+                self._text(stack[-1], html[place : found.start() if found else len(html)])
             if not found:
                 return
             place, tag = found.end(), (found[2] or "").lower()
@@ -136,12 +145,15 @@ class Page:
                 if not inner or tag not in CLOSED_BY[inner] or not self._close(stack, inner, tag):
                     break
             node = self._open(tag, found[3] or "", stack[-1])
-            if tag == "br":
+            closed = (found[3] or "").rstrip().endswith("/")
+            if tag == "br" and not silent:
                 self.runs.append((stack[-1], " "))
-            if tag in RAW:
+            if tag in RAW and not (silent and closed):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, place)
                 place = end.end() if end else len(html)
-            elif tag not in VOID and not (found[3] or "").rstrip().endswith("/"):
+            elif tag not in VOID and not closed:
+                if tag in NO_TEXT and not silent:
+                    silent, depth = node, len(stack)
                 stack.append(node)
 
     def _close(self, stack: list[int], tag: str, because: str = "") -> bool:

@@ -58,6 +58,21 @@ def test_awkward_pages(spark, model):
     assert html.extract(pages.limit(0), html.train(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("extra", [
+    "<svg class='icon'/>", "<div><svg><svg><path d=x></svg><text>no</text></svg></div>", "<svg><title/><style/><text>no</text></svg>",
+    "<div><select><option>no</div>", "<div><object><p>no</div>", "<div><noscript>no<br></div>", "<div><iframe src=x></iframe></div>",
+])
+def test_elements_without_text_end_with_their_parent(model, extra):
+    assert html.extract_texts(model, [PAGE.replace("</a> <p>Welcome", f"</a> {extra}<p>Welcome")]) == [STORY]
+    page = html.Page(f"<body>{extra}<p>after</p></body>")
+    assert [text for _, text in page.runs] == ["after"] and len(page.tags) == len(page.parents) <= 5
+
+
+def test_unclosed_element_without_text_at_the_end():
+    page = html.Page("<body><p>before</p><svg><g><text>no")
+    assert [text for _, text in page.runs] == ["before"] and page.tags[-1] == "svg" and len(page.marks) == 4
+
+
 def test_answers_never_contradict(spark, model):
     page = html.Page(PAGE)
     x, children, own = html.describe(page)
