@@ -415,9 +415,10 @@ def fit(pages: list[str], seed: int = 5) -> tuple:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> tuple:
-    """Fit on at most ``sample`` pages."""
-    known = pages.select("html", F.xxhash64(F.col("page_id").cast("string")).alias("by"))
-    some = thinned(known, "by", 2 * sample, pages.count()).filter(F.col("html").rlike("(?i)<article"))
+    """Fit on at most ``sample`` of the pages with an article element."""
+    known = pages.filter(F.col("html").rlike(r"(?i)<article\b") & F.col("html").rlike(r"(?i)</article\s*>"))
+    known = known.select("html", F.xxhash64(F.col("page_id").cast("string")).alias("by"))
+    some = thinned(known, "by", sample, known.count())
     rows = some.orderBy(F.pmod("by", F.lit(1 << 40)), "html").limit(sample).collect()
     return fit([row[0] for row in rows])
 

@@ -73,6 +73,12 @@ def test_unclosed_element_without_text_at_the_end():
     assert [text for _, text in page.runs] == ["before"] and page.tags[-1] == "svg" and len(page.marks) == 4
 
 
+def test_few_article_pages_are_all_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(html, "fit", lambda pages: pages)
+    pages = spark.range(2000).selectExpr("id AS page_id", "IF(id % 100 = 7, concat('<ARTICLE>', id, '</article>'), '<p>x</p>') AS html")
+    assert len(set(html.train(pages, sample=20))) == 20
+
+
 def test_answers_never_contradict(spark, model):
     page = html.Page(PAGE)
     x, children, own = html.describe(page)
