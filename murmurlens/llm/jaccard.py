@@ -359,7 +359,7 @@ def link_classes(texts: DataFrame, profile: DataFrame, classes: DataFrame) -> Da
     heavy = sorted((row[0] & (1 << 64) - 1, row[1]) for row in heavy)
     heavy = np.array([h[0] for h in heavy], np.uint64), np.array([h[1] for h in heavy], np.int64)
     ranges = max(1, -(-total_bytes(texts) // RANGE_BYTES))
-    of_class = texts.join(classes.select("id", "class").hint("shuffle_hash"), "id").select("class", "text")
+    of_class = once(texts, classes.select("id", "key", "class")).select("class", "text")
     packed = of_class.mapInArrow(_words(heavy, ranges), PACKED)
     # Rows of a unit's place may lie anywhere; they only pass through.
     spread = F.when(F.col("place") < 0, F.xxhash64("units")).otherwise(F.col("place"))
@@ -372,8 +372,8 @@ def link_classes(texts: DataFrame, profile: DataFrame, classes: DataFrame) -> Da
     words = joined.groupBy("word").agg(F.count(F.lit(1)).alias("sets"), F.min("class").alias("least")).filter("sets > 1")
     joined = stage(joined.join(words, "word"), "common-words")
     words, joined = joined.select("word", "sets", "least").distinct(), joined.select("word", "class")
-    wanted = classes.join(joined.select("class").distinct(), "class", "left_semi").select("id", "class")
-    sets = texts.join(wanted.hint("shuffle_hash"), "id").select("class", "text").mapInArrow(_sets, "class long, shingles binary")
+    wanted = classes.join(joined.select("class").distinct(), "class", "left_semi").select("id", "key", "class")
+    sets = once(texts, wanted).select("class", "text").mapInArrow(_sets, "class long, shingles binary")
     sets = stage(sets.dropDuplicates(["class"]), "joined-sets")
     links = _link_small(joined, words, sets).union(_link_busy(joined, words, sets))
     return _components(stage(links, "class-links"), "linked-classes")

@@ -95,6 +95,24 @@ def test_documents_table(spark):
     assert found(docs) == all_pairs([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_rows_without_an_id_meet_their_own_class_only(spark, monkeypatch):
+    seen, words = spark.sparkContext.accumulator(0), jaccard._words
+
+    def counted(*args):
+        def pass_on(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        run = words(*args)
+        return lambda batches: run(pass_on(batches))
+
+    monkeypatch.setattr(jaccard, "_words", counted)
+    rows = [(None, " ".join(f"w{i}_{k}" for k in range(8))) for i in range(30)] * 2
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == all_pairs(rows)
+    assert 30 <= seen.value <= 2 * 30
+
+
 def brute(rows, least=0.9):
     good = [i for i, (_, v) in enumerate(rows) if v is not None and None not in v and np.isfinite(v).all() and any(v)]
     links, label = [0] * len(rows), list(range(len(rows)))
