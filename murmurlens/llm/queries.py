@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlens.llm import chats, context_tree, html, jaccard, language, packing, pivots, quality, sentencepieces, token_files
+from murmurlens.llm import chats, context_tree, html, jaccard, language, packing, pivots, quality, sentencepieces, sharding, token_files
 from murmurlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pivot_permutation")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_vector_shards")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
