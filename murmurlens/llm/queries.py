@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlens.llm import chats, context_tree, html, jaccard, language, packing, pivots, quality, sentencepieces, sharding, token_files
+from murmurlens.llm import chats, context_tree, divergence, html, jaccard, language, packing, pivots, quality, sentencepieces, sharding, token_files
 from murmurlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_vector_shards")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS doc, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+    translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+hits AS (SELECT doc, lang, source, UNNEST(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, COUNT(*) AS hits FROM hits GROUP BY lang, term HAVING COUNT(DISTINCT doc) >= 3),
+counted AS (SELECT lang, source, term, COUNT(*) AS hits FROM hits SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, COUNT(*) AS v, SUM(hits) AS n FROM kept GROUP BY lang),
+totals AS (SELECT g.lang, g.source, COALESCE(SUM(c.hits), 0) AS n FROM groups g LEFT JOIN counted c USING (lang, source) GROUP BY ALL),
+grid AS (SELECT k.lang, t.source, k.term, COALESCE(c.hits, 0) AS hits,
+    1 + CAST(1000000000 AS HUGEINT) * (COALESCE(c.hits, 0) + 1) // CAST(t.n + s.v AS HUGEINT) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (k.hits + 1) // CAST(s.n + s.v AS HUGEINT) AS whole
+  FROM kept k JOIN totals t USING (lang) JOIN sizes s USING (lang) LEFT JOIN counted c ON c.lang = k.lang AND c.source = t.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, SUM((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+joint AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - whole) * (p - whole) // whole FROM grid WHERE hits > 0 AND p > whole),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM joint)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
