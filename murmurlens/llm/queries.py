@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlens.llm import chats, context_tree, divergence, html, jaccard, language, packing, pivots, quality, sentencepieces, sharding, token_files
+from murmurlens.llm import chats, context_tree, divergence, html, jaccard, language, packing, pivots, quality, sentencepieces, sharding, token_files, trie
 from murmurlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,35 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 @query("op13_source_divergence", DIVERGENCE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = r"""
+WITH turns AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+    ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(COALESCE(role, ''))) || ':' || COALESCE(role, '') || COALESCE(text, ''))) - 1 AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, b: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, b)),
+    CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h FROM turns),
+rebuilt AS (
+  SELECT i.conv_id, 0 AS side, t.n, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 5 AND t.n < i.h
+  UNION ALL SELECT i.conv_id, 1, t.n, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.n >= i.h),
+said AS (SELECT i.conv_id, COALESCE(LIST({'role': r.role, 'text': r.text} ORDER BY r.side, r.n) FILTER (r.n IS NOT NULL), []) AS said
+  FROM ids i LEFT JOIN rebuilt r USING (conv_id) GROUP BY i.conv_id),
+members AS (SELECT conv_id, d, said[1:d] AS first, d = len(said) AS ends FROM (SELECT conv_id, said, UNNEST(range(len(said) + 1)) AS d FROM said)),
+nodes AS (SELECT d, first, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs,
+    (COUNT(*) - 1) * COALESCE(octet_length(encode(first[d].text)), 0) AS saved,
+    sha256(COALESCE(STRING_AGG(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY d, first),
+children AS (SELECT d - 1 AS d, first[1:d - 1] AS first, COUNT(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (SELECT n.*, COALESCE(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (d, first)),
+above AS (SELECT UNNEST(range(d + 1)) AS k, first, saved, n_children FROM known),
+sums AS (SELECT k AS d, first[1:k] AS first, SUM(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, SUM(saved) AS saved_tokens FROM above GROUP BY ALL)
+SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM known k JOIN sums s USING (d, first) LEFT JOIN nodes p ON p.d = k.d - 1 AND p.first = k.first[1:k.d - 1]
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
