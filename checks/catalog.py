@@ -391,6 +391,35 @@ def _(tables):
     )
 
 
+_LATER = "CAST(post_id AS BIGINT) % 100"
+
+
+@query(
+    "store_of_three_batches",
+    f"""SELECT post_id, title FROM people
+       UNION ALL SELECT post_id, TRIM(title, {BLANKS}) FROM kept WHERE post_id NOT IN (SELECT post_id FROM people)
+       UNION ALL SELECT 'new' || post_id, title FROM posts WHERE {_LATER} = 1""",
+    "people", "kept",
+)
+def _(tables):
+    """A keyed store after people's posts, the ingested ones and a last batch of one per cent new and as
+    many stored ids: what was stored first stays."""
+    return tables.posts_store()[0].read().select("post_id", "title")
+
+
+@query(
+    "store_inserts",
+    f"""SELECT 1 AS batch, COUNT(*) AS offered, COUNT(*) AS stored, 0 AS version FROM people
+       UNION ALL SELECT 2, COUNT(*), COUNT(*) FILTER (post_id NOT IN (SELECT post_id FROM people)), 1 FROM kept
+       UNION ALL SELECT 3, COUNT(*), COUNT(*) FILTER ({_LATER} = 1), 2 FROM posts WHERE {_LATER} < 2
+         AND ({_LATER} = 1 OR post_id IN (SELECT post_id FROM people UNION SELECT post_id FROM kept))""",
+    "people", "kept",
+)
+def _(tables):
+    done = [(n, x.offered, x.stored, x.snapshot.version) for n, x in enumerate(tables.posts_store()[1], 1)]
+    return tables.spark.createDataFrame(done, "batch int, offered long, stored long, version int")
+
+
 # -- search ------------------------------------------------------------------------------------
 
 
@@ -893,26 +922,43 @@ def _(tables):
     )
 
 
-@query(
-    "clustering_choice",
-    """SELECT COUNT(*) AS points, CASE WHEN COUNT(*) = 0 THEN 'none' WHEN COUNT(*) > 1500 THEN 'kmeans' ELSE 'hdbscan' END AS method,
-       CASE WHEN COUNT(*) = 0 THEN 'No embeddings available for clustering.'
-            WHEN COUNT(*) > 1500 THEN 'Used KMeans (15 clusters) for performance on large dataset.' END AS warning,
-       CASE WHEN COUNT(*) < 50 THEN 'Requested 50 clusters, but dataset only has ' || COUNT(*) || ' points. Using ' || COUNT(*) || ' clusters instead.'
+_CHOICE_OF_50 = """CASE WHEN COUNT(*) < 50 THEN 'Requested 50 clusters, but dataset only has ' || COUNT(*) || ' points. Using ' || COUNT(*) || ' clusters instead.'
             WHEN 50 >= COUNT(*) // 2 THEN 'Warning: 50 clusters for ' || COUNT(*)
-              || ' posts may produce very small or degenerate clusters. Results may not be meaningful.' END AS warning_for_50
-       FROM embeddings""",
-)
-def _(tables):
+              || ' posts may produce very small or degenerate clusters. Results may not be meaningful.' END AS warning_for_50"""
+
+
+def _choice(tables, density_limit: int | None):
     counted = tables.raw("embeddings").agg(F.count(F.lit(1)).alias("points"))
     points = counted.first()["points"]
-    auto, fifty = clustering.choose_method(points), clustering.choose_method(points, 50)
+    auto, fifty = clustering.choose_method(points, density_limit=density_limit), clustering.choose_method(points, 50)
     return counted.select(
         "points", F.lit(auto.method).alias("method"), F.lit(auto.warning).cast("string").alias("warning"),
         F.lit(fifty.warning).cast("string").alias("warning_for_50"),
     )
 
 
+@query(
+    "clustering_choice",
+    f"""SELECT COUNT(*) AS points, CASE WHEN COUNT(*) = 0 THEN 'none' WHEN COUNT(*) > 1500 THEN 'kmeans' ELSE 'hdbscan' END AS method,
+       CASE WHEN COUNT(*) = 0 THEN 'No embeddings available for clustering.'
+            WHEN COUNT(*) > 1500 THEN 'Used KMeans (15 clusters) for performance on large dataset.' END AS warning,
+       {_CHOICE_OF_50} FROM embeddings""",
+)
+def _(tables):
+    """With the size limit of 1500 points for density clustering."""
+    return _choice(tables, 1500)
+
+
+@query(
+    "clustering_choice_without_limit",
+    f"""SELECT COUNT(*) AS points, CASE WHEN COUNT(*) = 0 THEN 'none' ELSE 'hdbscan' END AS method,
+       CASE WHEN COUNT(*) = 0 THEN 'No embeddings available for clustering.' END AS warning, {_CHOICE_OF_50} FROM embeddings""",
+)
+def _(tables):
+    """The default: density clustering at any size."""
+    return _choice(tables, None)
+
+
 # -- methods that SQL can't run: what must hold for their results, recomputed ------------------
 
 

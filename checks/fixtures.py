@@ -7,12 +7,14 @@ an ingest job would, and every query reads the stored columns.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmurlens.operators import encode, graph
 from murmurlens.operators.components import connected_components
+from murmurlens.operators.filters import people_only
 from murmurlens.operators.ingest import IngestResult, ingest_lines
 from murmurlens.operators.louvain import louvain
 from murmurlens.operators.pagerank import pagerank
@@ -20,7 +22,9 @@ from murmurlens.operators.skew import heavy_keys, with_fan, with_salt
 from murmurlens.operators.vectors import l2_normalize, mean_vectors
 from murmurlens.runtime import Workspace, pin_settings, spread_small
 from murmurlens.schema import POST_COLUMNS, POSTS_SCHEMA
+from murmurlens.sources.keyed import Inserted, KeyedStore
 from murmurlens.sources.lines import number_lines
+from murmurlens.sources.posts import posts_store
 
 AS_OF = dt.datetime(2024, 6, 1)
 LAST_ORIGINAL_LINE = 10**9
@@ -130,6 +134,20 @@ class Inputs:
             self._ingested = ingest_lines(self.lines(), AS_OF)
         return self._ingested
 
+    def posts_store(self) -> tuple[KeyedStore, list[Inserted]]:
+        """A posts store after three inserts: people's posts, the ingested ones, then a batch of one per
+        cent new ids and as many that may be stored."""
+        if "store" not in self.done:
+            number = F.col("post_id").cast("bigint")
+            posts = self.posts().withColumn("position", number)
+            known = people_only(posts).select("post_id").union(self.ingested().posts.select("post_id")).distinct()
+            again = posts.filter(number % 100 == 0).join(known, "post_id", "left_semi").withColumn("title", F.lit("late"))
+            new = posts.filter(number % 100 == 1).withColumn("post_id", F.concat(F.lit("new"), F.col("post_id")))
+            store = posts_store(self.spark, f"{self.stored.root}/posts-store-{uuid.uuid4().hex}", buckets=32)
+            batches = [people_only(posts), self.ingested().posts.withColumn("position", number), again.unionByName(new)]
+            self.done["store"] = store, [store.insert(batch, "position") for batch in batches]
+        return self.done["store"]
+
     # -- graph -------------------------------------------------------------------------------
 
     def authors(self) -> DataFrame:
