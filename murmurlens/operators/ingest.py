@@ -1,16 +1,17 @@
 """From raw JSON lines to the posts table.
 
-One pass parses and cleans every line into a staged table. What needs a view of the whole file
-(first-wins de-duplication, running numbers for posts without an id, the counters) then reads only
-the narrow columns of that table.
+One pass parses and cleans every line into a staged table, and observes which keys occur. What needs
+a view of the whole file (the choice of keys, first-wins de-duplication, running numbers for posts
+without an id, the counters) then reads only the columns of that table that it needs.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -156,50 +157,91 @@ NUMBER_FIELDS = ("upvote_ratio", "created_utc")
 TEXT_IF_NULL = {"author": "[deleted]", "subreddit": "unknown"}
 
 
-def clean_lines(lines: DataFrame, field_map: dict[str, str], as_of: dt.datetime | Column) -> DataFrame:
-    """``(line_pos, status, posts columns…)`` for every line; the columns are null unless valid.
+def _clean(lines: DataFrame, choices: dict[str, list[str]], as_of: dt.datetime | Column) -> DataFrame:
+    """``(line_pos, status, present, <field>_<n>…)``: each field cleaned as if its key were the n-th of its
+    ``choices``; null unless valid. ``present`` has a bit for every choice, in order, that the record has.
 
     Each raw value, its type and its text are computed once, in projections of their own, and the
     cleaning rules refer to them. All of it is one stage without a shuffle.
     """
     moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    derived = {"content", "platform"}
-    fields = [name for name in POST_COLUMNS if name not in derived]
-    typed = [name for name in fields if name in INT_FIELDS + BOOL_FIELDS + NUMBER_FIELDS]
-    keys = {name: field_map.get(name, FIELD_CANDIDATES.get(name, [name])[0]) for name in fields}
-    keys["author_fullname"] = "author_fullname"
+    slots = {f"{name}_{n}": (name, key) for name, keys in choices.items() for n, key in enumerate(keys)}
+    typed = [slot for slot, (name, _) in slots.items() if name in INT_FIELDS + BOOL_FIELDS + NUMBER_FIELDS]
+    numbers = [slot for slot, (name, _) in slots.items() if name in NUMBER_FIELDS]
 
     raw = parse_lines(lines).select(
-        "line_pos", "status", *[clean.raw_value(F.col("record"), key).alias(f"raw_{name}") for name, key in keys.items()]
+        "line_pos", "status", *[clean.raw_value(F.col("record"), key).alias(f"raw_{slot}") for slot, (_, key) in slots.items()]
     )
+    bits = [F.when(F.col(f"raw_{slot}").isNotNull(), F.lit(1 << n)).otherwise(F.lit(0)) for n, slot in enumerate(slots)]
     read = raw.select(
         "*",
-        *[clean.value_text(F.col(f"raw_{name}")).alias(f"text_{name}") for name in fields if name not in BOOL_FIELDS],
-        *[clean.value_kind(F.col(f"raw_{name}")).alias(f"kind_{name}") for name in typed],
-    )
-    parts = lambda name, *kinds: [F.col(f"{kind}_{name}") for kind in kinds]
-    numbered = read.select(
-        "*", *[clean.finite_number(*parts(name, "raw", "kind", "text")).alias(f"number_{name}") for name in NUMBER_FIELDS]
+        reduce(Column.bitwiseOR, [bit.cast("long") for bit in bits]).alias("present"),
+        *[clean.value_text(F.col(f"raw_{slot}")).alias(f"text_{slot}") for slot, (name, _) in slots.items() if name not in BOOL_FIELDS],
+        *[clean.value_kind(F.col(f"raw_{slot}")).alias(f"kind_{slot}") for slot in typed],
     )
-    cleaned = {
-        "created_utc": clean.clean_timestamp(*parts("created_utc", "number", "kind", "text"), moment),
-        "upvote_ratio": clean.clean_double(F.col("number_upvote_ratio")),
-        "platform": F.lit("reddit"),
-    }
-    cleaned |= {name: clean.clean_int(*parts(name, "raw", "kind", "text")) for name in INT_FIELDS}
-    cleaned |= {name: clean.clean_bool(*parts(name, "raw", "kind")) for name in BOOL_FIELDS}
-    cleaned |= {
-        name: clean.clean_text(*parts(name, "raw", "text"), TEXT_IF_NULL.get(name, ""))
-        for name in fields
-        if name not in cleaned
-    }
+    parts = lambda slot, *kinds: [F.col(f"{kind}_{slot}") for kind in kinds]
+    numbered = read.select("*", *[clean.finite_number(*parts(slot, "raw", "kind", "text")).alias(f"number_{slot}") for slot in numbers])
+
+    def cleaned(slot: str, name: str) -> Column:
+        if name == "created_utc":
+            return clean.clean_timestamp(*parts(slot, "number", "kind", "text"), moment)
+        if name in NUMBER_FIELDS:
+            return clean.clean_double(F.col(f"number_{slot}"))
+        if name in INT_FIELDS:
+            return clean.clean_int(*parts(slot, "raw", "kind", "text"))
+        if name in BOOL_FIELDS:
+            return clean.clean_bool(*parts(slot, "raw", "kind"))
+        return clean.clean_text(*parts(slot, "raw", "text"), TEXT_IF_NULL.get(name, ""))
+
     valid = F.col("status") == "valid"
-    flat = numbered.select("line_pos", "status", *[F.when(valid, value).alias(name) for name, value in cleaned.items()])
-    return flat.withColumn("content", clean.join_content(F.col("title"), F.col("selftext"))).select(
-        "line_pos", "status", *POST_COLUMNS
+    return numbered.select(
+        "line_pos", "status", "present", *[F.when(valid, cleaned(slot, name)).alias(slot) for slot, (name, _) in slots.items()]
     )
 
 
+DERIVED = ("content", "platform")
+ALL_CHOICES = {name: FIELD_CANDIDATES.get(name, [name]) for name in POST_COLUMNS if name not in DERIVED}
+
+
+def _posts_of(choices: DataFrame, chosen: dict[str, int]) -> DataFrame:
+    """``(line_pos, status, posts columns…)`` with one choice for each field."""
+    columns = {name: F.col(f"{name}_{n}") for name, n in chosen.items()}
+    valid = F.col("status") == "valid"
+    columns["platform"] = F.when(valid, F.lit("reddit"))
+    columns["content"] = clean.join_content(columns["title"], columns["selftext"])
+    return choices.select("line_pos", "status", *[columns[name].alias(name) for name in POST_COLUMNS])
+
+
+def clean_lines(lines: DataFrame, field_map: dict[str, str], as_of: dt.datetime | Column) -> DataFrame:
+    """``(line_pos, status, posts columns…)`` for every line by a known field map; the columns are null
+    unless valid."""
+    keys = {name: [field_map.get(name, known[0])] for name, known in ALL_CHOICES.items()}
+    keys["author_fullname"] = ["author_fullname"]
+    return _posts_of(_clean(lines, keys, as_of), dict.fromkeys(keys, 0))
+
+
+def clean_in_one_pass(lines: DataFrame, as_of: dt.datetime | Column) -> tuple[DataFrame, dict[str, str], bool]:
+    """``(cleaned lines, field map, whether any is valid)`` where the keys are not known yet.
+
+    Every line is parsed once. All choices of every field are cleaned and stored, those that no
+    record has as a column of one value; the keys that occur are observed while they are written,
+    and the choice is then which columns to read.
+    """
+    seen = Observation()
+    every = _clean(lines, ALL_CHOICES, as_of)
+    observed = every.observe(seen, F.bit_or("present").alias("present"), F.max(F.col("status") == "valid").alias("any_valid"))
+    stored = stage(observed.drop("present"), "all-choices")
+    present, any_valid = seen.get["present"] or 0, bool(seen.get["any_valid"])
+    chosen, field_map, bit = {}, {}, 0
+    for name, keys in ALL_CHOICES.items():
+        found = [n for n in range(len(keys)) if present >> (bit + n) & 1]
+        bit += len(keys)
+        chosen[name] = found[0] if found else 0
+        if found and name in FIELD_CANDIDATES:
+            field_map[name] = keys[found[0]]
+    return _posts_of(stored, chosen), field_map, any_valid
+
+
 def number_missing_ids(staged: DataFrame) -> DataFrame:
     """Give posts with a blank id ``unknown_n``, n being the number of posts kept before them.
 
@@ -270,13 +312,17 @@ def _finish(staged: DataFrame, field_map: dict[str, str]) -> IngestResult:
 
 
 def ingest_lines(lines: DataFrame, as_of: dt.datetime, field_map: dict[str, str] | None = None) -> IngestResult:
-    """Ingest a DataFrame ``(line_pos, line)``. ``as_of`` stands in for unreadable times."""
+    """Ingest a DataFrame ``(line_pos, line)``. ``as_of`` stands in for unreadable times. Without a
+    ``field_map`` the keys of all records decide, in the same pass."""
     if field_map is None:
-        field_map = as_field_map(detect_fields(lines))
+        cleaned, field_map, _ = clean_in_one_pass(lines, as_of)
+        return _finish(cleaned, field_map)
     return _finish(stage(clean_lines(lines, field_map, as_of), "clean-lines"), field_map)
 
 
 def ingest_files(spark: SparkSession, path: str | list[str], as_of: dt.datetime) -> IngestResult:
-    """Ingest JSON-lines files. Fails where there is no file or no valid record."""
-    field_map = detect_fields_in_files(spark, path)
-    return _finish(stage(clean_lines(read_lines(spark, path), field_map, as_of), "clean-lines"), field_map)
+    """Ingest JSON-lines files, each line parsed once. Fails where there is no file or no valid record."""
+    cleaned, field_map, any_valid = clean_in_one_pass(read_lines(spark, path), as_of)
+    if not any_valid:
+        raise ValueError("no valid records in the input")
+    return _finish(cleaned, field_map)

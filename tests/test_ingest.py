@@ -191,3 +191,35 @@ def test_fields_of_late_records_are_found(spark):
     assert ingest.as_field_map(ingest.detect_fields(numbered, sample=10)).keys() == {"post_id", "title"}
     found = ingest.ingest_lines(numbered, as_of=dt.datetime(2024, 1, 1))
     assert found.posts.filter("selftext = 'late'").count() == 50 and found.posts.filter("ups = 7 OR score = 7").count() == 50
+
+
+def test_every_line_is_read_and_parsed_once(spark, monkeypatch):
+    """The field map, the cleaned columns and the counters come from one pass over the lines."""
+    read = spark.sparkContext.accumulator(0)
+    rows = [(i, json.dumps({"name": f"n{i}", "body": "b", "author": "x"} if i % 2 else {"id": f"i{i}", "author": None})) for i in range(300)]
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lines = spark.createDataFrame(rows, "line_pos long, line string").repartition(3).mapInArrow(count, "line_pos long, line string")
+    parsed, real = [], ingest.parse_lines
+    monkeypatch.setattr(ingest, "parse_lines", lambda df: parsed.append(1) or real(df))
+    done = ingest.ingest_lines(lines, AS_OF)
+    assert done.field_map == {"post_id": "id", "selftext": "body", "author": "author"}
+    assert done.posts.filter("selftext = 'b'").count() == 150
+    counters = done.counters.first()
+    assert (counters["lines"], counters["valid"], counters["duplicates"]) == (300, 300, 0)
+    assert (read.value, len(parsed)) == (300, 1)
+
+
+def test_one_pass_equals_a_known_field_map(spark):
+    lines = number_lines(spark.createDataFrame([(i, line) for i, line in enumerate(GOLDEN)], "n long, line string"), "n")
+    known = ingest.as_field_map(ingest.detect_fields(lines))
+    one, two = ingest.ingest_lines(lines, AS_OF), ingest.ingest_lines(lines, AS_OF, known)
+    assert one.field_map == known
+    assert sorted(one.posts.collect(), key=repr) == sorted(two.posts.collect(), key=repr)
+    assert one.counters.collect() == two.counters.collect()
+    empty = ingest.ingest_lines(lines.limit(0), AS_OF)
+    assert empty.field_map == {} and empty.posts.count() == 0
