@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from murmurlens.operators.components import connected_components
+from murmurlens.operators.neighbours import ball_index, close_links, distances, kth_neighbour
 from murmurlens.operators.ordering import value_at_quantile, with_global_index
 from murmurlens.operators.vectors import as_matrix
 from murmurlens.runtime import stage
@@ -43,7 +44,6 @@ DEGENERATE = "HDBSCAN produced insufficient clusters. Used KMeans fallback with
 DENSITY_QUANTILE = 0.75
 ROWS_PER_CELL = 2_000
 PARALLEL_FITS = 5
-DECIMALS = 6
 
 
 # -- KMeans ------------------------------------------------------------------------------------
@@ -107,13 +107,13 @@ def nearest_centre(vectors: DataFrame, centres: DataFrame) -> DataFrame:
         names, matrix = shared.value
         for batch in batches:
             if batch.num_rows:
-                distances = _distances(as_matrix(batch.column(1)), matrix)
-                nearest = distances.argmin(axis=1)
+                away = distances(as_matrix(batch.column(1)), matrix)
+                nearest = away.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).cast(arrow_schema.field(0).type),
                         pa.array([names[i] for i in nearest], pa.int32()),
-                        pa.array(distances[np.arange(len(nearest)), nearest]),
+                        pa.array(away[np.arange(len(nearest)), nearest]),
                     ],
                     schema=arrow_schema,
                 )
@@ -124,103 +124,20 @@ def nearest_centre(vectors: DataFrame, centres: DataFrame) -> DataFrame:
 # -- density -----------------------------------------------------------------------------------
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, rounded so that they do not depend on summation order."""
-    squared = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
-    scale = 10.0**DECIMALS
-    return np.floor(np.sqrt(np.maximum(squared, 0.0)) * scale + 0.5) / scale
-
-
-def _cell_pairs(vectors: DataFrame, rows_per_cell: int, ordered: bool) -> Callable[[Callable, str], DataFrame]:
-    """Run a function on every pair of equally sized cells of the vectors.
-
-    Ids are hashed to cells, so copies of one vector spread evenly; a task holds two cells. With
-    ``ordered`` each unordered pair of cells meets once.
-    """
-    cells = max(1, -(-vectors.count() // rows_per_cell))
-    own = F.pmod(F.xxhash64("post_id"), F.lit(cells)).cast("int")
-    named = vectors.select("post_id", "embedding", own.alias("cell"))
-    first = F.col("cell") if ordered else F.lit(0)
-    left = named.select("*", F.col("cell").alias("a"), F.explode(F.sequence(first, F.lit(cells - 1))).alias("b"))
-    last = F.col("cell") if ordered else F.lit(cells - 1)
-    # Own names on the right, so that the two sides of one table do not share columns.
-    right = named.select(
-        F.col("post_id").alias("their_id"), F.col("embedding").alias("their_embedding"),
-        F.explode(F.sequence(F.lit(0), last)).alias("a"), F.col("cell").alias("b"),
-    )
-
-    def run(function, schema):
-        return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(function, schema)
-
-    return run
-
-
 def core_distances(vectors: DataFrame, min_samples: int = MIN_SAMPLES, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
-    """``(post_id, core)``: distance to the ``min_samples``-th nearest other point.
-
-    Each pair of cells hands back at most ``min_samples`` distances per point, never all pairs.
-    Null where there are fewer other points.
-    """
-    run = _cell_pairs(vectors, rows_per_cell, ordered=False)
-    schema = T.StructType(
-        [vectors.schema["post_id"], T.StructField("near", T.ArrayType(T.DoubleType()))]
-    )
-    arrow_schema = to_arrow_schema(schema)
-
-    def nearest(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        ids = mine.column("post_id").to_pylist()
-        near: list = []
-        if ids:
-            others = {key: i for i, key in enumerate(theirs.column("their_id").to_pylist())}
-            distances = _distances(as_matrix(mine.column("embedding")), as_matrix(theirs.column("their_embedding")))
-            for row, key in enumerate(ids):
-                if key in others:
-                    distances[row, others[key]] = np.inf
-            if distances.shape[1] > min_samples:
-                distances = np.partition(distances, min_samples - 1, axis=1)[:, :min_samples]
-            near = [row[np.isfinite(row)].tolist() for row in distances]
-        return pa.Table.from_arrays([pa.array(ids, arrow_schema.field(0).type), pa.array(near, arrow_schema.field(1).type)], schema=arrow_schema)
-
-    kept = F.array_sort(F.flatten(F.collect_list("near")))
-    gathered = run(nearest, schema).groupBy("post_id").agg(kept.alias("near"))
-    return gathered.select("post_id", F.try_element_at("near", F.lit(min_samples)).alias("core"))
+    """``(post_id, core)``: distance to the ``min_samples``-th nearest other point, null where there are
+    fewer. Exact; what the ball partition rules out is not looked at."""
+    index = ball_index(vectors, rows_per_cell)
+    return index.of_every_id(stage(kth_neighbour(index, min_samples), "cores"))
 
 
 def density_links(core_points: DataFrame, eps: float, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """``(src, dst)``: enough links within ``eps`` to connect what is within ``eps``.
 
-    Each pair of cells returns a spanning forest of its own links. The forests together connect
-    exactly the points that all links connect, and number at most one link per point and pair.
+    Each block and pair of blocks that are near enough returns a spanning forest of its own links.
+    The forests together connect exactly the points that all links connect.
     """
-    run = _cell_pairs(core_points, rows_per_cell, ordered=True)
-    id_type = core_points.schema["post_id"].dataType
-    schema = T.StructType([T.StructField("src", id_type), T.StructField("dst", id_type)])
-    arrow_schema = to_arrow_schema(schema)
-
-    def forest(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        links: list[tuple] = []
-        if mine.num_rows and theirs.num_rows:
-            a, b = mine.column("post_id").to_pylist(), theirs.column("their_id").to_pylist()
-            near = _distances(as_matrix(mine.column("embedding")), as_matrix(theirs.column("their_embedding"))) <= eps
-            seen_a, seen_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
-            for root in range(len(a)):
-                if seen_a[root]:
-                    continue
-                seen_a[root] = True
-                waiting = [(True, root)]
-                while waiting:
-                    from_a, i = waiting.pop()
-                    found = np.flatnonzero(near[i] & ~seen_b if from_a else near[:, i] & ~seen_a)
-                    (seen_b if from_a else seen_a)[found] = True
-                    for j in found:
-                        pair = (a[i], b[j]) if from_a else (a[j], b[i])
-                        if pair[0] != pair[1]:
-                            links.append((min(pair), max(pair)))
-                        waiting.append((not from_a, int(j)))
-        columns = [pa.array([link[n] for link in links], arrow_schema.field(n).type) for n in (0, 1)]
-        return pa.Table.from_arrays(columns, schema=arrow_schema)
-
-    return run(forest, schema)
+    return close_links(ball_index(core_points, rows_per_cell), eps)
 
 
 def density_clusters(
@@ -235,8 +152,8 @@ def density_clusters(
 
     Points whose core distance is within ``eps`` are linked when they lie within ``eps`` of each
     other; connected groups of at least ``min_cluster_size`` points are clusters. This is the cut
-    of the density hierarchy at ``eps``, which defaults to a quantile of the core distances. Work
-    is quadratic in the number of points, as for any exact method without an index.
+    of the density hierarchy at ``eps``, which defaults to a quantile of the core distances. How many
+    pairs of points are looked at depends on how far a ball partition tells them apart.
     """
     vectors = stage(vectors.select("post_id", "embedding"), "density-vectors")
     cores = stage(core_distances(vectors, min_samples, rows_per_cell), "core-distances")

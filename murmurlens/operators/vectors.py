@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 MAX_SHARED_QUERIES = 4_096
-ROWS_PER_CELL = 20_000
+ROWS_PER_CELL = 2_000
 SCORES_PER_SLICE = 4_000_000
 MERGE_SALTS = 64
 DECIMALS = 6
@@ -142,33 +142,6 @@ def _scan_with_shared_queries(head, vectors, k, query_id, item_id, schema) -> Da
     return vectors.mapInArrow(scan, schema)
 
 
-def _scan_by_blocks(queries, vectors, k, query_id, item_id, schema, max_queries, rows_per_cell) -> DataFrame:
-    """Block join: vectors fall in even cells, queries in even blocks, each (cell, block) pair is
-    one bounded task that returns at most k items per query."""
-    blocks = -(-queries.count() // max_queries)
-    cells = max(1, -(-vectors.count() // rows_per_cell))
-    arrow_schema = to_arrow_schema(schema)
-
-    def in_cells(df, key, own, others, n_own, n_others):
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
-            others, F.explode(F.sequence(F.lit(0), F.lit(n_others - 1)))
-        )
-
-    left = in_cells(vectors, item_id, "cell", "block", cells, blocks)
-    # Own names on the right: the two sides may come from one table and must not share columns.
-    asked = queries.select(F.col(query_id).alias("asked_id"), F.col("embedding").alias("asked_embedding"))
-    right = in_cells(asked, "asked_id", "block", "cell", blocks, cells)
-
-    def score(items: pa.Table, asked: pa.Table) -> pa.Table:
-        best = _Best(asked.num_rows, k)
-        if items.num_rows and asked.num_rows:
-            matrix = as_matrix(asked.column("asked_embedding"))
-            best.offer(matrix, as_matrix(items.column("embedding")), _id_array(items.column(item_id)))
-        return _batch(best, asked.column("asked_id").to_pylist(), arrow_schema)
-
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(score, schema)
-
-
 def top_k(
     queries: DataFrame,
     vectors: DataFrame,
@@ -181,8 +154,9 @@ def top_k(
     """``(query_id, rank, item_id, similarity_score)``: the k items with the highest inner product.
 
     Exact. Up to ``max_queries`` query vectors are shared with every task and the vectors are
-    scanned where they lie, without a shuffle; more queries go through an even block join. Every
-    task returns at most k items per query, and these are merged in two steps.
+    scanned where they lie, without a shuffle; more queries, with distinct ids, meet only the blocks of a
+    ball partition that can hold one of their best. Every task returns at most k items per query, and
+    these are merged in two steps.
     """
     queries = queries.select(query_id, "embedding").filter(F.col("embedding").isNotNull())
     vectors = vectors.select(item_id, "embedding").filter(F.col("embedding").isNotNull())
@@ -193,7 +167,9 @@ def top_k(
     elif len(head) <= max_queries:
         partial = _scan_with_shared_queries(head, vectors, k, query_id, item_id, schema)
     else:
-        partial = _scan_by_blocks(queries, vectors, k, query_id, item_id, schema, max_queries, rows_per_cell)
+        from murmurlens.operators.inner_product import pruned_scores  # which builds on this module
+
+        partial = pruned_scores(queries, vectors, k, query_id, item_id, schema, max_queries, rows_per_cell)[0]
     return _merge_ranked(partial, k, query_id, item_id)
 
 

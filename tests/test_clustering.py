@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmurlens.operators import clustering, labels
+from murmurlens.operators import clustering, labels, neighbours
 from murmurlens.plans import reports
 from tests.test_graph import make_posts
 
@@ -170,3 +170,36 @@ def test_case_study(spark):
     assert study.network.components.first()["size"] == 3 and study.breakdown.count() == 2
     nobody = reports.case_study(posts.limit(0), full, "topic").narrative.first()
     assert nobody["narrative"] == "Insufficient data to generate a case study narrative."
+
+
+def clustered(n=1200, dim=8, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(30, dim)) * 40
+    points = centres[rng.integers(0, 30, n)] + rng.normal(size=(n, dim))
+    return np.vstack([points, np.repeat(points[:1], 400, axis=0), rng.normal(size=(20, dim)) * 400]).astype(np.float32).astype(float)
+
+
+def test_ball_partition_prunes_and_stays_exact(spark):
+    """Clustered points, a third as many copies of one of them, and far outliers."""
+    points = clustered()
+    vectors = frame(spark, points).cache()
+    away = neighbours.distances(points, points)
+    index = neighbours.ball_index(vectors, 40)
+    assert index.points.count() == len(np.unique(points, axis=0)) and index.blocks.agg(F.max("rows")).first()[0] <= 40
+    np.fill_diagonal(away, np.inf)
+    want = np.sort(away, axis=1)[:, 4]
+    got = {r["post_id"]: r["core"] for r in clustering.core_distances(vectors, rows_per_cell=40).collect()}
+    assert got == pytest.approx({f"p{i:03d}": want[i] for i in range(len(points))}, abs=2e-6)
+    looked, pairs = neighbours.visited(index, 4.0)
+    assert 0 < looked < 0.1 * pairs
+    assert neighbours.visited(index, 1e6) == (pairs, pairs)
+
+
+def test_few_points_and_copies(spark):
+    assert clustering.core_distances(frame(spark, [(0.0, 0.0)] * 4)).filter("core IS NOT NULL").count() == 0
+    same = clustering.core_distances(frame(spark, [(1.0, 2.0)] * 7 + [(4.0, 6.0)]))
+    cores = {r["post_id"]: r["core"] for r in same.collect()}
+    assert cores["p000"] == 0.0 and cores["p007"] == 5.0
+    links = clustering.density_links(frame(spark, [(1.0, 2.0)] * 7 + [(4.0, 6.0)]), 0.5).collect()
+    assert len(links) == 6 and {x for link in links for x in link} == {f"p{i:03d}" for i in range(7)}
+    assert clustering.core_distances(frame(spark, [(1.0, 1.0)]).limit(0)).count() == 0

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from murmurlens.operators import encode, search
+from murmurlens.operators import encode, inner_product, search
 from murmurlens.operators import vectors as vectors_module
 from murmurlens.operators.vectors import l2_normalize, top_k
 from murmurlens.plans import reports
@@ -155,3 +156,24 @@ def test_blank_queries_and_negative_scores(spark):
     got = {r["query_id"]: list(r["embedding"]) for r in encode.encode_queries(encoded, asked, dimensions=2).collect()}
     assert got == {1: [0.0, 0.0], 2: [0.0, 0.0], 3: [1.0, 0.0]}
     assert vectors_module._rounded(np.array([-0.0000015, 0.0000015, -0.25])).tolist() == [-0.000002, 0.000002, -0.25]
+
+
+def test_many_queries_meet_few_blocks(spark):
+    """Clustered items of very different lengths, a third of them copies of one vector."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(25, 12)) * 10
+    points = centres[rng.integers(0, 25, 900)] + rng.normal(size=(900, 12)) * 0.3
+    points = np.vstack([points * rng.uniform(0.5, 2.0, (900, 1)), np.repeat(points[:1], 450, axis=0), np.zeros((3, 12))]).astype(np.float32).astype(float)
+    asked = np.vstack([centres[rng.integers(0, 25, 300)] + rng.normal(size=(300, 12)) * 0.3, np.zeros((1, 12)), -centres[:5]]).astype(np.float32).astype(float)
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "post_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(asked)], "query_id string, embedding array<float>").repartition(2)
+    got = {(r["query_id"], r["rank"]): (r["post_id"], r["similarity_score"]) for r in top_k(queries, items, 6, max_queries=50, rows_per_cell=30).collect()}
+    scores = asked @ points.T
+    rounded = np.sign(scores) * np.floor(np.abs(scores) * 1e6 + 0.5) / 1e6
+    for i in range(len(asked)):
+        order = np.lexsort((np.arange(len(points)), -rounded[i]))[:6]
+        assert [got[f"q{i}", n + 1] for n in range(6)] == [(j, pytest.approx(rounded[i, j], abs=2e-6)) for j in order.tolist()]
+    assert len(got) == 6 * len(asked)
+    schema = T.StructType.fromDDL("query_id string, post_id long, similarity_score double")
+    _, met, index = inner_product.pruned_scores(queries, items, 6, "query_id", "post_id", schema, 50, 30)
+    assert met.count() < 0.2 * len(asked) * index.blocks.count()
