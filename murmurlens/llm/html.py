@@ -5,12 +5,13 @@ place and content (depth, siblings, share of the page's text, link and tag densi
 and by what its tag, class, id and role say. Boosted regression trees give the log-odds that an
 element belongs to the main text. Decoding goes from the root down: the best set of subtrees is
 chosen by dynamic programming, where an element under a kept one stays unless it is cut out with
-its whole subtree, so an answer for a descendant never contradicts the one for its ancestors.
+its whole subtree, so an answer for a descendant never contradicts the one for its ancestors. A page of
+which nothing would be kept keeps the text that no tag, attribute or lot of links marks as boilerplate.
 
 The trees are fitted on a bounded sample of pages (``sample``, by a hash of the page id) that have
 an article element. Each sampled page is used as it is and in variants to which boilerplate of the
-kinds in ``BOILERPLATE`` is added and whose article may be renamed, so that no single tag or class
-is relied on. Extraction reads every page whole.
+kinds in ``BOILERPLATE`` is added and whose article may be renamed, taken out of its element or put
+in a table cell, so that no single tag or class is relied on. Extraction reads every page whole.
 
 Text rules: scripts, styles, comments, the document head and elements of ``NO_TEXT`` give none (of
 these the inner elements don't count either, and they end with their parent); character references are
@@ -18,7 +19,7 @@ decoded; white space inside a block becomes one space; blocks are joined in page
 line. A line break element counts as white space.
 
 Defined results: a null or empty page and one without any main text give an empty string; text
-outside any element belongs to the page's root; unclosed and stray tags are tolerated; repeated
+outside any element belongs to the page's root; a tag that is never closed by ``>`` ends the page; unclosed and stray tags are tolerated; repeated
 rows give repeated rows; extra columns are not read.
 """
 
@@ -39,7 +40,10 @@ from murmurlens.llm.common import column, slices, thinned
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title".split())
 NO_TEXT = frozenset("noscript template svg iframe object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output picture progress q rb rp rt rtc "
+    "ruby s samp slot small span strike strong sub sup time tt u var wbr".split()
+)
 CLOSED_BY = {
     "p": frozenset("p address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
@@ -74,10 +78,13 @@ BOILERPLATE = [
 ]
 ARTICLES = [("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="main"'), ("section", 'class="post"'), ("div", 'class="entry-content"'), ("div", 'class="article-body"'), ("div", "")]
 
-SAMPLE, VARIANTS = 120, 3
+SAMPLE, VARIANTS, BARE = 120, 3, 4
 TREES, DEPTH, RATE, BINS, LEAST = 60, 4, 0.2, 32, 8
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+# A quote opens a value only behind an equals sign; one that is never closed is a plain character.
+ATTRIBUTES = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+VALUE_END = re.compile(r"=\s*[^\s\"']*/$")  # the slash belongs to a value without quotes
 MARK = "data-is-main-text="
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -87,6 +94,34 @@ WORD_OF = {word: i for i, words in enumerate(WORD_GROUPS.values()) for word in w
 FEATURES = 22 + 2 * len(TAG_GROUPS) + 2 * len(WORD_GROUPS)
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``(start, end, "/" of a closing tag, tag, attributes)`` of tags, and of comments and declarations
+    with an empty tag. ``send`` a place to go on from there. Every character is read a bounded number of
+    times: what is never closed is looked for once, and ends the page."""
+    place, last = 0, html.rfind(">")
+    while True:
+        start = html.find("<", place)
+        if start < 0 or start > last:
+            return
+        name = NAME.match(html, start + 1)
+        if name:
+            found = ATTRIBUTES.match(html, name.end())
+            if not found:
+                yield start, len(html), "", "", ""
+                return
+            token = start, found.end(), name[1], name[2].lower(), found[1]
+        elif html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            token = start, end + 3 if end >= 0 else len(html), "", "", ""
+        elif html.startswith(("<!", "<?", "</"), start):
+            token = start, html.index(">", start) + 1, "", "", ""
+        else:
+            place = start + 1
+            continue
+        moved = yield token
+        place = token[1] if moved is None else moved
+
+
 class Page:
     """Elements in document order: tag, parent, attribute words, and runs of text with their owner."""
 
@@ -121,48 +156,63 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack, place = [0], 0
+        self.open: dict[str, int] = {}  # open elements by tag
+        self.closers: list[int] = []  # places in the stack of those that another tag may close
         silent = depth = 0  # the outermost open element of NO_TEXT, and its place in the stack
+        found, moved = tokens(html), None
         while True:
-            found = TOKEN.search(html, place)
-            if silent and (not found or len(stack) <= depth or stack[depth] != silent):
+            try:
+                token = found.send(moved)
+            except StopIteration:
+                token = None
+            if silent and (not token or len(stack) <= depth or stack[depth] != silent):
                 for values in (self.tags, self.parents, self.words, self.hidden, self.marks):
                     del values[silent + 1 :]
             if silent and (len(stack) <= depth or stack[depth] != silent):
                 silent = 0
             if not silent:
-                self._text(stack[-1], html[place : found.start() if found else len(html)])
-            if not found:
+                self._text(stack[-1], html[place : token[0] if token else len(html)])
+            if not token:
                 return
-            place, tag = found.end(), (found[2] or "").lower()
+            _, place, closing, tag, attributes = token
+            moved = place
             if not tag:
                 continue
-            if found[1]:
+            if closing:
                 self._close(stack, tag)
                 continue
-            while len(stack) > 1:
-                top = self.tags[stack[-1]]
-                inner = top if top in CLOSED_BY else next((self.tags[i] for i in reversed(stack) if self.tags[i] in CLOSED_BY), "")
-                if not inner or tag not in CLOSED_BY[inner] or not self._close(stack, inner, tag):
+            while self.closers:
+                inner = self.tags[stack[self.closers[-1]]]
+                if tag not in CLOSED_BY[inner] or not self._close(stack, inner, tag):
                     break
-            node = self._open(tag, found[3] or "", stack[-1])
-            closed = (found[3] or "").rstrip().endswith("/")
+            node = self._open(tag, attributes, stack[-1])
+            closed = attributes.endswith("/") and not VALUE_END.search(attributes[-200:])
             if tag == "br" and not silent:
                 self.runs.append((stack[-1], " "))
             if tag in RAW and not (silent and closed):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, place)
-                place = end.end() if end else len(html)
+                place = moved = end.end() if end else len(html)
             elif tag not in VOID and not closed:
                 if tag in NO_TEXT and not silent:
                     silent, depth = node, len(stack)
+                if tag in CLOSED_BY:
+                    self.closers.append(len(stack))
+                self.open[tag] = self.open.get(tag, 0) + 1
                 stack.append(node)
 
     def _close(self, stack: list[int], tag: str, because: str = "") -> bool:
         """Leave the innermost open ``tag``. An opening tag closes nothing beyond a list or table
         that lies in between; a closing tag without a partner is ignored."""
+        if not self.open.get(tag):
+            return False
         for i in range(len(stack) - 1, 0, -1):
             here = self.tags[stack[i]]
             if here == tag:
+                for left in stack[i:]:
+                    self.open[self.tags[left]] -= 1
                 del stack[i:]
+                while self.closers and self.closers[-1] >= i:
+                    self.closers.pop()
                 return True
             if because and (here in SCOPES or here not in INLINE):
                 return False
@@ -298,6 +348,9 @@ def raw_scores(model: tuple, x: np.ndarray) -> np.ndarray:
     return trees.raw(x)
 
 
+NEVER = 1e6
+
+
 def decode_tree(score: np.ndarray, own: np.ndarray, children: list[list[int]]) -> np.ndarray:
     """Which elements are main text: the assignment with the largest sum of ``score`` (log-odds,
     weighted by own text) in which main text forms whole subtrees with whole subtrees cut out: on
@@ -320,6 +373,45 @@ def decode_tree(score: np.ndarray, own: np.ndarray, children: list[list[int]]) -
     return kept
 
 
+BOILER_TAGS = frozenset(TAG_GROUPS["boiler"] + ["label", "option", "figcaption"])
+BOILER_WORDS = sum(1 << i for i, name in enumerate(WORD_GROUPS) if name != "content")
+
+
+def unmarked(page: Page, own: np.ndarray) -> np.ndarray:
+    """Elements that nothing on their path calls boilerplate: no such tag, attribute word or hidden
+    element, and no block that is mostly links."""
+    n = len(page.tags)
+    text, links = own.copy(), np.where(np.array(page.tags) == "a", own, 0.0)
+    for i in range(n - 1, 0, -1):
+        text[page.parents[i]] += text[i]
+        links[page.parents[i]] += text[i] if page.tags[i] == "a" else links[i]
+    kept = np.ones(n, bool)
+    for i in range(1, n):
+        named = page.tags[i] in BOILER_TAGS or page.words[i] & BOILER_WORDS or page.hidden[i]
+        listed = page.tags[i] not in INLINE and text[i] > 0 and links[i] > 0.5 * text[i]
+        kept[i] = kept[page.parents[i]] and not named and not listed
+    return kept
+
+
+def menu_cells(page: Page, children: list[list[int]], own: np.ndarray) -> list[int]:
+    """Cells of layout tables that hold links alone, next to a cell with paragraphs or headings, and all
+    that is in them."""
+    n = len(page.tags)
+    if "td" not in page.tags:
+        return []
+    text, links, blocks = own.copy(), np.zeros(n), np.zeros(n, bool)
+    for i in range(n - 1, 0, -1):
+        p = page.parents[i]
+        links[p] += text[i] if page.tags[i] == "a" else links[i]
+        text[p] += text[i]
+        blocks[p] |= blocks[i] or page.tags[i] in ("p", "h1", "h2", "article")
+    inside = np.zeros(n, bool)
+    for i in range(1, n):
+        alone = page.tags[i] == "td" and text[i] > 0 and links[i] == text[i]
+        inside[i] = inside[page.parents[i]] or alone and any(blocks[k] for k in children[page.parents[i]] if k != i)
+    return np.flatnonzero(inside).tolist()
+
+
 def main_text(page: Page, kept: np.ndarray) -> str:
     """The kept text, block by block."""
     blocks, current, last = [], [], -1
@@ -340,6 +432,7 @@ def main_text(page: Page, kept: np.ndarray) -> str:
 
 
 SIMPLE = re.compile(r"<p>([^<{}]*)</p>")
+OPENING = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)")
 SHAPES = ["<ul><li>{0}</li><li>{0}</li><li>{0}</li></ul>", "<blockquote>{0}</blockquote>", "<h2>{0}</h2>", "<div>{0}</div>", "<pre>{0}</pre>", "<table><tr><td>{0}</td><td>{0}</td></tr></table>", "<figure><img src=x><figcaption>{0}</figcaption></figure>", "<ol><li><p>{0}</p></li></ol>"]
 ARTICLE = re.compile(r"<article\b([^>]*)>(.*)</article\s*>", re.S | re.I)
 BODY = re.compile(r"<body\b[^>]*>", re.I)
@@ -369,25 +462,43 @@ def _boilerplate(phrases: list[str], random: np.random.Generator) -> str:
     return f'<{tag} {attributes} {MARK}0>{inner}</{tag}>'
 
 
+def _links(phrases: list[str], random: np.random.Generator) -> str:
+    """A bare row of links, as in the cell of a layout table."""
+    names = [phrases[random.integers(len(phrases))].split(" ")[: random.integers(1, 4)] for _ in range(random.integers(1, 8))]
+    return [" ", " | ", "<br>"][random.integers(3)].join(f'<a href="/{i}">{" ".join(name)}</a>' for i, name in enumerate(names))
+
+
 def variants(html: str, random: np.random.Generator, many: int = VARIANTS) -> list[str]:
     """The page with its article marked, and ``many`` versions with boilerplate added around and
-    inside the article; in half of them the article gets another tag and class."""
+    inside the article; in half of them the article gets another tag and class. Then ``BARE`` more: the
+    article's blocks among those of the page, the blocks as the whole page, and a layout by a table."""
     found = ARTICLE.search(html)
     if not found:
         return []
     phrases = _phrases(found[2]) or ["a few words"]
     out = [html[: found.start()] + f"<article {found[1]} {MARK}1>{found[2]}</article>" + html[found.end() :]]
-    for _ in range(many):
+    for turn in range(many + BARE):
+        # Blocks among those of the page, blocks as the whole page with and without a body, or in a table.
+        bare = turn - many
         tag, attributes = ARTICLES[random.integers(len(ARTICLES))] if random.random() < 0.5 else ("article", found[1])
-        inner = found[2]
+        inner = OPENING.sub(rf"<\1 {MARK}1", found[2]) if bare in (0, 1, 2) else found[2]
         cuts = [m.end() for m in re.finditer(r"</(?:p|h1|h2|ul|blockquote)>", inner)]
-        for _ in range(random.integers(0, 3)):
+        for _ in range(random.integers(0, 3) if bare not in (1, 2) or random.random() < 0.3 else 0):
             at = cuts[random.integers(len(cuts))] if cuts and random.random() < 0.5 else len(inner)
             inner = inner[:at] + _boilerplate(phrases, random) + inner[at:]
             cuts = [c for c in cuts if c <= at]
         around = ["".join(_boilerplate(phrases, random) for _ in range(random.integers(0, 4))) for _ in range(2)]
-        inner = SIMPLE.sub(lambda m: m[0] if random.random() < 0.8 else SHAPES[random.integers(len(SHAPES))].format(m[1]), inner)
-        page = html[: found.start()] + around[0] + f"<{tag} {attributes} {MARK}1>{inner}</{tag}>" + around[1] + html[found.end() :]
+        if bare not in (0, 1, 2):
+            inner = SIMPLE.sub(lambda m: m[0] if random.random() < 0.8 else SHAPES[random.integers(len(SHAPES))].format(m[1]), inner)
+        whole = f"<{tag} {attributes} {MARK}1>{inner}</{tag}>"
+        if bare in (0, 1, 2):
+            whole = inner
+        elif bare == 3:
+            side = [f"<td {MARK}0>{_links(phrases, random) if random.random() < 0.5 else _boilerplate(phrases, random)}</td>" for _ in range(2)]
+            whole = f"<table><tr>{side[0]}<td {MARK}1>{inner}</td>{side[1] if random.random() < 0.5 else ''}</tr></table>"
+        page = html[: found.start()] + around[0] + whole + around[1] + html[found.end() :]
+        if bare in (1, 2) or bare == 3 and random.random() < 0.5:
+            page = whole if bare == 2 else f"<html><body>{whole}</body></html>"
         start = BODY.search(page)
         if start and random.random() < 0.3:
             page = page[: start.end()] + '<div class="wrapper">' + page[start.end() :]
@@ -428,10 +539,14 @@ def extract_texts(model: tuple, htmls: list[str]) -> list[str]:
     found = [describe(page) for page in pages]
     scores = raw_scores(model, np.concatenate([x for x, _, _ in found]))
     cuts = np.cumsum([0] + [len(x) for x, _, _ in found])
-    return [
-        main_text(page, decode_tree(scores[a:b], own, children))
-        for page, (_, children, own), a, b in zip(pages, found, cuts, cuts[1:])
-    ]
+    out = []
+    for page, (_, children, own), a, b in zip(pages, found, cuts, cuts[1:]):
+        score = scores[a:b]
+        score[menu_cells(page, children, own)] = -NEVER
+        text = main_text(page, decode_tree(score, own, children))
+        # Where the trees see no main text at all, as on pages unlike all they know, text without any mark stays.
+        out.append(text or main_text(page, unmarked(page, own)))
+    return out
 
 
 def extract(pages: DataFrame, model: tuple) -> DataFrame:
