@@ -50,17 +50,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHATS_SQL = r"""
-WITH cleaned AS (SELECT DISTINCT conv_id, turn, COALESCE(role, 'user') AS role, COALESCE(text, '') AS text FROM conversations),
-numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM cleaned),
-prefixes AS (SELECT conv_id, n, COUNT(*) OVER (PARTITION BY conv_id) AS turns,
-  LIST(role || chr(1) || text) OVER (PARTITION BY conv_id ORDER BY n) AS said FROM numbered),
-kept AS (SELECT MIN(conv_id) AS conv_id, said FROM prefixes WHERE n = turns GROUP BY said),
+WITH cleaned AS (SELECT DISTINCT conv_id, turn, COALESCE(role, 'user') AS role, COALESCE(text, '') AS text,
+    COALESCE(CAST(conv_id AS VARCHAR), 'row ' || md5(COALESCE(CAST(turn AS VARCHAR), '') || chr(1) || COALESCE(role, 'user') || chr(1) || COALESCE(text, ''))) AS conv
+  FROM conversations),
+numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS n FROM cleaned),
+prefixes AS (SELECT conv, conv_id, n, COUNT(*) OVER (PARTITION BY conv) AS turns,
+  LIST(role || chr(1) || text) OVER (PARTITION BY conv ORDER BY n) AS said FROM numbered),
+kept AS (SELECT ARG_MIN(conv, (conv_id IS NULL, COALESCE(conv_id, 0), conv)) AS conv, said FROM prefixes WHERE n = turns GROUP BY said),
 longer AS (SELECT DISTINCT said FROM prefixes WHERE n < turns),
-maximal AS (SELECT conv_id FROM kept ANTI JOIN longer USING (said))
+maximal AS (SELECT conv FROM kept ANTI JOIN longer USING (said))
 SELECT conv_id, COUNT(*) AS turns,
   STRING_AGG('<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_start|>', '<' || chr(8205) || '|im_start|>'), '<|im_end|>', '<' || chr(8205) || '|im_end|>')
     || '<|im_end|>' || chr(10), '' ORDER BY n) AS rendered
-FROM numbered SEMI JOIN maximal USING (conv_id) GROUP BY conv_id
+FROM numbered SEMI JOIN maximal USING (conv) GROUP BY conv, conv_id
 """
 
 

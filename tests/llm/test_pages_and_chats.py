@@ -1,9 +1,12 @@
 """Main-text extraction, chat formatting, and the pipeline."""
 
 import html as entities
+import itertools
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +82,77 @@ def test_few_article_pages_are_all_learnt_from(spark, monkeypatch):
     assert len(set(html.train(pages, sample=20))) == 20
 
 
+LONG = "This is a long sentence of the story, with words enough to tell it from a menu. It goes on, and on. "
+PARTS = [LONG * 2 + str(i) for i in range(4)]
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<html><body>" + "".join(f"<p>{x}</p>" for x in PARTS) + "</body></html>", PARTS),
+    ("<h1>The headline of a story about a river in the north</h1>" + "".join(f"<p>{x}" for x in PARTS), ["The headline of a story about a river in the north", *PARTS]),
+    (LONG * 3, [LONG * 3]),
+    (f"<html><body>{LONG}<br>{LONG}</body></html>", [f"{LONG}{LONG}"]),
+    (f"<article><p title=it's>{PARTS[0]}</p><p>we don't know. {PARTS[1]}</p><p title='a>b' class=\"x'y\">{PARTS[2]}</p></article>", [PARTS[0], f"we don't know. {PARTS[1]}", PARTS[2]]),
+    (f"<article><p title=it's>{PARTS[0]}</p><p>{PARTS[1]}</p></article>", PARTS[:2]),
+    (f"<article><p>{PARTS[0]} foo <del>bar</del> baz <ruby>x<rt>y</rt></ruby></p><p>{PARTS[1]}</p></article>", [f"{PARTS[0]} foo bar baz xy", PARTS[1]]),
+    ("<body><table><tr><td><a href=/>Home</a> <a href=/b>News</a></td><td>" + "".join(f"<p>{x}</p>" for x in PARTS) + "</td></tr></table></body>", PARTS),
+])
+def test_pages_without_a_container(model, page, blocks):
+    clean = [re.sub(r"\s+", " ", block).strip() for block in blocks]
+    assert html.extract_texts(model, [page]) == ["\n\n".join(clean)]
+
+
+def test_a_page_of_boilerplate_alone_stays_empty(model):
+    page = "<body><nav><a href=/>Home</a></nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul><footer>All rights</footer><div class=ad>Buy</div></body>"
+    assert html.extract_texts(model, [page]) == [""]
+
+
+@pytest.mark.parametrize("hostile", [
+    "<b 'a\" c d e ", "<b x=\"", "<b x='y\"", "<", "<!", "<!--", "</", "<b ", "<b>", "</b>", "<p><b>", "<div>", "<li><b>", "<script", "<title>", "<a b='c' =\"\n",
+])
+def test_time_grows_with_the_page(hostile):
+    """A megabyte of each is read in seconds; it used to take the better part of an hour."""
+    page = hostile * (1_000_000 // len(hostile))
+    for html_ in (page, page + ">", "<div>" * 20_000 + "</i>" * 100_000):
+        started = time.process_time()
+        html.Page(html_)
+        assert time.process_time() - started < 30
+
+
+def best_by_brute_force(value, children):
+    """The largest sum over all sets of elements that are whole subtrees with whole subtrees cut out."""
+    parent = {k: i for i, kids in enumerate(children) for k in kids}
+    best = 0.0
+    for kept in itertools.product((False, True), repeat=len(value)):
+        ok = True
+        for i in range(len(value)):
+            path, at = [], i
+            while True:
+                path.append(kept[at])
+                if at not in parent:
+                    break
+                at = parent[at]
+            path = path[::-1]
+            if sum(a != b for a, b in zip([False, *path], path)) > 2:
+                ok = False
+                break
+        if ok:
+            best = max(best, sum(v for v, k in zip(value, kept) if k))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_decoding_is_optimal(seed):
+    random_ = np.random.default_rng(seed)
+    n = int(random_.integers(2, 11))
+    children = [[] for _ in range(n)]
+    for i in range(1, n):
+        children[random_.integers(0, i)].append(i)
+    score, own = random_.normal(size=n) * 3, random_.integers(0, 50, n).astype(float)
+    kept = html.decode_tree(score, own, children)
+    value = score * np.log1p(own) + 0.05 * score
+    assert value[kept].sum() == pytest.approx(best_by_brute_force(value, children))
+
+
 def test_answers_never_contradict(spark, model):
     page = html.Page(PAGE)
     x, children, own = html.describe(page)
@@ -104,6 +178,18 @@ def test_chats(spark):
     assert chats.format_chats(source.limit(0)).count() == 0
 
 
+def test_rows_without_a_conversation_are_on_their_own(spark):
+    """A third of all rows may have no id: each is a conversation, equal and prefix ones are dropped as others."""
+    rows = [(None, i, "user", f"alone {i % 40}") for i in range(80)] + [(None, 0, "user", "a"), (None, 3, None, "b")]
+    rows += [(1, 0, "user", "a"), (1, 1, "bot", "c"), (2, 0, "user", "b")]
+    source = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = [tuple(r) for r in chats.format_chats(source).collect()]
+    named = {r[0]: r[1] for r in found if r[0] is not None}
+    assert named == {1: 2, 2: 1}  # the nameless "a" begins 1, the nameless "b" equals 2
+    alone = [r for r in found if r[0] is None]
+    assert len(alone) == len(set(alone)) == 40 and {r[1] for r in alone} == {1}
+
+
 def test_pipeline_against_its_parts(spark, awkward):
     import corpus_pipeline
 
