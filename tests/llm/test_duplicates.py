@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from murmurlens.llm import jaccard, pivots
@@ -156,15 +158,33 @@ def test_vectors(spark, monkeypatch):
     assert pivots.near_duplicates(vectors.limit(0)).count() == 0
 
 
-def test_recall_on_all_vectors_of_the_table(spark):
-    vectors = table(spark, "/root/testdata/check_s", "embeddings").filter("label < 3")
-    rows = [(r.vec_id, list(r.embedding)) for r in vectors.collect()]
-    values = np.array([v for _, v in rows])
-    values /= np.linalg.norm(values, axis=1, keepdims=True)
-    links = (values @ values.T >= 0.9).sum() - len(rows)
-    assert links > 1000
-    seen = sum(r.n_links for r in pivots.near_duplicates(vectors).collect())
-    assert 0.9 * links <= seen <= links
+def planted(n, dim, seed=8):
+    """``n`` random vectors with a partner for every fourth, at a cosine from 0.90 to 0.99."""
+    random_ = np.random.default_rng(seed)
+    unit = random_.normal(size=(n, dim))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    some = unit[::4]
+    away = random_.normal(size=some.shape)
+    away -= (away * some).sum(axis=1, keepdims=True) * some
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = random_.uniform(0.9, 0.99, (len(some), 1))
+    return np.concatenate([unit, some * cosine + away * np.sqrt(1 - cosine * cosine)]).astype(np.float32)
+
+
+@pytest.mark.parametrize("n, dim", [(20_000, 64), (4_000, 384)])
+def test_recall_against_all_vectors(spark, tmp_path, n, dim):
+    """Queries are the vectors whose id is divisible by 100, against all vectors by brute force."""
+    values = planted(n, dim)[np.random.default_rng(1).permutation(n + n // 4)]
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), dim).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(values)), "embedding": lists}), tmp_path / "vectors.parquet")
+    found = {r.vec_id: r.n_links for r in pivots.near_duplicates(spark.read.parquet(str(tmp_path / "vectors.parquet"))).collect()}
+    wide = values.astype(float) / np.linalg.norm(values.astype(float), axis=1, keepdims=True)
+    asked = np.arange(0, len(values), 100)
+    true = (wide[asked] @ wide.T >= 0.9).sum(axis=1) - 1
+    seen = np.array([found[i] for i in asked.tolist()])
+    assert true.sum() > 0.003 * n and (seen <= true).all() and seen.sum() >= 0.95 * true.sum()
+    everything = sum((wide[i : i + 1000] @ wide.T >= 0.9).sum() for i in range(0, len(wide), 1000)) - len(wide)
+    assert 0.95 * everything <= sum(found.values()) <= everything
 
 
 def narrow(case):
