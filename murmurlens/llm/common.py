@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -29,11 +31,31 @@ def in_fold(key: str, folds: int, wanted: int) -> Column:
 
 
 def worker_cache(name: str, build: Callable[[], object]) -> object:
-    """A resource built once per worker process and kept for its later tasks."""
+    """A resource built once per worker process and kept for its later tasks, until a task of another
+    kind asks for its own or calls :func:`start_afresh`. A worker holds one at a time."""
     holder = sys.modules.setdefault("_murmurlens_worker", types.ModuleType("_murmurlens_worker"))
-    if not hasattr(holder, name):
-        setattr(holder, name, build())
-    return getattr(holder, name)
+    if getattr(holder, "held", (None, None))[0] != name:
+        start_afresh()
+        holder.held = (name, build())
+    return holder.held[1]
+
+
+def start_afresh() -> None:
+    """Let go of what an earlier task of another kind kept in this worker."""
+    holder = sys.modules.get("_murmurlens_worker")
+    if holder is not None and hasattr(holder, "held"):
+        del holder.held
+        gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it for the life of the process otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -51,7 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
                 start, held = i, 0
             held += size + 64
         yield batch.slice(start)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

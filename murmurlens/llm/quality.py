@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmurlens.llm.common import column, slices, thinned
+from murmurlens.llm.common import column, slices, start_afresh, thinned
 from murmurlens.llm.hashing import SPACE, byte_runs, bytes_of, mix, runs, starts_of_runs, word_hashes, word_spans
 
 FEATURE_BITS = 18
 SAMPLE, PASSES, RATE, SHRINK = 3000, 12, 0.5, 1e-6
+SLICE = 512 << 10
 MIN_WORDS, MOST_REPEATED_PERCENT, MIN_QUALITY = 50, 50, 0.5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -40,20 +41,15 @@ class QualityModel:
     """Calibrated probability: 1 / (1 + exp(-(slope * raw + bias)))."""
 
 
-def features(flat: np.ndarray, cuts: np.ndarray, words: np.ndarray, word_cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all texts with repetition, text after text, and where each begins."""
-    found = []
+def features(flat: np.ndarray, cuts: np.ndarray, words: np.ndarray, word_cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For words, word pairs and byte trigrams: the feature numbers of all texts with repetition, text
+    after text, and where each text begins."""
     for salt, (values, at, width) in enumerate([(words, word_cuts, 1), (words, word_cuts, 2), (None, cuts, 3)]):
         grams = byte_runs(flat, width) if values is None else runs(values, width)
         total = len(flat) if values is None else len(words)
         inside = starts_of_runs(at, width, total)
         numbers = (mix(grams[inside] + np.uint64(salt * 7919)) >> np.uint64(64 - FEATURE_BITS)).astype(np.uint32)
-        firsts = np.concatenate([[0], np.cumsum(inside)])[np.minimum(at, len(inside))]
-        found.append((numbers, np.diff(firsts)))
-    owners = [np.repeat(np.arange(len(cuts) - 1), sizes) for _, sizes in found]
-    order = np.argsort(np.concatenate(owners), kind="stable")
-    sizes = np.sum([sizes for _, sizes in found], axis=0)
-    return np.concatenate([numbers for numbers, _ in found])[order], np.concatenate([[0], np.cumsum(sizes)])
+        yield numbers, np.concatenate([[0], np.cumsum(inside)])[np.minimum(at, len(inside))]
 
 
 def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -62,7 +58,7 @@ def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     for text in texts:
         flat, cuts = bytes_of(pa.array([text]))
         starts, ends, at = word_spans(flat, cuts)
-        numbers, _ = features(flat, cuts, word_hashes(flat, starts, ends), at)
+        numbers = np.concatenate([x for x, _ in features(flat, cuts, word_hashes(flat, starts, ends), at)])
         names, times = np.unique(numbers, return_counts=True)
         out.append((names, (times / max(1, len(numbers))).astype(np.float32)))
     return out
@@ -174,8 +170,9 @@ def score(docs: DataFrame, model: QualityModel, *more: Column | str, min_quality
     known = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         weights, bias = shared.value
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=SLICE):
             texts = column(batch, "text")
             flat, cuts = bytes_of(texts)
             starts, ends, word_cuts = word_spans(flat, cuts)
@@ -189,9 +186,11 @@ def score(docs: DataFrame, model: QualityModel, *more: Column | str, min_quality
             if weights is None:
                 quality = np.ones(len(texts))
             else:
-                numbers, at = features(flat, cuts, words, word_cuts)
-                summed = np.concatenate([[0.0], np.cumsum(weights[numbers], dtype=np.float64)])
-                quality = _sigmoid(np.diff(summed[at]) / np.maximum(1, np.diff(at)) + bias)
+                summed, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+                for numbers, at in features(flat, cuts, words, word_cuts):
+                    summed += np.diff(np.concatenate([[0.0], np.cumsum(weights[numbers], dtype=np.float64)])[at])
+                    sizes += np.diff(at)
+                quality = _sigmoid(summed / np.maximum(1, sizes) + bias)
             added = [
                 *(pa.array(x, pa.int64()) for x in (n_words, word_chars, counts(SYMBOLS[flat]), lines, again)),
                 pa.array(failed), pa.array(quality, pa.float64()), pa.array(~failed & (quality >= min_quality)),

@@ -18,21 +18,22 @@ import pyarrow.compute as pc
 
 from murmurlens.llm.common import worker_cache
 
-MOST_WORDS = 80_000
+MOST_WORDS, MOST_CHARS = 80_000, 4 << 20
 # Letters whose lower case is one letter of the same block and that no normal form changes.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&#*|]*)")
 
 
 class Kept:
-    """A dictionary of two generations: what is not asked for while ``most`` new entries come in
-    is forgotten. Bounds memory; forgotten entries are simply computed again."""
+    """A dictionary of two generations: what is not asked for while ``most`` new entries, or entries of
+    ``MOST_CHARS`` characters, come in is forgotten. Bounds memory; forgotten entries are simply
+    computed again."""
 
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
     def missing(self, keys) -> list:
         young, old = self.young, self.old
-        if len(young) >= self.most:
+        if len(young) >= self.most or sum(map(len, young)) >= MOST_CHARS:
             self.old, self.young = old, young = young, {}
         lost = []
         for key in keys:
