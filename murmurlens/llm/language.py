@@ -8,7 +8,11 @@ row with the landmarks' presence matrix, so landmarks and dual weights are multi
 matrix of n-gram by language, and a batch is scored by one product of presence rows with it.
 
 Fitting reads at most ``sample`` texts, the same number per language (``PER_LANGUAGE`` at most) in
-the order of a hash of their ids (``landmarks`` of them are landmarks); scoring reads every text whole.
+the order of a hash of their ids (``landmarks`` of them are landmarks); where there are more languages
+than that, one text of each, which then is its landmark. Every language with a text is learnt. Weights
+are kept in blocks of ``BLOCK_LANGUAGES`` columns; a text is scored by one block after another, so that
+a worker holds one block. N-grams are told apart by ``GRAM_BITS`` bits of a hash. Scoring reads every
+text whole.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and every text when
 there is nothing to learn from; ties go to the first language in name order; repeated rows give
@@ -27,14 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from murmurlens.llm.common import column, in_fold, slices, thinned
+from murmurlens.llm.common import column, in_fold, slices, start_afresh, thinned
 from murmurlens.llm.hashing import LOWER, byte_runs, bytes_of, mix, starts_of_runs
 from murmurlens.runtime import stage
 
 ORDERS = (1, 2, 3, 4)
 GRAM_BITS = 18
 SAMPLE, PER_LANGUAGE, LANDMARKS, RIDGE = 1200, 600, 240, 1e-3
-MOST_LANGUAGES = 400
+BLOCK_LANGUAGES = 256
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
@@ -42,8 +46,8 @@ UNDETERMINED = "und"
 @dataclass
 class LanguageModel:
     languages: list[str]
-    weights: np.ndarray
-    """Row: n-gram, column: language."""
+    weights: list[np.ndarray]
+    """Blocks of at most ``BLOCK_LANGUAGES`` languages; row: n-gram, column: language."""
 
 
 def presence(flat: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
@@ -65,16 +69,20 @@ def presence(flat: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Closed-form fit on a list of texts; every ``n / landmarks``-th is a landmark."""
+    """Closed-form fit on a list of texts; every ``n / landmarks``-th is a landmark, or the first text of
+    each language where there are more languages than landmarks."""
     languages = sorted(set(langs))
     sets = []
     for text in texts:
         sets += presence(*bytes_of(pa.array([text])))
     kept = [i for i, grams in enumerate(sets) if len(grams)]
     if not kept:
-        return LanguageModel([], np.zeros((1 << GRAM_BITS, 0), np.float32))
+        return LanguageModel([], [])
     sets, langs = [sets[i] for i in kept], [langs[i] for i in kept]
-    chosen = np.unique(np.linspace(0, len(sets) - 1, min(landmarks, len(sets))).astype(int))
+    if len(languages) > landmarks:
+        chosen = np.unique([langs.index(lang) for lang in sorted(set(langs))])
+    else:
+        chosen = np.unique(np.linspace(0, len(sets) - 1, min(landmarks, len(sets))).astype(int))
     marks = np.zeros((1 << GRAM_BITS, len(chosen)), np.uint8)
     for j, i in enumerate(chosen):
         marks[sets[i], j] = 1
@@ -87,51 +95,73 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     targets = np.where(np.array(langs)[:, None] == np.array(languages), 1.0, -1.0)
     solved = np.linalg.solve(mapped.T @ mapped + ridge * len(sets) * np.eye(mapped.shape[1]), mapped.T @ targets)
     dual = (root @ solved) / own[chosen][:, None]
-    blocks = [marks[a : a + 8192].astype(np.float64) @ dual for a in range(0, len(marks), 8192)]
-    return LanguageModel(languages, np.concatenate(blocks).astype(np.float32))
+    weights = []
+    for first in range(0, len(languages), BLOCK_LANGUAGES):
+        part = dual[:, first : first + BLOCK_LANGUAGES]
+        weights.append(np.concatenate([(marks[a : a + 8192].astype(np.float64) @ part).astype(np.float32) for a in range(0, len(marks), 8192)]))
+    return LanguageModel(languages, weights)
 
 
 def training_sample(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
     """At most ``sample`` texts with their language, alike many per language, sorted by a hash."""
     known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     known = known.select("text", F.col("lang").cast("string"), F.xxhash64(F.col("doc_id").cast("string")).alias("by"))
-    # At most ``MOST_LANGUAGES`` rows; rarer values are not learnt.
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).orderBy(F.desc("texts"), "lang").limit(MOST_LANGUAGES)
-    counts = stage(counts, "languages")
-    wanted = min(PER_LANGUAGE, max(1, sample // max(1, counts.count())))
-    some = thinned(known.join(F.broadcast(counts), "lang"), "by", wanted, F.col("texts"))
+    counts = stage(known.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")), "languages")
+    languages = counts.count()
+    wanted, sample = min(PER_LANGUAGE, max(1, sample // max(1, languages))), max(sample, languages)
+    some = thinned(known.join(counts, "lang"), "by", wanted, F.col("texts"))
     order = W.partitionBy("lang").orderBy(F.pmod("by", F.lit(1 << 40)), "text")
     ranked = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= wanted)
     rows = ranked.orderBy("place", "lang").limit(sample).select("text", "lang").collect()
     return [row[0] for row in rows], [row[1] for row in rows]
 
 
+def _best_of_block(shared, batch: pa.RecordBatch, names: list[str]) -> tuple[list[str], list[float]]:
+    """The best language of a block for each text, and its value; texts without a letter get -2."""
+    texts, weights = column(batch, "text"), shared.value
+    langs, values = [UNDETERMINED] * len(texts), [-2.0] * len(texts)
+    lettered = [i for i, text in enumerate(texts.to_pylist()) if names and LETTER.search(text)]
+    if lettered:
+        sets = presence(*bytes_of(texts.take(pa.array(lettered))))
+        sizes = np.array([len(grams) for grams in sets])
+        summed = np.add.reduceat(weights[np.concatenate(sets)].astype(np.float64), np.cumsum(sizes) - sizes, axis=0)
+        found = summed / np.sqrt(sizes)[:, None]
+        best = found.argmax(axis=1)
+        for i, k, value in zip(lettered, best.tolist(), found[np.arange(len(best)), best].tolist()):
+            langs[i], values[i] = names[k], value
+    return langs, values
+
+
 def predict(docs: DataFrame, model: LanguageModel, *more: Column | str) -> DataFrame:
     """``(doc_id, text, …, lang_pred, score)`` of every text."""
-    # 2**GRAM_BITS rows, a column per language
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
+    context = docs.sparkSession.sparkContext
     known = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *more)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, weights = shared.value
-        for batch in slices(batches, most=2 << 20):
-            texts = column(batch, "text")
-            langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            lettered = [i for i, text in enumerate(texts.to_pylist()) if names and LETTER.search(text)]
-            if lettered:
-                sets = presence(*bytes_of(texts.take(pa.array(lettered))))
-                sizes = np.array([len(grams) for grams in sets])
-                summed = np.add.reduceat(weights[np.concatenate(sets)].astype(np.float64), np.cumsum(sizes) - sizes, axis=0)
-                values = summed / np.sqrt(sizes)[:, None]
-                best = values.argmax(axis=1)
-                sure = np.clip((values[np.arange(len(best)), best] + 1) / 2, 0, 1)
-                for i, k, p in zip(lettered, best.tolist(), sure.tolist()):
-                    langs[i], scores[i] = names[k], p
-            columns = [*batch.columns, pa.array(langs), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
-
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
-    return known.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    if not model.languages:
+        return known.select("*", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+
+    def scored_by(number: int):
+        shared = context.broadcast(model.weights[number])  # 2**GRAM_BITS rows, a column per language of the block
+        names = model.languages[number * BLOCK_LANGUAGES : (number + 1) * BLOCK_LANGUAGES]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            start_afresh()
+            for batch in slices(batches, most=512 << 10):
+                langs, values = _best_of_block(shared, batch, names)
+                if number:  # an earlier block wins where it is as good
+                    before, held = column(batch, "lang_pred").to_pylist(), column(batch, "score").to_pylist()
+                    both = [(a, x) if x >= y else (b, y) for a, x, b, y in zip(before, held, langs, values)]
+                    langs, values = [x for x, _ in both], [x for _, x in both]
+                columns = batch.columns[:-2] if number else batch.columns
+                names_ = batch.schema.names[:-2] if number else batch.schema.names
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(values, pa.float64())], [*names_, "lang_pred", "score"])
+
+        return run
+
+    for number in range(len(model.weights)):
+        known = known.mapInArrow(scored_by(number), f"{fields}, lang_pred string, score double")
+    sure = F.when(F.col("score") < -1.5, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("score") + 1) / 2)))
+    return known.withColumn("score", sure)
 
 
 def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> DataFrame:

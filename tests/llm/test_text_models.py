@@ -42,6 +42,39 @@ def test_presence_kernel_by_hand():
     assert len(np.intersect1d(one, two)) == 0
 
 
+def test_kernel_ridge_by_brute_force(spark):
+    """With every text a landmark, the answer is that of kernel ridge regression on the whole kernel."""
+    random_ = np.random.default_rng(2)
+    texts = ["".join(random_.choice(list("abcde fg" if i % 3 else "hij éè k"), 40 + i)) + " x" for i in range(30)]
+    langs = [("p", "q", "r")[i % 3] for i in range(30)]
+    model = language.fit(texts, langs, landmarks=30, ridge=1e-2)
+    asked = texts[:5] + ["abc hij", "éé aa bb", "zzz"]
+    grams = lambda text: set(language.presence(*language.bytes_of(pa.array([text])))[0].tolist())
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    known = [grams(x) for x in texts]
+    whole = np.array([[kernel(a, b) for b in known] for a in known])
+    targets = np.where(np.array(langs)[:, None] == np.array(["p", "q", "r"]), 1.0, -1.0)
+    dual = np.linalg.solve(whole + 1e-2 * 30 * np.eye(30), targets)
+    want = np.array([[kernel(grams(x), b) for b in known] for x in asked]) @ dual
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(asked)], "doc_id long, text string")
+    found = sorted(language.predict(docs, model).collect(), key=lambda r: r.doc_id)
+    assert [r.lang_pred for r in found] == [("p", "q", "r")[k] for k in want.argmax(axis=1)]
+    assert np.allclose([r.score for r in found], np.clip((want.max(axis=1) + 1) / 2, 0, 1), atol=1e-4)
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    """More languages than landmarks and than columns of a block, most with one text."""
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", 40)
+    random_ = np.random.default_rng(3)
+    words = {f"l{i:03d}": ["".join(random_.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for i in range(110)}
+    rows = [(i * 7 + n, " ".join(random_.permutation(own)), lang) for i, (lang, own) in enumerate(words.items()) for n in range(1 + (i % 10 == 0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(*language.training_sample(docs, F.lit(True), sample=100), landmarks=50)
+    assert len(model.languages) == 110 and [w.shape[1] for w in model.weights] == [40, 40, 30]
+    found = language.predict(docs, model, "lang").collect()
+    assert len(found) == len(rows) and all(r.lang_pred == r.lang for r in found)
+
+
 def rules(text):
     words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
     windows = collections.defaultdict(list)
