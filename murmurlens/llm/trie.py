@@ -12,8 +12,8 @@ exclusive-or of a prefix's ids names the prefix, again in 128 bits.
 A conversation of any length is cut into bands of ``BAND`` turns, each a row of its own under the name
 of the prefix before it, so that no row grows with a conversation and a conversation with a third of
 all turns is spread. Nodes above a deeper band are put together like those at shard borders. Sums over
-their subtrees come from pointer doubling: in round k each node adds the sums of the nodes ``2**k``
-below it, so the rounds grow with the logarithm of the longest conversation. Positions of turns, and
+their subtrees go up the path of a band in one step and from band to band by pointer doubling, so the
+rounds grow with the logarithm of the longest conversation; conversations of one band need none. Positions of turns, and
 names of prefixes, come from places in range-sorted partitions and one row per partition and
 conversation; a conversation is never in one task. Digests of very many members are fed to SHA-256
 from sorted blocks of ids as a stream.
@@ -44,7 +44,7 @@ NO_ENDS = hashlib.sha256(b"").hexdigest()
 KEY = ["depth", "x", "y"]
 FOUND = (
     "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, "
-    "shard long, up long, x long, y long, parent_x long, parent_y long, bytes long, first long, ids string, kind string"
+    "shard long, up long, x long, y long, path_x array<long>, path_y array<long>, bytes long, first long, ids string, kind string"
 )
 
 
@@ -205,8 +205,11 @@ def shard_nodes(rows: pa.Table, shard: int, band_width: int = BAND) -> pa.Table:
     where = lambda values, known: pa.array(values.astype(np.int64), mask=~known)
     columns["parent_conv_id"] = where(least[parent], under_closed)
     columns["up"] = where(np.where(opened, number, number[parent]), opened | (below & ~under_closed))
-    before = np.maximum(level - 1, 0)
-    columns |= {"parent_x": where(x[start, before], below), "parent_y": where(y[start, before], below)}
+    # Names of all prefixes from the band's start to an open node.
+    steps = np.where(opened, level + 1, 0)
+    cuts = np.concatenate([[0], np.cumsum(steps)])
+    row, at = np.repeat(start, steps), np.arange(cuts[-1]) - np.repeat(cuts[:-1], steps)
+    columns |= {k: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v[row, at])) for k, v in (("path_x", x), ("path_y", y))}
     columns["ends_sha256"] = pa.array([None if o else digests.get(i, NO_ENDS) for i, o in enumerate(opened.tolist())], pa.string())
     columns["first"], columns["ids"] = pa.nulls(nodes, pa.int64()), pa.nulls(nodes, pa.string())
     columns["kind"] = pa.array(np.where(opened, "open", np.where(under_closed, "closed", "closed_under_open")).astype(object), pa.string())
@@ -261,31 +264,49 @@ def _digests(ends: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, "depth long, x long, y long, ends_sha256 string")
 
 
-def _subtree_sums(opens: DataFrame) -> DataFrame:
+def _subtree_sums(opens: DataFrame, band: int) -> DataFrame:
     """Replace ``n_leaves`` and ``saved_tokens`` of open nodes, their own and those of the closed subtrees
-    right below, by the sums over all open nodes of their subtree."""
+    right below, by the sums over all open nodes of their subtree.
+
+    Within a band a node adds to every prefix of its path. What stands below the end of a band first
+    goes to that node, and from there, by pointer doubling over the ends of bands, up the paths."""
+    sums = ["n_leaves", "saved_tokens"]
+    at = F.posexplode(F.arrays_zip("path_x", "path_y")).alias("i", "of")
+    spread = opens.select("depth", F.size("path_x").alias("length"), *sums, at)
+    parts = spread.select((F.col("depth") - F.col("length") + 1 + F.col("i")).alias("depth"), F.col("of.path_x").alias("x"), F.col("of.path_y").alias("y"), *sums, "i", "length")
+    below = (F.col("i") == 0) & (F.col("depth") > 0)  # the end of the band above
+    added = parts.filter(~below).select(*KEY, *sums)
     deepest = opens.agg(F.max("depth")).first()[0] or 0
-    state = opens.select(*KEY, "n_leaves", "saved_tokens", F.col("parent_x").alias("ax"), F.col("parent_y").alias("ay"))
-    step = 1  # (ax, ay) names the node ``step`` above, at depth - step
-    while step <= deepest:
-        far = state.filter(F.col("depth") >= step)
-        added = far.groupBy((F.col("depth") - step).alias("depth"), F.col("ax").alias("x"), F.col("ay").alias("y"))
-        added = added.agg(F.sum("n_leaves").alias("more_leaves"), F.sum("saved_tokens").alias("more_saved"))
-        up = state.filter((F.col("depth") >= step) & ((F.col("depth") + step <= deepest))).select(
-            F.col("depth").alias("ad"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by")
+    if deepest > band:
+        added = added.unionByName(_from_deeper_bands(opens, parts.filter(below & (F.col("length") > 1)), sums, band, deepest))
+    total = added.groupBy(*KEY).agg(*[F.sum(name).alias(name) for name in sums])
+    return opens.drop(*sums).join(total, KEY)
+
+
+def _from_deeper_bands(opens: DataFrame, below: DataFrame, sums: list[str], band: int, deepest: int) -> DataFrame:
+    """What the nodes at the ends of bands hand up to the prefixes of their paths."""
+    held = below.groupBy(*KEY).agg(*[F.sum(name).alias(name) for name in sums])
+    ends = opens.drop(*sums).join(held, KEY)
+    above = F.col("depth") >= 2 * band
+    state = ends.select(*KEY, *sums, F.when(above, F.col("path_x")[0]).alias("ax"), F.when(above, F.col("path_y")[0]).alias("ay"))
+    state, step = stage(state, "band-ends"), band  # (ax, ay) names the end of a band ``step`` above
+    while step + band <= deepest:
+        more = state.filter(F.col("depth") >= step + band).groupBy((F.col("depth") - step).alias("depth"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+        more = more.agg(*[F.sum(name).alias(f"more_{name}") for name in sums])
+        grown = state.join(more, KEY, "left").select(
+            *KEY, *[(F.col(name) + F.coalesce(f"more_{name}", F.lit(0))).alias(name) for name in sums], "ax", "ay", (F.col("depth") - step).alias("ad")
         )
-        summed = state.join(added, KEY, "left").select(
-            *KEY, (F.col("n_leaves") + F.coalesce("more_leaves", F.lit(0))).alias("n_leaves"),
-            (F.col("saved_tokens") + F.coalesce("more_saved", F.lit(0))).alias("saved_tokens"), "ax", "ay", (F.col("depth") - step).alias("ad"),
-        )
-        # Nodes nearer to the root than two steps have none above and go without the join.
-        near, deep = summed.filter(F.col("depth") < 2 * step), summed.filter(F.col("depth") >= 2 * step)
-        none = F.lit(None).cast("long")
-        state = near.select(*KEY, "n_leaves", "saved_tokens", none.alias("ax"), none.alias("ay")).unionByName(
-            deep.join(up, ["ad", "ax", "ay"]).select(*KEY, "n_leaves", "saved_tokens", F.col("bx").alias("ax"), F.col("by").alias("ay"))
+        up = state.select(F.col("depth").alias("ad"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
+        # Ends with no other end two steps above go without the join.
+        far, none = F.col("depth") >= 2 * step + band, F.lit(None).cast("long")
+        state = grown.filter(~far).select(*KEY, *sums, none.alias("ax"), none.alias("ay")).unionByName(
+            grown.filter(far).join(up, ["ad", "ax", "ay"]).select(*KEY, *sums, F.col("bx").alias("ax"), F.col("by").alias("ay"))
         )
-        state, step = stage(state, "subtrees"), 2 * step
-    return opens.drop("n_leaves", "saved_tokens").join(state.drop("ax", "ay"), KEY)
+        state, step = stage(state, "band-ends"), 2 * step
+    whole = state.drop("ax", "ay").join(opens.drop(*sums), KEY)
+    spread = whole.select("depth", *sums, F.size("path_x").alias("length"), F.posexplode(F.arrays_zip("path_x", "path_y")).alias("i", "of"))
+    spread = spread.select((F.col("depth") - F.col("length") + 1 + F.col("i")).alias("depth"), F.col("of.path_x").alias("x"), F.col("of.path_y").alias("y"), *sums, "i")
+    return spread.filter((F.col("i") > 0) | (F.col("depth") == 0)).select(*KEY, *sums)
 
 
 RESULT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -307,13 +328,15 @@ def trie(convs: DataFrame, turns: DataFrame, band: int = BAND, shard_rows: int =
     kind = lambda name: found.filter(F.col("kind") == name)
 
     parts = kind("open").select(
-        "shard", "up", *KEY, "parent_x", "parent_y", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "bytes"
+        "shard", "up", *KEY, "path_x", "path_y", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "bytes"
     )
     merged = parts.groupBy(*KEY).agg(
-        F.min("conv_id").alias("conv_id"), F.max("parent_x").alias("parent_x"), F.max("parent_y").alias("parent_y"), F.max("bytes").alias("bytes"),
+        F.min("conv_id").alias("conv_id"), F.max("bytes").alias("bytes"),
+        F.max_by(F.struct("path_x", "path_y"), F.size("path_x")).alias("path"),  # not that of the band that begins here
         *[F.sum(name).alias(name) for name in ("n_convs", "n_children", "n_leaves", "saved_tokens")],
     )
-    merged = stage(merged, "open_nodes")
+    up = lambda name: F.when(F.size(f"path.{name}") > 1, F.element_at(f"path.{name}", -2))
+    merged = stage(merged.select("*", "path.path_x", "path.path_y", up("path_x").alias("parent_x"), up("path_y").alias("parent_y")).drop("path"), "open_nodes")
     of = [(F.col("depth") - 1).alias("depth"), F.col("parent_x").alias("x"), F.col("parent_y").alias("y")]
     open_children = merged.filter("depth > 0").groupBy(*of).agg(F.count(F.lit(1)).alias("more"))
     counted = merged.join(open_children, KEY, "left").withColumn("n_children", F.col("n_children") + F.coalesce("more", F.lit(0))).drop("more")
@@ -321,7 +344,7 @@ def trie(convs: DataFrame, turns: DataFrame, band: int = BAND, shard_rows: int =
         "n_leaves": F.col("n_leaves") + (F.col("n_children") == 0).cast("long"),
         "saved_tokens": F.col("saved_tokens") + (F.col("n_convs") - 1) * F.col("bytes"),
     })
-    opens = _subtree_sums(stage(counted, "open_counted"))
+    opens = _subtree_sums(stage(counted, "open_counted"), band)
     named = merged.select(F.col("depth").alias("above"), F.col("x").alias("parent_x"), F.col("y").alias("parent_y"), F.col("conv_id").alias("parent_conv_id"))
     opens = opens.withColumn("above", F.col("depth") - 1).join(named, ["above", "parent_x", "parent_y"], "left")
     opens = opens.join(_digests(kind("ends")), KEY, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(NO_ENDS)))
