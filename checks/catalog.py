@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -904,6 +905,32 @@ def _(tables):
     return vector_gaps(tables.vectors(), tables.posts(), 64)
 
 
+@query(
+    "vectors_by_content",
+    f""", texts AS (SELECT CAST(post_id AS BIGINT) AS n, CASE WHEN TRIM(content, {BLANKS}) = '' THEN '[empty]' ELSE content END AS text FROM posts)
+       SELECT 1 AS round, COUNT(*) AS posts, COUNT(DISTINCT text) AS encoded, 0 AS other_vectors FROM texts
+       UNION ALL SELECT 2, COUNT(*), COUNT(DISTINCT CASE WHEN n % 100 = 7 THEN text END), 0 FROM texts""",
+    "posts",
+)
+def _(tables):
+    """Encode all posts, then again after the text of one in a hundred changed; all other posts keep the
+    vector that encoding them one by one gives."""
+    from murmurlens.operators import encode
+    from murmurlens.sources.content_vectors import vectors_by_content
+
+    posts, path = tables.posts().select("post_id", "content"), f"{tables.stored.root}/content-vectors-{uuid.uuid4().hex}"
+    number = F.col("post_id").cast("bigint") % 100
+    changed = posts.withColumn("content", F.when(number == 7, F.concat("content", F.lit(" edited lately"))).otherwise(F.col("content")))
+    done = []
+    for n, given in enumerate((posts, changed), 1):
+        found = vectors_by_content(given, path, lambda texts: encode.encode_hashed(tables.encoder(), texts), encode.DIMENSIONS)
+        both = found.vectors.join(tables.encoded_posts().withColumnRenamed("embedding", "own"), "post_id")
+        other = F.count_if((F.col("embedding") != F.col("own")) & ((number != 7) | F.lit(n == 1)))
+        facts = both.agg(F.count(F.lit(1)).alias("posts"), other.alias("other")).first()
+        done.append((n, facts["posts"], found.encoded, facts["other"]))
+    return tables.spark.createDataFrame(done, "round int, posts long, encoded long, other_vectors int")
+
+
 @query(
     "search_payload",
     """SELECT q.query_id, COUNT(h.post_id) AS results, ARG_MIN(h.post_id, h.rank) AS first_id, ARG_MAX(h.post_id, h.rank) AS last_id,

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from murmurlens.operators.encode import DIMENSIONS, encode_hashed, fit_hashed_encoder
 from murmurlens.operators.ingest import ingest_files
 from murmurlens.plans import reports
+from murmurlens.sources.content_vectors import vectors_by_content
 from murmurlens.sources.posts import load_once
-from murmurlens.sources.vectors import complete_vectors
 
 
 @dataclass(frozen=True)
@@ -32,12 +32,12 @@ def prepare(
     dimensions: int = DIMENSIONS,
     **topic_options,
 ) -> Prepared:
-    """Posts from ``lines`` are ingested unless ``folder`` holds some already; only posts without a
-    valid vector are encoded. ``encode`` maps ``(post_id, content)`` to ``(post_id, embedding)``; by
+    """Posts from ``lines`` are ingested unless ``folder`` holds some already; only texts without a
+    vector are encoded. ``encode`` maps ``(post_id, content)`` to ``(post_id, embedding)``; by
     default the hashed encoder is fitted on the stored posts."""
     posts = load_once(spark, f"{folder}/posts", lambda: ingest_files(spark, lines, as_of).posts)
     if encode is None:
         model = fit_hashed_encoder(posts, dimensions=dimensions)
         encode = lambda texts: encode_hashed(model, texts)
-    vectors = complete_vectors(posts, f"{folder}/vectors", encode, dimensions)
+    vectors = vectors_by_content(posts, f"{folder}/vectors", encode, dimensions).vectors
     return Prepared(posts, vectors, reports.build_graph(posts), reports.topic_clusters(vectors, posts, **topic_options))

@@ -195,6 +195,14 @@ class KeyedStore:
         known = hits.join(stored, [self.key, "commit", "bucket"], "left_semi").select(self.key)
         return known, sum(map(len, parts.values()))
 
+    def absent(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """The ``rows`` whose key is not stored, and the number of parts that were read to know."""
+        seen = self.snapshot()
+        if not seen.commits:
+            return rows, 0
+        known, read = self._known(seen, rows.withColumn("bucket", self._bucket(seen.buckets)))
+        return rows.join(known, self.key, "left_anti"), read
+
     def replace(self, rows: DataFrame) -> Snapshot:
         """A new version of these rows alone, keys taken as unique. Older versions stay until
         :meth:`vacuum`, so ``rows`` may read from the store itself."""

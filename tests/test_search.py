@@ -7,6 +7,7 @@ from murmurlens.operators import encode, inner_product, search
 from murmurlens.operators import vectors as vectors_module
 from murmurlens.operators.vectors import l2_normalize, top_k
 from murmurlens.plans import reports
+from murmurlens.sources import content_vectors
 from murmurlens.sources import vectors as store
 from tests.test_graph import make_posts
 
@@ -158,6 +159,40 @@ def test_blank_queries_and_negative_scores(spark):
     assert vectors_module._rounded(np.array([-0.0000015, 0.0000015, -0.25])).tolist() == [-0.000002, 0.000002, -0.25]
 
 
+def test_vectors_follow_the_content(spark, tmp_path):
+    path = str(tmp_path / "by-content")
+    rows = [{"post_id": f"p{i:03d}", "content": f"text {i % 20}"} for i in range(60)] + [{"post_id": "blank", "content": " "}]
+    calls = []
+
+    def encoder(dimensions):
+        def encode_texts(texts):
+            calls.append(texts.count())
+            return texts.select("post_id", F.array_repeat(F.xxhash64("content").cast("float"), dimensions).alias("embedding"))
+
+        return encode_texts
+
+    def found(posts, dimensions=8, **how):
+        done = content_vectors.vectors_by_content(make_posts(spark, posts), path, encoder(dimensions), dimensions, **how)
+        return {r["post_id"]: tuple(r["embedding"]) for r in done.vectors.collect()}, done.encoded
+
+    first, encoded = found(rows)
+    assert len(first) == 61 and encoded == 21 and len(set(first.values())) == 21
+    changed = [dict(row, content="a new text") if row["post_id"] == "p007" else row for row in rows]
+    second, encoded = found(changed)
+    assert encoded == 1 and calls == [21, 1]
+    assert {k for k in first if first[k] != second[k]} == {"p007"}
+    assert found(rows[:5] + changed)[1] == 0 and calls == [21, 1]
+    store = content_vectors.vector_store(spark, path)
+    assert store.snapshot().rows == 22
+    content_vectors.forget_unused(make_posts(spark, rows[:10]), path)
+    assert store.snapshot().rows == 10 and found(rows[:10]) == ({k: first[k] for k in list(first) if k in {r["post_id"] for r in rows[:10]}}, 0)
+    other, encoded = found(rows, 4)
+    assert encoded == 21 and {len(v) for v in other.values()} == {4}
+    assert found(rows, 4, rebuild=True)[1] == 21
+    nobody = content_vectors.vectors_by_content(make_posts(spark, rows).limit(0), path, encoder(4), 4)
+    assert nobody.encoded == 0 and nobody.vectors.count() == 0
+
+
 def test_many_queries_meet_few_blocks(spark):
     """Clustered items of very different lengths, a third of them copies of one vector."""
     rng = np.random.default_rng(9)
