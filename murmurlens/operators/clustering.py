@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -19,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from murmurlens.operators.components import connected_components
+from murmurlens.operators.kmeans import assigned, best_centres
 from murmurlens.operators.neighbours import ball_index, close_links, distances, kth_neighbour
 from murmurlens.operators.ordering import value_at_quantile, with_global_index
 from murmurlens.operators.vectors import as_matrix
@@ -43,7 +41,6 @@ DEGENERATE = "HDBSCAN produced insufficient clusters. Used KMeans fallback with
 
 DENSITY_QUANTILE = 0.75
 ROWS_PER_CELL = 2_000
-PARALLEL_FITS = 5
 
 
 # -- KMeans ------------------------------------------------------------------------------------
@@ -65,26 +62,14 @@ def relabel_by_size(points: DataFrame) -> DataFrame:
 def kmeans(
     vectors: DataFrame, k: int, restarts: int = RESTARTS, max_iterations: int = MAX_ITERATIONS, seed: int = SEED
 ) -> DataFrame:
-    """``(post_id, cluster)``: the cheapest of ``restarts`` KMeans runs.
-
-    The runs share one persisted input and are submitted side by side, so that small inputs do not
-    leave the cluster idle between the short jobs of a single run.
-    """
-    rows = vectors.select("post_id", array_to_vector("embedding").alias("features")).persist()
+    """``(post_id, cluster)``: the cheapest of ``restarts`` KMeans runs, which advance together."""
+    rows = vectors.select("post_id", "embedding").persist()
     try:
         points = rows.count()
         if not MIN_CLUSTERS <= k <= max(MIN_CLUSTERS, points):
             raise ValueError(f"{k} clusters for {points} points")
-
-        @inheritable_thread_target(vectors.sparkSession)
-        def fit(turn: int):
-            return KMeans(k=k, maxIter=max_iterations, seed=seed + turn).fit(rows)
-
-        with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:
-            models = pool.map(fit, range(restarts))
-        best = min(models, key=lambda model: model.summary.trainingCost)
-        labelled = best.transform(rows).select("post_id", F.col("prediction").alias("cluster"))
-        return relabel_by_size(stage(labelled, "kmeans"))
+        centres = best_centres(rows, points, k, restarts, max_iterations, seed)
+        return relabel_by_size(stage(assigned(rows, centres), "kmeans"))
     finally:
         rows.unpersist()
 
