@@ -41,3 +41,11 @@ def test_posts_store_their_text_once_and_the_graph_reads_none(spark, tmp_path):
     assert whole == {"selftext"}
     plain = tables.posts_without_text()
     assert sorted(map(repr, plain.select(sorted(plain.columns)).collect())) == sorted(map(repr, posts.select(sorted(plain.columns)).collect()))
+
+
+def test_named_tables_are_stored_with_zstd(spark, tmp_path):
+    from murmurlens.runtime import Workspace
+
+    table = Workspace(spark).table("texts", lambda: spark.createDataFrame([("a text",)], "text string"))
+    assert all(name.endswith(".zstd.parquet") for name in table.inputFiles())
+    assert [row.text for row in table.collect()] == ["a text"]
