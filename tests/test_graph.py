@@ -178,3 +178,25 @@ def test_filtered_graph(spark):
     assert sorted(r["id"] for r in one.nodes.collect()) == ["u0", "u1", "u2", "u3"] and one.edges.count() == 6
     assert reports.filter_graph(full, max_nodes=3).nodes.count() == 3
     assert reports.filter_graph(full, min_pagerank=0.9).totals.first()["total_nodes"] == 0
+
+
+def test_a_louvain_round_is_one_job_and_leaves_the_settings(spark, monkeypatch):
+    from murmurlens.operators import louvain as module
+
+    rounds, before = [], spark.conf.get("spark.sql.adaptive.enabled")
+    cut, context = module.cut, spark.sparkContext
+    monkeypatch.setattr(module, "cut", lambda df: rounds.append("own_gain" in df.columns) or cut(df))
+    edges = [(f"{g}-{a}", f"{g}-{b}", 1) for g in range(6) for a in range(6) for b in range(a + 1, 6)]
+    edges += [(f"{g}-0", f"{(g + 1) % 6}-1", 1) for g in range(6)]
+    frame = spark.createDataFrame(edges, "src string, dst string, weight long")
+    nodes = spark.createDataFrame([(f"{g}-{a}",) for g in range(6) for a in range(6)], "id string")
+    context.setJobGroup("louvain-jobs", "")
+    try:
+        found = module.louvain(nodes, frame)
+        jobs = len(context.statusTracker().getJobIdsForGroup("louvain-jobs"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 3 * sum(rounds) + 90  # 30 for each of three levels
+    assert found.select("community").distinct().count() == 6
+    assert {row["id"][0] == row["community"][0] for row in found.collect()} == {True}
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
