@@ -1,8 +1,8 @@
 """Exact neighbours over a ball partition of the vectors, pruned by the triangle inequality.
 
 Equal vectors are one point with a count. Every point belongs to the ball of its nearest centre;
-a ball is cut into rings by the distance to the centre, so that a block, a ring of a ball, holds at
-most ``rows_per_block`` points and far ones stand apart. A point ``x`` at distance ``d`` of another ball's
+a ball is cut into rings by the distance to the centre, so that a block, a ring of a ball, holds a
+bounded number of points (:func:`block_rows`) and far ones stand apart. A point ``x`` at distance ``d`` of another ball's
 centre is at least ``|d - r|`` away from each point at distance ``r`` of that centre. So a block needs
 to meet only the rings of a ball that can reach it, and most pairs of blocks of clustered vectors
 are never looked at. Where nothing can be pruned, as for vectors without any structure, all pairs
@@ -14,6 +14,7 @@ broadcast; which rings a block has to meet follows from an equi-join on the ball
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,17 +30,37 @@ from murmurlens.operators.vectors import as_matrix
 from murmurlens.runtime import stage
 
 MOST_CENTRES, SAMPLE_PER_CENTRE = 2048, 4
+# Blocks grow with the table, so that a point is sent to some tens of other blocks and not to ever more
+# of them, as long as a block stays within MOST_VALUES numbers. A task looks at PAIRS_AT_ONCE pairs a time.
+FEW_BLOCKS, MOST_VALUES, PAIRS_AT_ONCE, TILE = 32, 1 << 21, 2_000_000, 2_000
 DECIMALS, SLACK = 6, 1e-5  # distances are rounded, bounds are wider than that
 CLASS = ["h1", "h2"]
 
 
+def block_rows(rows: int, dimensions: int, least: int) -> int:
+    """Rows of a block for a table of ``rows``: ``least``, and more where that makes more than ``FEW_BLOCKS``."""
+    return max(least, min(rows // FEW_BLOCKS, MOST_VALUES // max(1, dimensions)))
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances, rounded so that they do not depend on summation order."""
-    squared = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
+    return _rooted(_squared(a, b))
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
+
+
+def _rooted(squared: np.ndarray) -> np.ndarray:
     scale = 10.0**DECIMALS
     return np.floor(np.sqrt(np.maximum(squared, 0.0)) * scale + 0.5) / scale
 
 
+def _slices(rows: int, columns: int) -> Iterator[slice]:
+    step = max(1, PAIRS_AT_ONCE // max(1, columns))
+    return (slice(start, start + step) for start in range(0, rows, step))
+
+
 def spread_centres(sample: np.ndarray, wanted: int) -> np.ndarray:
     """At most ``wanted`` distinct rows of the sample: the first half as they come, so that there are more
     where the points are dense, then each the one farthest from all before it."""
@@ -103,7 +124,8 @@ class BallIndex:
 
 
 def ball_index(vectors: DataFrame, rows_per_block: int) -> BallIndex:
-    """Index ``vectors(post_id, embedding)``, which should be stored: they are read more than once."""
+    """Index ``vectors(post_id, embedding)``, which should be stored: they are read more than once. A block
+    holds ``rows_per_block`` points, or more in a large table."""
     spark = vectors.sparkSession
     hashes = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]
     named = vectors.select("post_id", *hashes)
@@ -111,7 +133,8 @@ def ball_index(vectors: DataFrame, rows_per_block: int) -> BallIndex:
         F.min("post_id").alias("point"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")
     )
     distinct = stage(distinct, "distinct-vectors")
-    n = distinct.count()
+    n, dimensions = distinct.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    rows_per_block = block_rows(n, dimensions, rows_per_block)
     wanted = 1 if n <= rows_per_block else min(MOST_CENTRES, 2 * -(-n // rows_per_block))
     plain = distinct.select("point", "embedding", "copies")
     if wanted <= 1:
@@ -159,12 +182,24 @@ def _meet(index: BallIndex, pairs: DataFrame, points: DataFrame, function, schem
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(function, schema)
 
 
-def _nearest_of(away: np.ndarray, copies: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` smallest distances of each row with their copies, padded with infinity."""
-    if away.shape[1] > k:
-        at = np.argpartition(away, k - 1, axis=1)[:, :k]
-        return np.take_along_axis(away, at, axis=1), copies[at]
-    return away, np.broadcast_to(copies, away.shape)
+def _nearest_within(a: np.ndarray, b: np.ndarray, limit: np.ndarray, copies: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``a`` the ``k`` smallest distances to ``b`` within its limit, with their copies, padded
+    with infinity. Few pairs are within the limit, so only those are rooted, rounded and sorted."""
+    away, many = np.full((len(a), k), np.inf), np.zeros((len(a), k), dtype=np.int64)
+    reach = (limit + SLACK) ** 2
+    for part in _slices(len(a), len(b)):
+        squared = _squared(a[part], b)
+        row, column = np.nonzero(squared <= reach[part, None])
+        found = _rooted(squared[row, column])
+        row += part.start
+        kept = found <= limit[row]
+        row, column, found = row[kept], column[kept], found[kept]
+        order = np.lexsort((found, row))
+        row, column, found = row[order], column[order], found[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        kept = place < k
+        away[row[kept], place[kept]], many[row[kept], place[kept]] = found[kept], copies[column[kept]]
+    return away, many
 
 
 def _lists(points: list, kind: pa.DataType, away: np.ndarray, copies: np.ndarray, schema: pa.Schema) -> pa.Table:
@@ -190,16 +225,15 @@ def kth_neighbour(index: BallIndex, k: int) -> DataFrame:
     def own(block: pa.Table) -> pa.Table:
         points, copies = block.column("point").to_pylist(), block.column("copies").to_numpy()
         matrix, found = as_matrix(block.column("embedding")), []
-        for start in range(0, len(points), 1024):
-            away = distances(matrix[start : start + 1024], matrix)
+        for part in _slices(len(points), len(points)):
+            away = distances(matrix[part], matrix)
             rows = np.arange(len(away))
-            away[rows, start + rows] = 0.0
-            many = np.broadcast_to(copies, away.shape).copy()
-            many[rows, start + rows] -= 1  # the point itself
-            away[many == 0] = np.inf
+            own = part.start + rows
+            away[rows, own] = np.where(copies[own] > 1, 0.0, np.inf)
             kept = min(k, away.shape[1])
             at = np.argpartition(away, kept - 1, axis=1)[:, :kept]
-            found.append((np.take_along_axis(away, at, axis=1), np.take_along_axis(many, at, axis=1)))
+            many = copies[at] - (at == own[:, None])  # without the point itself
+            found.append((np.take_along_axis(away, at, axis=1), many))
         return _lists(points, arrow_schema.field(0).type, np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), arrow_schema)
 
     first = index.points.groupBy("cell", "ring").applyInArrow(own, schema)
@@ -216,9 +250,8 @@ def kth_neighbour(index: BallIndex, k: int) -> DataFrame:
         points = mine.column("point").to_pylist()
         if not points or not theirs.num_rows:
             return arrow_schema.empty_table()
-        limit = mine.column("limit").to_numpy()
-        away = distances(as_matrix(mine.column("embedding")), as_matrix(theirs.column("their_embedding")))
-        away, copies = _nearest_of(np.where(away <= limit[:, None], away, np.inf), theirs.column("their_copies").to_numpy(), k)
+        limit, copies = mine.column("limit").to_numpy(), theirs.column("their_copies").to_numpy()
+        away, copies = _nearest_within(as_matrix(mine.column("embedding")), as_matrix(theirs.column("their_embedding")), limit, copies, k)
         return _lists(points, arrow_schema.field(0).type, away, copies, arrow_schema)
 
     others = _meet(index, pairs, limited, closer, schema)
@@ -234,35 +267,52 @@ def close_links(index: BallIndex, eps: float) -> DataFrame:
     schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])
     arrow_schema = to_arrow_schema(schema)
 
-    def forest(a: list, b: list, near: np.ndarray) -> pa.Table:
-        links: list[tuple] = []
-        seen_a, seen_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
-        for root in range(len(a)):
+    def forest(near: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Row and column of each link of a spanning forest."""
+        seen_a, seen_b = np.zeros(near.shape[0], dtype=bool), np.zeros(near.shape[1], dtype=bool)
+        for root in np.flatnonzero(near.any(axis=1)):
             if seen_a[root]:
                 continue
             seen_a[root] = True
-            waiting = [(True, root)]
+            waiting = [(True, int(root))]
             while waiting:
                 from_a, i = waiting.pop()
                 found = np.flatnonzero(near[i] & ~seen_b if from_a else near[:, i] & ~seen_a)
                 (seen_b if from_a else seen_a)[found] = True
                 for j in found:
-                    pair = (a[i], b[j]) if from_a else (a[j], b[i])
-                    if pair[0] != pair[1]:
-                        links.append((min(pair), max(pair)))
+                    yield (i, int(j)) if from_a else (int(j), i)
                     waiting.append((not from_a, int(j)))
+
+    def tiled(a: list, b: list, here: np.ndarray, there: np.ndarray) -> pa.Table:
+        """A spanning forest of the links of two blocks: what tiles of them add to each other."""
+        top: dict = {}
+
+        def root(x):
+            while top.setdefault(x, x) != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        links: list[tuple] = []
+        for i in range(0, len(a), TILE):
+            for j in range(0, len(b), TILE):
+                for m, n in forest(distances(here[i : i + TILE], there[j : j + TILE]) <= eps):
+                    pair = a[i + m], b[j + n]
+                    x, y = root(pair[0]), root(pair[1])
+                    if x != y:
+                        top[x] = y
+                        links.append((min(pair), max(pair)))
         columns = [pa.array([link[n] for link in links], arrow_schema.field(n).type) for n in (0, 1)]
         return pa.Table.from_arrays(columns, schema=arrow_schema)
 
     def within(block: pa.Table) -> pa.Table:
         names, matrix = block.column("point").to_pylist(), as_matrix(block.column("embedding"))
-        return forest(names, names, distances(matrix, matrix) <= eps)
+        return tiled(names, names, matrix, matrix)
 
     def across(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if not mine.num_rows or not theirs.num_rows:
             return arrow_schema.empty_table()
-        away = distances(as_matrix(mine.column("embedding")), as_matrix(theirs.column("their_embedding")))
-        return forest(mine.column("point").to_pylist(), theirs.column("their_point").to_pylist(), away <= eps)
+        here, there = as_matrix(mine.column("embedding")), as_matrix(theirs.column("their_embedding"))
+        return tiled(mine.column("point").to_pylist(), theirs.column("their_point").to_pylist(), here, there)
 
     links = index.points.groupBy("cell", "ring").applyInArrow(within, schema)
     if len(index.centres) > 1:

@@ -203,3 +203,32 @@ def test_few_points_and_copies(spark):
     links = clustering.density_links(frame(spark, [(1.0, 2.0)] * 7 + [(4.0, 6.0)]), 0.5).collect()
     assert len(links) == 6 and {x for link in links for x in link} == {f"p{i:03d}" for i in range(7)}
     assert clustering.core_distances(frame(spark, [(1.0, 1.0)]).limit(0)).count() == 0
+
+
+def test_points_are_sent_to_some_tens_of_blocks(spark):
+    """Without structure every block meets every other, so their number must not grow with the table."""
+    points = np.random.default_rng(4).normal(size=(3000, 6)).astype(np.float32).astype(float)
+    index = neighbours.ball_index(frame(spark, points).cache(), 5)
+    assert index.blocks.count() <= 5 * neighbours.FEW_BLOCKS
+    assert index.blocks.agg(F.sum("rows")).first()[0] == 3000
+    assert neighbours.block_rows(10**9, 64, 2000) * 64 == neighbours.MOST_VALUES
+
+
+def test_links_of_two_blocks_are_one_forest(spark, monkeypatch):
+    """All points are near each other: each block and pair of blocks returns a forest, however it is tiled."""
+    monkeypatch.setattr(neighbours, "TILE", 7)
+    points = np.random.default_rng(6).normal(size=(90, 3))
+    index = neighbours.ball_index(frame(spark, points).cache(), 40)
+    links = [(r["src"], r["dst"]) for r in neighbours.close_links(index, 100.0).collect()]
+    blocks = index.blocks.count()
+    assert len(links) <= blocks * 90
+    top = {f"p{i:03d}": f"p{i:03d}" for i in range(90)}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        top[root(a)] = root(b)
+    assert len({root(x) for x in top}) == 1

@@ -212,3 +212,22 @@ def test_many_queries_meet_few_blocks(spark):
     schema = T.StructType.fromDDL("query_id string, post_id long, similarity_score double")
     _, met, index = inner_product.pruned_scores(queries, items, 6, "query_id", "post_id", schema, 50, 30)
     assert met.count() < 0.2 * len(asked) * index.blocks.count()
+
+
+def test_second_round_returns_what_reaches_the_first(spark):
+    """Without structure each query meets most blocks; only items that reach its threshold come back."""
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(1500, 6)).astype(np.float32).astype(float)
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "post_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(points[:200])], "query_id string, embedding array<float>").repartition(2)
+    schema = T.StructType.fromDDL("query_id string, post_id long, similarity_score double")
+    partial, met, _ = inner_product.pruned_scores(queries, items, 6, "query_id", "post_id", schema, 50, 50)
+    found = {}
+    for row in partial.collect():
+        found.setdefault(row["query_id"], []).append((-row["similarity_score"], row["post_id"]))
+    floors = {row["query_id"]: row["floor"] for row in met.select("query_id", "floor").collect()}
+    assert met.count() > 5 * 200 and len(floors) == 200
+    assert all(-loss >= floors[query] for query, hits in found.items() for loss, _ in hits)
+    scores = np.round(points[:200] @ points.T, 6)
+    for i in range(200):
+        assert [n for _, n in sorted(found[f"q{i}"])[:6]] == np.lexsort((np.arange(1500), -scores[i]))[:6].tolist()
