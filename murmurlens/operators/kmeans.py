@@ -18,13 +18,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from murmurlens.operators.vectors import as_matrix
+from murmurlens.runtime import fixed_plans
 
 SAMPLE_PER_CENTRE, ROWS_PER_SLICE = 200, 2048
 SETTLED = 1e-9  # squared movement below which a centre stands still
 
 
-def _squared(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.maximum((rows * rows).sum(axis=1)[:, None] - 2.0 * (rows @ centres.T) + (centres * centres).sum(axis=1), 0.0)
+def _squared(rows: np.ndarray, centres: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances; ``lengths`` are the squared lengths of the rows where known."""
+    if lengths is None:
+        lengths = (rows * rows).sum(axis=1)
+    return np.maximum(lengths[:, None] - 2.0 * (rows @ centres.T) + (centres * centres).sum(axis=1), 0.0)
 
 
 def seeded(sample: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
@@ -38,9 +42,9 @@ def seeded(sample: np.ndarray, k: int, random: np.random.Generator) -> np.ndarra
     return sample[chosen]
 
 
-def _sums(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(rows: np.ndarray, centres: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum, number and cost of the rows nearest to each centre."""
-    away = _squared(rows, centres)
+    away = _squared(rows, centres, lengths)
     nearest = away.argmin(axis=1)
     member = np.zeros((len(rows), len(centres)))
     member[np.arange(len(rows)), nearest] = 1.0
@@ -71,8 +75,9 @@ def _step(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_PER_SLICE):
                 part = as_matrix(batch.column(0).slice(start, ROWS_PER_SLICE))
+                lengths = (part * part).sum(axis=1)
                 for turn, places in known.items():
-                    found = _sums(part, places)
+                    found = _sums(part, places, lengths)
                     held[turn] = [a + b for a, b in zip(held[turn], found)] if turn in held else list(found)
         for turn, (sums, counts, cost) in held.items():
             k = len(counts)
@@ -84,7 +89,10 @@ def _step(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np
         vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"), F.sum("n").alias("n"), F.sum("cost").alias("cost")
     )
     out = {turn: (np.zeros_like(places), np.zeros(len(places)), 0.0) for turn, places in centres.items()}
-    for row in added.collect():  # one row per restart and centre
+    # A step is short and always the same: with a fixed plan and one task that adds up it is a single job.
+    with fixed_plans(rows.sparkSession, 1):
+        found = added.collect()  # one row per restart and centre
+    for row in found:
         sums, counts, cost = out[row["turn"]]
         sums[row["centre"]], counts[row["centre"]] = row["sums"], row["n"]
         out[row["turn"]] = (sums, counts, cost + row["cost"])

@@ -232,3 +232,24 @@ def test_links_of_two_blocks_are_one_forest(spark, monkeypatch):
     for a, b in links:
         top[root(a)] = root(b)
     assert len({root(x) for x in top}) == 1
+
+
+def test_a_kmeans_step_is_one_job(spark):
+    from murmurlens.operators import kmeans
+
+    points = np.random.default_rng(8).normal(size=(400, 4))
+    rows, context = frame(spark, points).repartition(3).cache(), spark.sparkContext
+    rows.count()
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    context.setJobGroup("kmeans-step", "")
+    try:
+        found = kmeans._step(rows, {0: points[:3], 1: points[5:8]})
+        jobs = len(context.statusTracker().getJobIdsForGroup("kmeans-step"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 1 and spark.conf.get("spark.sql.adaptive.enabled") == before
+    for turn, places in ((0, points[:3]), (1, points[5:8])):
+        nearest = neighbours.distances(points, places).argmin(axis=1)
+        sums, counts, _ = found[turn]
+        assert counts.tolist() == np.bincount(nearest, minlength=3).tolist()
+        assert np.allclose(sums, [points[nearest == i].sum(axis=0) for i in range(3)])
