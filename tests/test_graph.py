@@ -180,7 +180,7 @@ def test_filtered_graph(spark):
     assert reports.filter_graph(full, min_pagerank=0.9).totals.first()["total_nodes"] == 0
 
 
-def test_a_louvain_round_is_one_job_and_leaves_the_settings(spark, monkeypatch):
+def test_a_louvain_round_is_few_jobs_and_leaves_the_settings(spark, monkeypatch):
     from murmurlens.operators import louvain as module
 
     rounds, before = [], spark.conf.get("spark.sql.adaptive.enabled")
