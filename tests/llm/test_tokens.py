@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyarrow import fs
 
-from murmurlens.llm import packing, sentencepieces, token_files
+from murmurlens.llm import packing, sentencepieces, token_files, wordbpe
 from murmurlens.llm.queries import tokenizer
 from murmurlens.llm.wordbpe import WordTable
 
@@ -37,6 +37,19 @@ def test_word_table_equals_the_tokenizer_and_forgets_safely():
         assert [ids[a:b].tolist() + [1] for a, b in zip(cuts, cuts[1:])] == whole_ids(ODD)
 
 
+def test_words_of_one_core_are_looked_up_as_one(monkeypatch):
+    asked, missing = [], wordbpe.Kept.missing
+    monkeypatch.setattr(wordbpe.Kept, "missing", lambda kept, keys: asked.extend(keys) or missing(kept, keys))
+    table = WordTable(WORD_BPE)
+    texts = [f"{core}{tail}" for core in ("Straße", "straße", "STRAßE", "ÿes", "Élan") for tail in ("", ".", ",", "!?", "$%&", "|")] + ["a1", "", "a1 Élan."]
+    ids, cuts = table.encode(pa.array(texts))
+    assert [ids[a:b].tolist() + [1] for a, b in zip(cuts, cuts[1:])] == whole_ids(texts)
+    assert len(asked) == 3 + 6 + 2  # cores, tails, and the odd "a1" and ""
+    for empty in ([], ["", " "]):
+        ids, cuts = table.encode(pa.array(empty, pa.string()))
+        assert not len(ids) and cuts.tolist() == [0] * (len(empty) + 1)
+
+
 def test_chunk_table_equals_the_library():
     table = sentencepieces.ChunkTable(PIECES, most=4)
     ids, cuts = table.encode(pa.array(ODD))
