@@ -83,6 +83,26 @@ def test_components(spark, heavy):
     assert all(min(members) == key for key, members in got.items())
 
 
+def test_components_begin_with_a_star_per_task(spark, monkeypatch):
+    from murmurlens.operators import components
+
+    sizes, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: sizes.append(df.count()) or cut(df))
+    ids = [[f"{group}{n:02}" for n in range(40)] for group in ("é", "z", "日")]
+    pairs = [(a, b, 1) for group in ids for a in group for b in group if a != b and (a, b) > ("z", "")] + [("é00", "é01", 1), ("é00", "é00", 1), ("z39", None, 1)]
+    nodes = spark.createDataFrame([(x,) for group in ids for x in group] + [("alone",), (None,)], "id string")
+    edges = spark.createDataFrame(pairs, "src string, dst string, weight long").repartition(3)
+    found = {(row.id, row.component) for row in components.connected_components(nodes, edges).collect()}
+    want = {(x, group[0]) for group in ids for x in group} | {("alone", "alone"), (None, None)}
+    assert found == want and sizes[0] <= 3 * 3 * 39
+    rows = edges.filter("src <> dst").selectExpr("greatest(src, dst) u", "least(src, dst) v")
+    for most in (1, 7, 1000):
+        stars = components.local_stars(rows, most).collect()
+        assert all(row.u > row.v for row in stars)
+        again = spark.createDataFrame(stars, "src string, dst string")
+        assert {(row.id, row.component) for row in components.connected_components(nodes, again).collect()} == want
+
+
 def test_hub_removed_and_tables(spark):
     nodes, edges = as_graph(spark, STAR)
     left = nodes.filter("id <> 'hub'")
