@@ -231,3 +231,15 @@ def test_second_round_returns_what_reaches_the_first(spark):
     scores = np.round(points[:200] @ points.T, 6)
     for i in range(200):
         assert [n for _, n in sorted(found[f"q{i}"])[:6]] == np.lexsort((np.arange(1500), -scores[i]))[:6].tolist()
+
+
+def test_vectors_are_compared_by_hashes(spark):
+    from checks.catalog import _marked
+
+    vectors = [("a", [0.0, 0.5]), ("b", [-0.0, 0.5]), ("c", [0.5, 0.0]), ("d", []), ("e", None), ("f", [0.0, None]), (None, [0.5, 0.0])]
+    frame = spark.createDataFrame(vectors, "post_id string, embedding array<float>")
+    marked = _marked(frame, "own")
+    assert marked.schema.simpleString() == "struct<post_id:string,own:struct<h0:bigint,h1:bigint>>"
+    marks = {row.post_id: row.own for row in marked.collect()}
+    assert marks["a"] == marks["b"] and marks["c"] == marks[None] and marks["e"] is None
+    assert len({marks[k] for k in "acdf"}) == 4 and all(marks[k].h0 != marks[k].h1 for k in "acdf")
