@@ -220,3 +220,64 @@ def test_a_louvain_round_is_few_jobs_and_leaves_the_settings(spark, monkeypatch)
     assert found.select("community").distinct().count() == 6
     assert {row["id"][0] == row["community"][0] for row in found.collect()} == {True}
     assert spark.conf.get("spark.sql.adaptive.enabled") == before
+
+
+def test_louvain_is_the_same_in_one_task_in_blocks_and_by_tables(spark, monkeypatch):
+    from murmurlens.operators import louvain as module
+
+    rng = random.Random(5)
+    pairs = [rng.sample(range(30), 2) for _ in range(200)]
+    edges = [(f"é{a}", f"é{b}", rng.choice([1, 1, 2, 300])) for a, b in pairs if a % 4 == b % 4 or rng.random() < 0.15]
+    edges += edges[:20] + [("é1", "é1", 5), ("é2", None, 5), (None, None, 1), ("far", "away", 2), ("zero", "away", 0)]
+    frame = spark.createDataFrame(edges, "src string, dst string, weight long").repartition(3)
+    nodes = spark.createDataFrame([(f"é{i}",) for i in range(30)] + [(x,) for x in ("far", "away", "zero", "alone", "alone", None)], "id string")
+
+    def found(**settings):
+        for name, value in settings.items():
+            monkeypatch.setattr(module, name, value)
+        return sorted(map(tuple, module.louvain(nodes, frame).collect()), key=str)
+
+    here = found()
+    assert len(here) == 36 and here.count(("alone", "alone")) == 2 and (None, None) in here
+    assert {community for name, community in here if name in ("far", "away", "zero")} == {"away", "zero"}
+    assert found(ONE_TASK_LINKS=0, LEAST_LINKS=50, MAX_SHARED_IDS=0) == here
+    assert found(MAX_SHARED_NODES=0) == here
+
+
+def test_a_louvain_round_in_blocks_is_one_job_and_deals_out_nothing(spark, monkeypatch):
+    from murmurlens.operators import louvain as module
+
+    plans, each, context = [], module._Blocks._each, spark.sparkContext
+    monkeypatch.setattr(module, "ONE_TASK_LINKS", 0)
+    monkeypatch.setattr(module, "LEAST_LINKS", 10)
+    monkeypatch.setattr(module._Blocks, "_each", lambda *args: plans.append(each(*args)) or plans[-1])
+    edges = [(f"{g}-{a}", f"{g}-{b}", 1) for g in range(6) for a in range(6) for b in range(a + 1, 6)]
+    edges += [(f"{g}-0", f"{(g + 1) % 6}-1", 1) for g in range(6)]
+    frame = spark.createDataFrame(edges, "src string, dst string, weight long")
+    nodes = spark.createDataFrame([(f"{g}-{a}",) for g in range(6) for a in range(6)], "id string")
+    context.setJobGroup("louvain-blocks", "")
+    try:
+        found = module.louvain(nodes, frame)
+        jobs = len(context.statusTracker().getJobIdsForGroup("louvain-blocks"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    rounds = [plan for plan in plans if "target" in plan.columns]
+    assert jobs <= len(rounds) + 30
+    assert not any("Exchange" in plan._jdf.queryExecution().sparkPlan().toString().split("InMemoryRelation")[0] for plan in rounds)
+    assert found.select("community").distinct().count() == 6
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_louvain_coins_are_those_of_the_tables(spark):
+    import numpy as np
+
+    from murmurlens.operators import louvain_arrays as arrays
+
+    ids = spark.createDataFrame([(x,) for x in ("", "a", "u12", "日本", "a long name of more than thirty-two bytes")], "id string")
+    for turn in (0, 9, 42, 199):
+        coin = F.pmod(F.xxhash64("id", F.lit(str(turn))), F.lit(2)) == 0
+        rows = ids.select(F.xxhash64("id").alias("hash"), coin.alias("coin")).collect()
+        assert arrays.heads(np.array([row.hash for row in rows]), turn).tolist() == [row.coin for row in rows]
+    for span in (3, 10**6):
+        keys, sums = arrays.sums_by_key(np.array([2, 0, 2]), np.array([1.0, 0.0, 2.5]), span)
+        assert keys.tolist() == [0, 2] and sums.tolist() == [0.0, 3.5]
