@@ -281,3 +281,25 @@ def test_louvain_coins_are_those_of_the_tables(spark):
     for span in (3, 10**6):
         keys, sums = arrays.sums_by_key(np.array([2, 0, 2]), np.array([1.0, 0.0, 2.5]), span)
         assert keys.tolist() == [0, 2] and sums.tolist() == [0.0, 3.5]
+
+
+def test_stars_of_tasks_are_joined_before_the_rounds(spark, monkeypatch):
+    from murmurlens.operators import components
+
+    monkeypatch.setattr(components, "TASK_IDS", 2000)
+    monkeypatch.setattr(components, "TASK_PAIRS", 20)
+    pairs = [(f"n{a:03}", f"n{(a * 7 + k) % 200 // 2 * 2 + a % 2:03}") for k in range(8) for a in range(200)]
+    edges = spark.createDataFrame(pairs, "src string, dst string").repartition(8)
+    started = components.local_stars(edges.filter("src <> dst").selectExpr("greatest(src, dst) u", "least(src, dst) v"))
+    assert started.count() > 1000 and components._joined_stars(components.cut(started)).count() < 400
+    nodes = spark.createDataFrame([(f"n{a:03}",) for a in range(200)], "id string")
+    assert sorted(map(tuple, components.connected_components(nodes, edges).collect())) == [(f"n{a:03}", f"n00{a % 2}") for a in range(200)]
+
+
+def test_modularity_joins_each_edge_once(spark, monkeypatch):
+    plans, of = [], type(spark.range(0)).groupBy
+    monkeypatch.setattr(type(spark.range(0)), "groupBy", lambda self, *keys: plans.append(self) or of(self, *keys))
+    nodes, edges = as_graph(spark, CLIQUES)
+    halves = nodes.select("id", F.substring("id", 1, 1).alias("community"))
+    assert modularity(edges, halves) == pytest.approx(48 / 49 - 0.5)
+    assert plans[0]._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
